@@ -190,9 +190,7 @@ def links(fps: DataFrame, budget: int = BUDGET, split_above: int = 20_000, flush
         parts = []
         for s in range(1, BLOCKS):
             own = _block("rot", s)
-            mask = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-            cleared = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i, own=own: F.when(own.bitwiseAND(mask(i)) != 0, own - mask(i)))
-            keys = F.explode(F.concat(F.array(own), F.filter(cleared, lambda x: x.isNotNull())))
+            keys = F.explode(_own_and_cleared(own))
             parts.append(second.select("grp", "turn", "rot", keys.alias("sub")).select((F.lit(1 << 40) + F.col("grp") * F.lit(1 << 18) + F.lit(s << 16) + F.col("sub")).alias("grp"), "turn", "rot"))
         for p in parts:
             normal = normal.unionByName(p)
@@ -201,6 +199,13 @@ def links(fps: DataFrame, budget: int = BUDGET, split_above: int = 20_000, flush
     return dealt.mapInArrow(_links(budget, flush_at), "src long, dst long")
 
 
+def _own_and_cleared(own):
+    """A block's value, and those that it has with one of its set bits cleared."""
+    mask = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    cleared = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.when(own.bitwiseAND(mask(i)) != 0, own - mask(i)))
+    return F.concat(F.array(own), F.filter(cleared, lambda x: x.isNotNull()))
+
+
 def _rotated(col: str, by: int):
     c = F.col(col)
     return c if by == 0 else F.shiftleft(c, by).bitwiseOR(F.shiftrightunsigned(c, BITS - by))
