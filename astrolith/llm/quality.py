@@ -1,20 +1,20 @@
 """Quality: overlapping heuristic labellers, their accuracies by EM, and a hashed linear scorer.
 
-**Labellers** vote 0 (bad), 1 (good) or abstain on each whole text: share of symbols, of capitals, of
+**Labellers** vote 0 (bad), 1 (good), 2 (between) or 3 (too short to tell) on each whole text: share of symbols, of capitals, of
 tokens without a letter or digit, of tokens equal to the one before, of the most frequent token, of
 tokens that end in odd marks, of distinct tokens, of function words.
 
-**Label model.** No labels are used. Vote patterns of *all* documents are counted (at most 3^8 patterns,
+**Label model.** No labels are used. Vote patterns of *all* documents are counted (at most 4^8 patterns,
 whatever the input's size), and expectation-maximisation on the counts estimates each labeller's
-accuracy and coverage per class and the prior; posteriors follow per pattern.
+vote probabilities in either class and the prior; a 3 says nothing. Posteriors follow per pattern.
 
 **Scorer.** Posteriors are soft labels of a logistic model over hashed token shapes (a word's
 characters as classes, runs shortened, and pairs of neighbouring shapes, and repeats), learned on at
 most ``max_train_rows`` documents (a documented bound: those of lowest id hash). It then scores every
 whole text. A document is kept at a score of ``threshold`` or more.
 
-Nulls: null and empty texts have no tokens, all labellers abstain, and they are
- rejected (score 0); a null id keeps its row. Repeated rows get equal scores. With no documents the result is
+Nulls: null and empty texts have no tokens, all votes are 3, and they are
+rejected (score 0); a null id keeps its row. Repeated rows get equal scores. With no documents the result is
 empty. Other columns are not read.
 """
 
@@ -33,7 +33,10 @@ from pyspark.sql import functions as F
 
 from astrolith.llm.text import LOWER, id_and_bytes, word_blocks
 
-ABSTAIN = 2
+#: Votes are 0 (bad), 1 (good), 2 (between) and 3 (the text is too short to tell).
+ABSTAIN, SHORT = 2, 3
+#: Tokens added to a text's length, so that a few tokens alone don't decide.
+SMOOTH = 8
 #: Common function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one "
@@ -109,7 +112,7 @@ class Reader:
             marked += c * f[6]
             func += c * f[7]
         if not n:
-            return (np.zeros(0, np.int64), np.zeros(0)), [ABSTAIN] * 8
+            return (np.zeros(0, np.int64), np.zeros(0)), [SHORT] * 8
         s = np.array(shapes, np.int64)
         pairs = (s[:-1] * 31 + s[1:] * 17 + 7) & self.mask
         bucket, count = np.unique(np.concatenate([s & self.mask, pairs]), return_counts=True)
@@ -117,30 +120,31 @@ class Reader:
         vote = lambda x, good, bad: 1 if x <= good else 0 if x >= bad else ABSTAIN
         votes = [
             vote(odd / max(1, chars), 0.01, 0.08),
-            vote(upper / max(1, letters), 0.15, 0.5),
+            vote(upper / letters, 0.15, 0.5) if letters >= 40 else SHORT,
             vote(bare / n, 0.02, 0.15),
             vote(again / n, 0.02, 0.15),
-            vote(top / n, 0.12, 0.3) if n >= 30 else ABSTAIN,
+            vote(top / n, 0.12, 0.3) if n >= 30 else SHORT,
             vote(marked / n, 0.05, 0.25),
-            vote(-len(words) / n, -0.25, -0.08) if n >= 100 else ABSTAIN,
-            1 if func / n >= 0.12 else ABSTAIN if func / n >= 0.02 else 0,
+            vote(-len(words) / n, -0.25, -0.08) if n >= 100 else SHORT,
+            SHORT if n < 30 else 1 if func / n >= 0.12 else ABSTAIN if func / n >= 0.02 else 0,
         ]
-        return (bucket, count / n), votes
+        return (bucket, count / (n + SMOOTH)), votes
 
 
 def label_model(patterns: list[tuple[int, ...]], counts: np.ndarray, rounds: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """EM: (prior of good, per labeller and class the probabilities of votes 0, 1, abstain, posterior of each pattern)."""
+    """EM: (prior of good, per class and labeller the vote probabilities, posterior of each pattern)."""
     votes, weight = np.array(patterns).reshape(len(patterns), -1), counts.astype(float)
     k = votes.shape[1]
-    good = ((votes == 1).sum(1) + 1.0) / ((votes != ABSTAIN).sum(1) + 2.0)
+    good = ((votes == 1).sum(1) + 1.0) / ((votes < ABSTAIN).sum(1) + 2.0)
     # Start from a vote in which any two bad votes outweigh the good ones: most labellers see one kind of fault.
     good = np.where((votes == 0).sum(1) >= 1, np.minimum(good, 0.4), np.maximum(good, 0.6))
-    prior, table = 0.5, np.zeros((2, k, 3))
+    prior, table = 0.5, np.zeros((2, k, 4))
     for _ in range(rounds):
         for c, post in ((0, 1 - good), (1, good)):
             for v in range(3):
                 table[c, :, v] = ((votes == v) * (weight * post)[:, None]).sum(0) + 0.5
-        table /= table.sum(2, keepdims=True)
+        table[:, :, :3] /= table[:, :, :3].sum(2, keepdims=True)
+        table[:, :, SHORT] = 1.0  # says nothing of the class
         prior = float(np.clip((weight * good).sum() / max(weight.sum(), 1e-9), 0.01, 0.99))
         at = np.arange(k)
         up = np.log(prior) + np.log(table[1, at, votes]).sum(1)
@@ -196,7 +200,7 @@ def _read(rows: DataFrame, bits: int, features: bool) -> DataFrame:
 
 def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     rows = id_and_bytes(docs, id_col, text_col)
-    counted = sorted((r["votes"], r["count"]) for r in _read(rows, s.bits, False).groupBy("votes").count().collect())  # 3^8 rows at most
+    counted = sorted((r["votes"], r["count"]) for r in _read(rows, s.bits, False).groupBy("votes").count().collect())  # 4^8 rows at most
     if not counted:
         return learn([], np.zeros(0), s)
     patterns = [tuple(map(int, v)) for v, _ in counted]
@@ -210,7 +214,7 @@ def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_
 
 
 def score(docs: DataFrame, scorer: Scorer, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, votes, score, keep)``: votes has a character for each labeller (0, 1, or 2: abstains)."""
+    """``(doc_id, votes, score, keep)``: votes has a character for each labeller (0 to 3)."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     rows = id_and_bytes(docs, id_col, text_col)
 

@@ -39,10 +39,12 @@ class Settings:
     rank: int = 4
     max_train_rows: int = 20_000
     min_rows: int = 3  # buckets in fewer learned rows carry no evidence
+    evidence: float = 3.5  # standard deviations by which a bucket's ones must differ from chance
     epochs: int = 12
+    min_steps: int = 800  # few rows are gone through more often
     batch: int = 512
     rate: float = 0.15
-    l1: float = 1e-3
+    l1: float = 3e-4
     group: float = 2e-3
     positive_weight: float = 3.0
 
@@ -97,7 +99,9 @@ def learn(buckets: list[np.ndarray], labels: np.ndarray, s: Settings) -> Machine
         return Machine(float(np.log((share + 1e-9) / (1 - share + 1e-9))), slot, np.zeros(0), np.zeros((0, s.rank)))
     flat = np.concatenate(buckets) if n else np.zeros(0, np.int32)
     seen = np.bincount(flat, minlength=1 << s.bits)
-    used = np.flatnonzero(seen >= s.min_rows)
+    ones = np.bincount(flat, np.repeat(y, [len(b) for b in buckets]), minlength=1 << s.bits)
+    chance = seen * share
+    used = np.flatnonzero((seen >= s.min_rows) & (np.abs(ones - chance) >= s.evidence * np.sqrt(chance * (1 - share))))
     slot[used] = np.arange(len(used))
     m = len(used)
     lens = np.array([len(b) for b in buckets])
@@ -107,7 +111,7 @@ def learn(buckets: list[np.ndarray], labels: np.ndarray, s: Settings) -> Machine
     b, w, v = float(np.log(share / (1 - share))), np.zeros(m), rng.normal(0, 0.01, (m, s.rank))
     gw, gv, gb = np.full(m, 1e-6), np.full((m, s.rank), 1e-6), 1e-6
     weight = np.where(y > 0, s.positive_weight, 1.0)
-    for _ in range(s.epochs):
+    for _ in range(max(s.epochs, -(-s.min_steps * s.batch // n))):
         order = rng.permutation(n)
         for at in range(0, n, s.batch):
             pick = order[at : at + s.batch]
