@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from astrolith.llm import chat, decontaminate, quality, sharding, simhash, toxicity
+from astrolith.llm import chat, decontaminate, pieces, quality, secrets, sharding, simhash, toxicity
 from astrolith.session import table
 
 
@@ -18,6 +18,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), pieces.default_model()))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -37,8 +41,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_quality, op6_chat, op7_shards, op8_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_quality, op5_pieces, op6_chat, op7_shards, op8_toxicity, op9_simhash, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
