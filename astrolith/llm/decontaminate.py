@@ -254,3 +254,40 @@ SELECT l.doc_id, CAST(len(l.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(l.w) AS contaminated
 FROM lowered l LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, max_block_bytes: int = 64 << 20, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their columns: decided beside the text, without a join.
+
+    With a benchmark of several blocks the decision needs all of them, so that the verdicts are joined by doc_id.
+    """
+    blocks = [b for b in _blocks(items, "item_id", "text", max_block_bytes) if b] or [{}]
+    if len(blocks) > 1:
+        bad = find_contamination(docs, items, max_block_bytes=max_block_bytes).where("contaminated").select("doc_id").distinct()
+        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Searcher(sorted(shared.value))
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                texts, counts = zip(*(framed(None if (t := x.as_py()) is None else t.encode()) for x in part.column(at)))
+                spots: dict[int, list[tuple[int, int]]] = {}
+                starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+                for p, w in find.search(b"\0".join(texts)):
+                    row = int(np.searchsorted(starts, p, "right")) - 1
+                    spots.setdefault(row, []).append((p - int(starts[row]), len(w)))
+                good = np.ones(part.num_rows, bool)
+                for row, got in spots.items():
+                    n_hit, end = 0, 0
+                    for p, n in sorted(got):
+                        a = max(end, p + 1)
+                        if p + n - 1 > a:
+                            n_hit += texts[row].count(b" ", a, p + n)
+                            end = p + n
+                    good[row] = not (n_hit and 20 * n_hit >= counts[row])
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -160,3 +160,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def digest(found: DataFrame) -> DataFrame:
     spans = F.array_join(F.transform("secrets", lambda s: F.concat_ws("+", s["start"], s["length"])), ",")
     return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), spans.alias("spans"), F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"))
+
+
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with their columns: secrets in the text replaced, and ``n_chars``, if there, counted anew."""
+    names = docs.columns
+    trees = trees_of(fit(labelled_findings(docs, text_col)))
+    inner = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"))
+    done = scan(inner, trees).select("row.*", "redacted")
+    cols = [F.col("redacted").alias(c) if c == text_col else F.length("redacted").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in names]
+    return done.select(*cols)

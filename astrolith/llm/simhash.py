@@ -232,3 +232,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(known, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of linked rows, with its columns: that of smallest id.
+
+    Rows to drop are found by id; only where an id is repeated do rows of the same id meet.
+    Rows with a null id can't be told apart by id; one row of each of their texts stays.
+    """
+    marked = cut(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"))
+    gone = marked.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    known = marked.where(F.col("doc_id").isNotNull())
+    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    if not marked.where(F.col("doc_id").isNull()).isEmpty():
+        kept = kept.where(F.col(id_col).isNotNull()).unionByName(kept.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    return kept
