@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from astrolith.llm import chat, decontaminate, pieces, quality, secrets, sharding, simhash, toxicity
+from astrolith.llm import chat, decontaminate, pieces, quality, repeats, secrets, sharding, simhash, toxicity
 from astrolith.session import table
 
 
@@ -18,6 +18,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), pieces.default_model()))
 
@@ -46,7 +50,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_quality, op5_pieces, op6_chat, op7_shards, op8_toxicity, op9_simhash, op10_secrets)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_quality, op4_repeats, op5_pieces, op6_chat, op7_shards, op8_toxicity, op9_simhash, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
