@@ -1,4 +1,4 @@
-"""All spatial queries and their SQL, by name."""
+"""All spatial queries by name, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from astrolith.plans import clustering, forces, layout
+
+MODULES = (layout, clustering, forces)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
