@@ -127,13 +127,13 @@ def visit_all(spark, sf):
 
 
 def incremental_components(spark, sf):
-    """Edges folded in four batches, as a stream would bring them."""
+    """Edges folded in two batches, as a stream would bring them."""
     checkpoint_dir(spark)
     p, b = _emb(spark, sf)
     pairs = cut(spatial_join.radius_pairs(p, b).select("src", "dst"))
     labels = p.select("id", F.col("id").alias("label"))
-    for k in range(4):
-        labels = cut(fold(labels, pairs.where(F.pmod(F.xxhash64("src", "dst"), F.lit(4)) == k)))
+    for k in range(2):
+        labels = cut(fold(labels, pairs.where(F.pmod(F.xxhash64("src", "dst"), F.lit(2)) == k)))
     return labels
 
 
