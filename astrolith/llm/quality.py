@@ -21,7 +21,6 @@ empty. Other columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -57,78 +56,101 @@ class Settings:
     threshold: float = 0.5
 
 
-_RUNS = [(re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"(?:[A-Z])+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"([^0-9A-Za-z\x80-\xff])\1+"), rb"\1\1")]
+_RUNS = [(re.compile(rb"([0Aa])\1+"), rb"\1"), (re.compile(rb"([^0Aa])\1+"), rb"\1\1")]
+
+
+#: Byte classes: letters a or A, digits 0, all else itself.
+_CLASSES = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
+_LONGEST = max(map(len, FUNCTION_WORDS)) + 6
 
 
 def shape(token: bytes) -> bytes:
+    """Byte classes with their runs shortened."""
     for pattern, to in _RUNS:
         token = pattern.sub(to, token)
     return token[:24]
 
 
+class _Facts(dict):
+    """Row numbers of tokens in a table of facts; a new token is looked at once."""
+
+    def __init__(self):
+        super().__init__()
+        self.classes: dict[bytes, tuple[tuple, tuple]] = {}
+        self.rows: list[tuple] = []
+        self.table, self.done = np.zeros((1024, 8), np.int64), 0
+
+    def __missing__(self, t: bytes) -> int:
+        classes = t.translate(_CLASSES)  # all facts but one follow from these, and few differ
+        facts = self.classes.get(classes) or self._facts(classes)
+        k = self[t] = len(self.rows)
+        self.rows.append(facts[len(t) <= _LONGEST and t.strip(b".,;:!?\"'()").translate(LOWER) in FUNCTION_WORDS])
+        return k
+
+    def _facts(self, classes: bytes) -> tuple[tuple, tuple]:
+        capitals, digits = classes.count(b"A"), classes.count(b"0")
+        letters = capitals + classes.count(b"a")
+        rest = len(classes) - letters - digits
+        odd = rest - 1 if rest and len(classes) > 1 else rest  # one mark beside a word is nothing odd
+        row = (crc32(shape(classes)), len(classes), letters, capitals, odd, not letters and not digits, odd >= 1 and letters > 0)
+        if len(self.classes) < 100_000:
+            self.classes[classes] = ((*row, False), (*row, True))
+        return (*row, False), (*row, True)
+
+    def of(self, k: np.ndarray) -> np.ndarray:
+        """Facts of rows; new rows are written to the table, whose room doubles."""
+        n = len(self.rows)
+        if self.done < n:
+            if n > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(n, 2 * len(self.table)) - len(self.table), 8), np.int64)])
+            self.table[self.done : n] = self.rows[self.done :]
+            self.done = n
+        return self.table[k]
+
+
 class Reader:
-    """Counts over a text's tokens; facts about tokens seen before are looked up."""
+    """Counts over a text's tokens."""
 
     def __init__(self, bits: int):
-        self.mask, self.facts = (1 << bits) - 1, {}
-
-    def fact(self, t: bytes):
-        core = t.strip(b".,;:!?\"'()")
-        letters = sum(1 for c in t if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128)
-        upper = sum(1 for c in t if 65 <= c <= 90)
-        digits = sum(1 for c in t if 48 <= c <= 57)
-        odd = len(t) - letters - digits - min(1, len(t) - letters - digits) if len(t) > 1 else len(t) - letters - digits
-        s = shape(t)
-        f = (crc32(s), len(t), letters, upper, odd, not letters and not digits, odd >= 1 and letters > 0, core.translate(LOWER) in FUNCTION_WORDS)
-        self.facts[t] = f
-        return f
-
-    def read(self, body: bytes | None):
-        """(bucket counts as (buckets, values), votes) of a text."""
+        self.mask, self.facts = (1 << bits) - 1, _Facts()
+
+    def read(self, body: bytes | None) -> tuple[np.ndarray, int, list[int]]:
+        """(buckets of shapes and of neighbouring shapes, number of tokens, votes) of a text."""
+        if len(self.facts) > 500_000:
+            self.facts = _Facts()
         facts = self.facts
-        if len(facts) > 500_000:
-            facts.clear()
-        n = chars = letters = upper = odd = bare = marked = func = again = 0
-        words: Counter = Counter()
-        shapes: list[int] = []
-        prev = b""
-        for block in word_blocks(body or b""):
-            words.update(block)
-            for t in block:
-                f = facts.get(t) or self.fact(t)
-                shapes.append(f[0])
-                if t == prev:
-                    again += 1
-                    shapes[-1] = 1  # a repeat is a shape of its own
-                prev = t
-            n += len(block)
-        for t, c in words.items():
-            f = facts.get(t) or self.fact(t)
-            chars += c * f[1]
-            letters += c * f[2]
-            upper += c * f[3]
-            odd += c * f[4]
-            bare += c * f[5]
-            marked += c * f[6]
-            func += c * f[7]
-        if not n:
-            return (np.zeros(0, np.int64), np.zeros(0)), [SHORT] * 8
-        s = np.array(shapes, np.int64)
+        blocks = [np.fromiter(map(facts.__getitem__, block), np.int64, len(block)) for block in word_blocks(body or b"")]
+        if not blocks:
+            return np.zeros(0, np.int64), 0, [SHORT] * 8
+        k = np.concatenate(blocks)
+        n = len(k)
+        f = facts.of(k)
+        s = f[:, 0] & self.mask
+        same = k[1:] == k[:-1]
+        s[1:][same] = 1  # a repeat is a shape of its own
         pairs = (s[:-1] * 31 + s[1:] * 17 + 7) & self.mask
-        bucket, count = np.unique(np.concatenate([s & self.mask, pairs]), return_counts=True)
-        top = max(words.values())
+        chars, letters, upper, odd, bare, marked, func = f[:, 1:].sum(axis=0).tolist()
+        order = np.sort(k)
+        starts = np.flatnonzero(np.r_[True, order[1:] != order[:-1]])
+        top, distinct = int(np.diff(np.r_[starts, n]).max()), len(starts)
         vote = lambda x, good, bad: 1 if x <= good else 0 if x >= bad else ABSTAIN
         votes = [
-            vote(odd / max(1, chars), 0.01, 0.08),
+            vote(odd / chars, 0.01, 0.08),
             vote(upper / letters, 0.15, 0.5) if letters >= 40 else SHORT,
             vote(bare / n, 0.02, 0.15),
-            vote(again / n, 0.02, 0.15),
+            vote(int(same.sum()) / n, 0.02, 0.15),
             vote(top / n, 0.12, 0.3) if n >= 30 else SHORT,
             vote(marked / n, 0.05, 0.25),
-            vote(-len(words) / n, -0.25, -0.08) if n >= 100 else SHORT,
+            vote(-distinct / n, -0.25, -0.08) if n >= 100 else SHORT,
             SHORT if n < 30 else 1 if func / n >= 0.12 else ABSTAIN if func / n >= 0.02 else 0,
         ]
-        return (bucket, count / (n + SMOOTH)), votes
+        return np.concatenate([s, pairs]), n, votes
+
+    def counted(self, body: bytes | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """(distinct buckets, their smoothed shares, votes) of a text."""
+        b, n, votes = self.read(body)
+        bucket, count = np.unique(b, return_counts=True)
+        return bucket, count / (n + SMOOTH), votes
 
 
 def label_model(patterns: list[tuple[int, ...]], counts: np.ndarray, rounds: int) -> tuple[float, np.ndarray, np.ndarray]:
@@ -159,8 +181,10 @@ class Scorer:
     w: np.ndarray
     bits: int
 
-    def score(self, buckets: np.ndarray, values: np.ndarray) -> float:
-        z = self.bias + float((self.w[buckets] * values).sum())
+    def score(self, buckets: np.ndarray, n: int) -> float:
+        if not n:
+            return 0.0
+        z = self.bias + float(self.w[buckets].sum()) / (n + SMOOTH)
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
@@ -188,10 +212,10 @@ def _read(rows: DataFrame, bits: int, features: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(bits)
         for b in batches:
-            got = [reader.read(x.as_py()) for x in b.column(1)]
-            out = [b.column(0), pa.array(["".join(map(str, v)) for _, v in got])]
+            got = [(reader.counted if features else reader.read)(x.as_py()) for x in b.column(1)]
+            out = [b.column(0), pa.array(["".join(map(str, v)) for _, _, v in got])]
             if features:
-                out += [pa.array([x[0] for x, _ in got], pa.list_(pa.int64())), pa.array([x[1] for x, _ in got], pa.list_(pa.float64()))]
+                out += [pa.array([x for x, _, _ in got], pa.list_(pa.int64())), pa.array([x for _, x, _ in got], pa.list_(pa.float64()))]
             yield pa.record_batch(out, names=["doc_id", "votes", "buckets", "shares"][: len(out)])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -223,8 +247,8 @@ def score(docs: DataFrame, scorer: Scorer, s: Settings = Settings(), id_col: str
         reader = Reader(scorer.bits)
         for b in batches:
             got = [reader.read(x.as_py()) for x in b.column(1)]
-            scores = [scorer.score(*x) if len(x[0]) else 0.0 for x, _ in got]
-            yield pa.record_batch([b.column(0), pa.array(["".join(map(str, v)) for _, v in got]), pa.array(scores, pa.float64())], names=["doc_id", "votes", "score"])
+            scores = [scorer.score(x, n) for x, n, _ in got]
+            yield pa.record_batch([b.column(0), pa.array(["".join(map(str, v)) for _, _, v in got]), pa.array(scores, pa.float64())], names=["doc_id", "votes", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(run, f"doc_id {kind}, votes string, score double")
@@ -233,3 +257,23 @@ def score(docs: DataFrame, scorer: Scorer, s: Settings = Settings(), id_col: str
 
 def classify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return score(docs, fit(docs, s), s)
+
+
+def keep(docs: DataFrame, s: Settings = Settings(), text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the scorer keeps, with their columns; the text is read beside them."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, s, text_col=text_col))
+    threshold, names = s.threshold, docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = shared.value
+        reader = Reader(scorer.bits)
+        for b in batches:
+            kept = []
+            for x in b.column(at):
+                t = x.as_py()
+                buckets, n, _ = reader.read(t.encode() if t is not None else None)
+                kept.append(scorer.score(buckets, n) >= threshold)
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
