@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from astrolith.llm import chat, decontaminate, pieces, quality, repeats, secrets, sharding, simhash, toxicity
+from astrolith.llm import chat, decontaminate, pieces, quality, repeats, secrets, sharding, simhash, toxicity, webp
 from astrolith.session import table
 
 
@@ -14,6 +14,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.store(table(spark, sf_dir, "documents"), keep_media=False)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_quality, op4_repeats, op5_pieces, op6_chat, op7_shards, op8_toxicity, op9_simhash, op10_secrets)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_webp, op3_quality, op4_repeats, op5_pieces, op6_chat, op7_shards, op8_toxicity, op9_simhash, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
