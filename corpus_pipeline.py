@@ -1,13 +1,55 @@
-"""The corpus pipeline: quality filter, near-duplicates, decontamination, secrets, pieces."""
+"""The corpus pipeline: each stage applies one operator to what the stage before it kept.
+
+Stages but the last return the columns of ``documents``; the last returns piece ids. A row without a
+doc_id passes each filter by its own text, and a null text is rejected by the first stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from astrolith.llm import decontaminate, pieces, quality, secrets, simhash
+from astrolith.session import table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label scorer keeps."""
+    return quality.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of linked fingerprints."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark passages don't contaminate."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark and ``n_chars`` counted anew."""
+    return secrets.redact(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_pieces, ids, n_fallback, exact)``."""
+    return pieces.encode(docs, pieces.default_model()).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "n_fallback", "exact")
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secret_scan),
+    ("pieces", encode_pieces),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
