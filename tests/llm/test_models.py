@@ -1,0 +1,143 @@
+"""Quality, toxicity, secrets and the pipeline."""
+
+import random
+import re
+from zlib import crc32
+
+import pytest
+
+from astrolith.llm import quality, secrets, simhash, toxicity
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet(f"{SF}/labels.parquet")
+
+
+def test_quality_agrees_with_labels_that_it_never_saw(docs, labels):
+    got = {r.doc_id: r.keep for r in quality.classify(docs).collect()}
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    assert len(got) == docs.count()
+    right = sum(got[i] == bool(y) for i, y in marks.items())
+    assert right >= 0.97 * len(marks)
+    assert sum(not got[i] for i, y in marks.items() if y) <= 0.02 * len(marks)
+
+
+def test_quality_odd_rows(spark):
+    junk = "foo### bar### baz### " * 40
+    rows = [(1, None), (2, ""), (None, "A plain and simple sentence of the kind that is kept."), (4, junk), (4, junk)] + [(10 + k, f"The number {k} is in the list of words that are read by us and it is fine.") for k in range(40)]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string")
+    got = quality.classify(frame).collect()
+    assert len(got) == len(rows) and [r.keep for r in got if r.doc_id in (1, 2)] == [False, False]
+    assert quality.classify(frame.limit(0)).count() == 0
+
+
+def test_label_model_finds_good_and_bad_labellers():
+    rnd = random.Random(1)
+    counts, truth = {}, {}
+    for _ in range(4000):
+        y = rnd.random() < 0.7
+        votes = tuple(int(y if rnd.random() < a else not y) if rnd.random() < 0.9 else 2 for a in (0.95, 0.9, 0.85, 0.6))
+        counts[votes] = counts.get(votes, 0) + 1
+        truth.setdefault(votes, []).append(y)
+    import numpy as np
+
+    keys = sorted(counts)
+    _, table, good = quality.label_model(keys, np.array([counts[k] for k in keys]), 50)
+    hits = sum((g >= 0.5) == y for k, g in zip(keys, good) for y in truth[k])
+    assert hits > 0.93 * 4000 and table[1, 0, 1] > table[1, 3, 1]
+
+
+def test_toxicity_held_out(spark):
+    # Pairs decide: an insult counts beside a group word only, which no linear weights can tell.
+    rnd = random.Random(3)
+    noise = [f"word{k}" for k in range(300)]
+    rows, marks = [], []
+    for k in range(3000):
+        a, b = rnd.random() < 0.4, rnd.random() < 0.4
+        text = rnd.sample(noise, 20) + ["insult"] * a + ["group"] * b
+        rnd.shuffle(text)
+        rows.append((k, " ".join(text)))
+        marks.append((k, int(a and b)))
+    got = toxicity.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+    y = dict(marks)
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert sum(r.predicted == y[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_toxicity_odd_rows(spark, docs, labels):
+    rows = spark.createDataFrame([(1, None), (None, ""), (3, "x " * 400_000)], "doc_id long, text string")
+    for marks in (labels.limit(0), labels.where("toxic = 0")):
+        assert [0 <= r.score <= 0.5 for r in toxicity.classify(rows, marks.selectExpr("doc_id", "toxic")).collect()] == [True] * 3
+    assert toxicity.classify(rows.limit(0), labels).count() == 0
+
+
+def test_secrets_are_found_and_nothing_else(docs):
+    got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    pattern = re.compile(r'AKIA[A-Z0-9]{16}|(?i:password=)([0-9a-fA-F]{18})|(?i:token = ")([0-9a-fA-F]{40})"')
+    for r in docs.collect():
+        want = [(m.start(m.lastindex or 0), m.end(m.lastindex or 0)) for m in pattern.finditer(r.text)]
+        assert [(s.start, s.start + s.length) for s in got[r.doc_id].secrets] == want
+        text, at = "", 0
+        for a, z in want:
+            text, at = text + r.text[at:a] + secrets.MARK, z
+        assert got[r.doc_id].redacted == text + r.text[at:]
+
+
+def test_forest_expression_equals_the_model(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    seed = secrets.seed_findings(spark)
+    model = secrets.fit(seed, trees=5)
+    rows = seed.select("f", "f.*").withColumn("own", secrets.forest_score(secrets.trees_of(model), F.col("f")))
+    both = model.transform(VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(rows)).select("own", vector_to_array("probability")[1].alias("p")).collect()
+    assert all(abs(r.own - r.p) < 1e-9 for r in both) and len({r.own for r in both}) > 2
+
+
+def test_secrets_odd_rows(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (None, 'x token = "5f367f08b1a810c7777ad785b0be42018bfcbf49"'), (4, "password=9f86d081884c7d659a" * 2)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.find_secrets(rows).collect()}
+    assert got[1].redacted is None and got[2].redacted == "" and secrets.MARK in got[None].redacted
+    assert secrets.find_secrets(rows.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names, before = docs.columns, docs.count()
+    for k, (name, stage) in enumerate(c.STAGES):
+        out = str(tmp_path / name)
+        was = docs
+        stage(spark, docs, SF).write.parquet(out)
+        docs = spark.read.parquet(out)
+        assert docs.count() <= before
+        if k < 4:
+            assert docs.columns == names
+        if name == "near_duplicates":
+            comp = {r.doc_id: r.component_id for r in simhash.near_duplicates(was).collect()}
+            assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted({c for c in comp.values()})
+        if name == "decontamination":
+            from astrolith.llm import decontaminate as d
+
+            bad = {r.doc_id for r in d.find_contamination(was, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").collect()}
+            assert bad and {r.doc_id for r in was.collect()} - {r.doc_id for r in docs.collect()} == bad
+        if name == "secrets":
+            assert docs.where("text like '%[SECRET]%'").count() > 0 and docs.where("n_chars <> length(text)").count() == 0
+        before = docs.count()
+    assert "ids" in docs.columns
+
+
+def test_drop_near_duplicates_odd_rows(spark):
+    rows = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "q r s t u"), (None, "q r s t u")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in simhash.drop_near_duplicates(rows).collect()) == ["1", "None"]
