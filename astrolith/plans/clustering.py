@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.functions import keys
-from astrolith.operators import blocks, fof, spatial_join, stats, universe
+from astrolith.functions import geometry, keys
+from astrolith.operators import blocks, fof, partition, spatial_join, stats, traversal, tree, universe
 from astrolith.plans.sql import CUBE, D2, EMB, KEYED, ORD, REACH, edges, link, periodic_d2
 from astrolith.session import checkpoint_dir, cut
 from astrolith.sources.views import embedding_points, order_points
@@ -126,6 +126,34 @@ def visit_all(spark, sf):
     return blocks.visit_all_count(None, tree_leaves(universe.with_key(embedding_points(spark, sf)), 16, 5))
 
 
+def _tree(spark, sf) -> tuple[DataFrame, float]:
+    p, b = _emb(spark, sf)
+    keyed = universe.with_key(p)
+    leaf = partition.leaves(keyed, 16, 5).select("depth", "node", F.lit(True).alias("leaf"))
+    nodes = tree.rollup(keyed, 5, tree.box_payload()).join(leaf, ["depth", "node"], "left").withColumn("leaf", F.coalesce("leaf", F.lit(False)))
+    return cut(nodes), b
+
+
+def _within(b: float):
+    return F.when(geometry.box_min2("t", "s") <= F.lit(b * b), F.lit(True))
+
+
+def leaf_pairs_dual(spark, sf):
+    """Unordered pairs of different leaves that may hold friends: both trees go down together."""
+    nodes, b = _tree(spark, sf)
+    _, near = traversal.dual(nodes, traversal.JoinSpec(_within(b), mirrored=False, own=False), 6)
+    at = lambda x: F.struct(f"{x}.depth", f"{x}.node")
+    low, high = F.least(at("t"), at("s")), F.greatest(at("t"), at("s"))
+    return near.select(low["depth"].alias("a_depth"), low["node"].alias("a"), high["depth"].alias("b_depth"), high["node"].alias("b"))
+
+
+def leaf_pairs_top_down(spark, sf):
+    """The same pairs in both orders, with each leaf as a target."""
+    nodes, b = _tree(spark, sf)
+    _, near = traversal.top_down(nodes.where("leaf"), nodes, traversal.JoinSpec(_within(b), own=False), 5)
+    return near.select(F.col("t.depth").alias("a_depth"), F.col("t.node").alias("a"), F.col("s.depth").alias("b_depth"), F.col("s.node").alias("b"))
+
+
 def incremental_components(spark, sf):
     """Edges folded in two batches, as a stream would bring them."""
     checkpoint_dir(spark)
@@ -141,7 +169,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fixed_radius_pairs, fixed_radius_pairs_pbc, edge_checksum, fof_components, fof_components_cells, fof_orders, fof_histogram, fof_surviving, fof_sweep, fof_fragments, fof_merge_edges, fof_two_phases, untouched_fragments, fof_cells, fof_pbc,
-        label_checks, pair_distance_histogram, knn, visit_all, incremental_components,
+        label_checks, pair_distance_histogram, knn, visit_all, leaf_pairs_dual, leaf_pairs_top_down, incremental_components,
     )
 }
 
@@ -152,7 +180,14 @@ _E_OUT = f"x AS (SELECT a.id AS s, c.id AS t FROM k a JOIN k c ON a.id <> c.id A
 _MERGES = f"WITH RECURSIVE {_PIECES}, {_E_IN}, {REACH}, {_E_OUT}, m AS (SELECT DISTINCT least(f.label, g.label) AS lo, greatest(f.label, g.label) AS hi FROM x JOIN labels f ON f.id = x.s JOIN labels g ON g.id = x.t WHERE f.label <> g.label)"
 _HIST = "SELECT floor(log2(size))::INT AS bin, count(*) AS n_components, sum(size)::BIGINT AS n_points, max(size) AS max_size FROM (SELECT label, count(*) AS size FROM labels GROUP BY 1) WHERE size >= {} GROUP BY 1"
 
+_LEAVES = " UNION ALL ".join(f"SELECT {d} AS depth, key >> {63 - 3 * d} AS node, count(*) AS n, min(x) AS x_lo, max(x) AS x_hi, min(y) AS y_lo, max(y) AS y_hi, min(z) AS z_lo, max(z) AS z_hi FROM k GROUP BY 2" for d in range(6))
+_GAP = " + ".join(f"pow(greatest(0.0, a.{c}_lo - c.{c}_hi, c.{c}_lo - a.{c}_hi), 2)" for c in "xyz")
+_LEAF_PAIRS = f"""WITH {_PIECES}, lv AS ({_LEAVES}), f AS (SELECT lv.* FROM lv LEFT JOIN lv up ON up.depth = lv.depth - 1 AND up.node = lv.node >> 3 WHERE (lv.n <= 16 OR lv.depth = 5) AND (lv.depth = 0 OR up.n > 16))
+SELECT a.depth AS a_depth, a.node AS a, c.depth AS b_depth, c.node AS b FROM f a JOIN f c ON {{}}, b WHERE {_GAP} <= b.b * b.b"""
+
 SQL = {
+    "leaf_pairs_dual": _LEAF_PAIRS.format("(a.depth, a.node) < (c.depth, c.node)"),
+    "leaf_pairs_top_down": _LEAF_PAIRS.format("(a.depth, a.node) <> (c.depth, c.node)"),
     "fixed_radius_pairs": f"WITH {ORD}, {CUBE}, {link(F_ORD)} SELECT a.id AS src, c.id AS dst, round({D2}, 12) AS d2 FROM p a JOIN p c ON a.id < c.id AND abs(a.x - c.x) <= 0.05, b WHERE {D2} <= b.b * b.b",
     "fixed_radius_pairs_pbc": f"WITH {EMB}, {CUBE}, {link(0.6)} SELECT a.id AS src, c.id AS dst FROM p a JOIN p c ON a.id < c.id, b WHERE {periodic_d2(f'{PERIOD!r}::DOUBLE')} <= b.b * b.b",
     "edge_checksum": f"WITH {EMB}, {CUBE}, {link(F_EMB)}, {edges()} SELECT count(*) AS n, sum(s)::BIGINT AS sum_src, sum(t)::BIGINT AS sum_dst FROM e WHERE s < t",
