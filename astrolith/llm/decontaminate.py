@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from astrolith.llm.text import id_and_bytes
+from astrolith.session import cut
 
 WINDOW = 13
 #: Byte table: word bytes to themselves (A-Z lower-cased), all others to a space.
@@ -181,39 +182,53 @@ def _hits(shared):
     return run
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, max_block_bytes: int) -> list[dict[bytes, list[str]]]:
-    """Windows to item ids, in blocks of bounded size: what one broadcast carries."""
+def _windows(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``(window, id)`` rows of all items."""
     rows = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("body")).where("id is not null and body is not null")
-    blocks: list[dict[bytes, list[str]]] = [{}]
-    used = 0
-    for r in rows.toLocalIterator():
-        for w in windows_of(bytes(r["body"])):
-            if used + len(w) + 100 > max_block_bytes:
-                blocks.append({})
-                used = 0
-            ids = blocks[-1].setdefault(w, [])
-            if r["id"] not in ids:
-                ids.append(r["id"])
-            used += len(w) + 100
-    return blocks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(w, i) for i, x in zip(b.column(0).to_pylist(), b.column(1)) for w in windows_of(x.as_py(), size)]
+            yield pa.record_batch([pa.array([w for w, _ in found], pa.binary()), pa.array([i for _, i in found], pa.string())], names=["window", "id"])
+
+    return rows.mapInArrow(run, "window binary, id string").distinct()
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, max_block_bytes: int) -> list:
+    """Broadcasts of windows to item ids, each of about ``max_block_bytes`` at most.
+
+    Spark counts the bytes first; then the windows of one block at a time, chosen by their hash, pass the driver.
+    """
+    windows = _windows(items, id_col, text_col, WINDOW)
+    used = windows.agg(F.sum(F.octet_length("window") + F.octet_length("id") + 100)).first()[0] or 0
+    n = max(1, -(-used // max_block_bytes))
+    if n > 1:
+        windows = cut(windows)
+    out = []
+    for k in range(n):
+        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k).toArrow() if n > 1 else windows.toArrow()
+        block: dict[bytes, list[str]] = {}
+        for w, i in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            block.setdefault(w, []).append(i)
+        out.append(items.sparkSession.sparkContext.broadcast(block))
+    return out
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_bytes: int = 64 << 20) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, spans (hit word ranges ``[a, z)``), items (sorted as strings), n_hit, contaminated."""
-    spark = docs.sparkSession
     rows = id_and_bytes(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, spans array<struct<a:long,z:long>>, items array<string>"
-    blocks = [b for b in _blocks(items, item_col, item_text_col, max_block_bytes) if b] or [{}]
+    blocks = _blocks(items, item_col, item_text_col, max_block_bytes)
     if len(blocks) == 1:
-        found = rows.mapInArrow(_hits(spark.sparkContext.broadcast(blocks[0])), schema)
+        found = rows.mapInArrow(_hits(blocks[0]), schema)
     else:
         # Several blocks: each row is marked with a number so that repeated ids stay apart.
         marked = rows.withColumn("row", F.monotonically_increasing_id())
         parts = []
         for b in blocks:
             one = marked.select(F.struct("doc_id", "row").alias("doc_id"), "body")
-            parts.append(one.mapInArrow(_hits(spark.sparkContext.broadcast(b)), schema.replace(f"doc_id {kind}", f"doc_id struct<doc_id:{kind},row:long>")))
+            parts.append(one.mapInArrow(_hits(b), schema.replace(f"doc_id {kind}", f"doc_id struct<doc_id:{kind},row:long>")))
         union = parts[0]
         for p in parts[1:]:
             union = union.unionByName(p)
@@ -261,11 +276,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, max_block_bytes: int =
 
     With a benchmark of several blocks the decision needs all of them, so that the verdicts are joined by doc_id.
     """
-    blocks = [b for b in _blocks(items, "item_id", "text", max_block_bytes) if b] or [{}]
+    blocks = _blocks(items, "item_id", "text", max_block_bytes)
     if len(blocks) > 1:
         bad = find_contamination(docs, items, max_block_bytes=max_block_bytes).where("contaminated").select("doc_id").distinct()
         return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    shared = blocks[0]
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
