@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op4_repeats": repeats.ORACLE, "op6_chat": chat.ORACLE, "op7_shards": sharding.ORACLE}

@@ -490,3 +490,20 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every 400-byte string by its hash. Texts are taken as hexadecimal digits, in parts that overlap.
+ORACLE = """WITH body AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+sized AS (SELECT *, octet_length(b)::BIGINT AS n FROM body),
+hexed AS (SELECT r, n, hex(b) AS h FROM sized WHERE n >= 400),
+part AS (SELECT r, n, k, substr(h, 2 * 1024 * k + 1, 2 * 1423) AS h FROM (SELECT *, unnest(range(0, (n - 400) // 1024 + 1)) AS k FROM hexed)),
+win AS (SELECT r, 1024 * k + o AS p, md5(substr(h, 2 * o + 1, 800)) AS w FROM (SELECT *, unnest(range(0, least(1024, n - 399 - 1024 * k))) AS o FROM part)),
+dup AS (SELECT w FROM win GROUP BY w HAVING count(*) > 1),
+hit AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM win SEMI JOIN dup USING (w)),
+marked AS (SELECT *, sum(CASE WHEN before IS NULL OR p > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS s FROM hit),
+span AS (SELECT r, s, min(p) AS a, max(p) + 400 AS z FROM marked GROUP BY r, s),
+gaps AS (SELECT r, string_agg(substr(h, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) AS kept, max(z) AS last, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed
+  FROM (SELECT span.*, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS e FROM span) JOIN hexed USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN kept IS NULL THEN hex(b) ELSE kept || substr(hex(b), 2 * last + 1) END)) AS kept_sha256
+FROM sized LEFT JOIN gaps USING (r)
+"""

@@ -69,3 +69,19 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
     numbered = placed.withColumn("k", F.row_number().over(inside))
     return numbered.join(starts, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("k") - 1).cast("long").alias("slot"), "grown_shard")
+
+
+#: For tables of one bucket: the jump sequence by recursion, and CRC-32 by its table.
+ORACLE = f"""
+WITH RECURSIVE
+steps(i, c, k) AS (SELECT range, range::BIGINT, 0 FROM range(256) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+body AS (SELECT doc_id, text, list_prepend(4294967295::BIGINT, [('0x' || x)::BIGINT for x in regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]) AS l FROM documents),
+facts AS (SELECT doc_id, CAST(8 + len(l) - 1 AS BIGINT) AS size, xor(list_reduce(l, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM body, crc),
+jump(doc_id, n, key, b, j) AS (
+  SELECT DISTINCT doc_id, n, CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE doc_id::HUGEINT END, -1::BIGINT, 0::BIGINT FROM documents, (VALUES (24), (25)) AS v(n)
+  UNION ALL
+  SELECT doc_id, n, k, j, floor((j + 1) * (2147483648.0::DOUBLE / ((k >> 33) + 1)::DOUBLE))::BIGINT FROM (SELECT *, (key * {JUMP} + 1) % 18446744073709551616 AS k FROM jump WHERE j < n)),
+shards AS (SELECT doc_id, max(b) FILTER (WHERE n = 24)::INT AS shard, max(b) FILTER (WHERE n = 25)::INT AS grown_shard FROM jump WHERE j >= n GROUP BY doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS BIGINT) AS slot, grown_shard FROM facts JOIN shards USING (doc_id)
+"""
