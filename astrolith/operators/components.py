@@ -40,18 +40,22 @@ def roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int
         both = live.select(F.col("a").alias("id"), F.col("b").alias("nbr")).unionByName(
             live.select(F.col("b").alias("id"), F.col("a").alias("nbr"))
         )
-        step = cut(
+        step = (
             both.groupBy("id")
             .agg(F.min(_rank("nbr", k)).alias("best"))
             .select("id", F.least(_rank("id", k), F.col("best"))["id"].alias("to"))
         )
-        maps.append(step)
         to_a = step.select(F.col("id").alias("a"), F.col("to").alias("ta"))
         to_b = step.select(F.col("id").alias("b"), F.col("to").alias("tb"))
-        live = cut(
-            live.join(to_a, "a")
-            .join(to_b, "b")
-            .where(F.col("ta") != F.col("tb"))
+        # One write a round: the edges with the vertices that their ends point at give both the map and the next edges.
+        moved = cut(live.join(to_a, "a").join(to_b, "b"))
+        maps.append(
+            moved.select(F.col("a").alias("id"), F.col("ta").alias("to"))
+            .unionByName(moved.select(F.col("b").alias("id"), F.col("tb").alias("to")))
+            .distinct()
+        )
+        live = (
+            moved.where(F.col("ta") != F.col("tb"))
             .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
             .distinct()
         )
@@ -63,11 +67,11 @@ def roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int
     for step in reversed(maps[:-1]):
         later = final.select(F.col("id").alias("to"), F.col("root").alias("later"))
         final = step.join(later, "to", "left").select("id", F.coalesce("later", "to").alias("root"))
-    return cut(final) if len(maps) > 2 else final
+    return cut(final)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(id, component)``: component is the smallest id of the vertex's connected component."""
-    root = cut(roots(edges, src, dst))
+    root = roots(edges, src, dst)
     least = root.groupBy("root").agg(F.min("id").alias("component"))
     return root.join(least, "root").select("id", "component")
