@@ -9,8 +9,9 @@ infinite. One path per text is then finite, namely the BPE segmentation.
 
 **Encoding.** Composition with an input is a lattice over its positions; its shortest path in the
 tropical semiring (min, +) gives the pieces. As no piece holds white space after another character,
-no arc crosses a word's start, so the lattice falls apart into words. Distinct words of a batch are
-solved together, position by position; words seen before are looked up.
+no arc crosses a word's start, so the lattice falls apart into words; nor does one cross two characters that are
+neighbours in no piece, so words fall apart into units. Distinct units of a batch are solved together, position
+by position; words and units that a worker saw before are looked up, in memories of bounded size.
 
 **Decoding.** Pieces and bytes are joined, white space marks become spaces, the dummy prefix goes.
 
@@ -71,6 +72,36 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             raise ValueError("not a model file")
 
 
+class Lookup:
+    """Places of 64-bit keys, by buckets of their mixed top bits."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        h = self._mix(keys)
+        self.order = np.argsort(h)
+        self.keys = keys[self.order]
+        self.start = np.searchsorted(h[self.order] >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+
+    @staticmethod
+    def _mix(keys: np.ndarray) -> np.ndarray:
+        return keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key among those given, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        bucket = (self._mix(keys) >> self.shift).astype(np.int64)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            here = at[open_]
+            hit = self.keys[here] == keys[open_]
+            out[open_[hit]] = self.order[here[hit]]
+            at[open_] += 1
+            open_ = open_[~hit & (here + 1 < end[open_])]
+        return out
+
+
 @dataclass
 class Model:
     pieces: list[str]
@@ -114,6 +145,7 @@ class Transducer:
 
     def __init__(self, model: Model):
         self.model = model
+        self._encoder: Encoder | None = None
         self.symbol: dict[str, int] = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k in (NORMAL, USER)}
         self.byte = [-1] * 256
         for i, (p, k) in enumerate(zip(model.pieces, model.kinds)):
@@ -122,6 +154,7 @@ class Transducer:
         self.unknown = model.kinds.index(UNKNOWN)
         texts = [p for p in self.symbol if len(p) > 1]
         inside = {c for p in texts for c in p}
+        self.neighbours = {p[k : k + 2] for p in texts for k in range(len(p) - 1)}
         self.size = len(model.pieces)
         for c in sorted(inside - self.symbol.keys()):
             self.symbol[c] = self.size
@@ -148,10 +181,9 @@ class Transducer:
         h = np.zeros(len(texts_), np.uint64)
         for j in range(self.longest):
             h = np.where(j < lens, self._step(h, codes[:, j]), h)
-        order = np.argsort(h)
-        self.arc_hash, self.arc_id, self.arc_code, self.arc_len = h[order], ids[order], codes[order], lens[order]
-        if (self.arc_hash[1:] == self.arc_hash[:-1]).any():
+        if len(np.unique(h)) < len(h):
             raise ValueError("two prefixes share a hash")
+        self.arcs, self.arc_id, self.arc_code, self.arc_len = Lookup(h), ids, codes, lens
         self.cost = np.zeros(self.size + 1)
         if not model.bpe:
             floor = min((s for s, k in zip(model.scores, model.kinds) if k == NORMAL), default=0.0)
@@ -187,9 +219,8 @@ class Transducer:
                 if len(seq) == 2:
                     self.left[i], self.right[i] = seq
                 seq[k : k + 2] = [joins[seq[k], seq[k + 1]]]
-        keys = np.array([a * (self.size + 1) + b for a, b in joins], np.int64)
-        order_ = np.argsort(keys)
-        self.join_key, self.join_id = keys[order_], np.array(list(joins.values()), np.int64)[order_]
+        self.joins = Lookup(np.array([a * (self.size + 1) + b for a, b in joins], np.int64))
+        self.join_rank = np.append(self.rank[list(joins.values())], FREE)  # the last: no such pair
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether piece b may follow piece a: undo the later of the two symbols at the border, step by step,
@@ -201,11 +232,8 @@ class Transducer:
         equal = np.zeros(len(a), bool)  # whether one of that rank itself, being further left, would have too
         while len(live):
             x, y = a[live], b[live]
-            key = x * (self.size + 1) + y
-            at = np.minimum(np.searchsorted(self.join_key, key), max(0, len(self.join_key) - 1))
-            hit = self.join_key[at] == key if len(self.join_key) else np.zeros(len(key), bool)
-            r = np.where(hit, self.rank[self.join_id[at]] if len(self.join_key) else 0, FREE)
-            bad = hit & ((r < until[live]) | ((r == until[live]) & equal[live]))
+            r = self.join_rank[self.joins.find(x * (self.size + 1) + y)]
+            bad = (r != FREE) & ((r < until[live]) | ((r == until[live]) & equal[live]))
             ok[live[bad]] = False
             done = bad | ((self.rank[x] < 0) & (self.rank[y] < 0))
             live, x, y = live[~done], x[~done], y[~done]
@@ -218,17 +246,15 @@ class Transducer:
             b[live] = np.where(of_a, y, self.left[y])
         return ok
 
-    def shortest(self, words: list[str]) -> list[np.ndarray]:
-        """The symbols of each word's shortest path; ``size`` stands for a character without a piece."""
-        out: list = [None] * len(words)
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            for k, path in zip(some, self._solve([words[k] for k in some])):
-                out[k] = path
-        return out
+    def shortest(self, words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """Blocks of words of about one length: the words, the symbols of their shortest paths one after another, and
+        where each path ends. ``size`` stands for a character without a piece."""
+        order = sorted(words, key=len)
+        for at in range(0, len(order), 8192):
+            some = order[at : at + 8192]
+            yield some, *self._solve(some)
 
-    def _solve(self, words: list[str]) -> list[np.ndarray]:
+    def _solve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         n, lens = len(words), np.array([len(w) for w in words])
         top = int(lens.max(initial=0))
         code = np.zeros((top, n), np.int64)
@@ -253,8 +279,8 @@ class Transducer:
                 if not len(rows):
                     break
                 h = self._step(h, code[j, rows])
-                at = np.minimum(np.searchsorted(self.arc_hash, h), len(self.arc_hash) - 1)
-                known = np.flatnonzero((self.arc_hash[at] == h) & (self.arc_len[at] == j - i + 1))
+                at = self.arcs.find(h)
+                known = np.flatnonzero((at >= 0) & (self.arc_len[at] == j - i + 1))
                 same = (self.arc_code[at[known], : j - i + 1] == code[i : j + 1, rows[known]].T).all(axis=1)
                 known = known[same]
                 piece = np.full(len(rows), -1, np.int64)
@@ -278,8 +304,14 @@ class Transducer:
                 break
             steps[on, k] = last[at[on], on]
             at[on] -= self.length[steps[on, k]]
-        begin = (steps < 0).sum(axis=1)
-        return [row[b:] for row, b in zip(steps, begin.tolist())]
+        used = steps >= 0
+        return steps[used], np.cumsum(used.sum(axis=1))
+
+    def encoder(self) -> Encoder:
+        """This process's encoder: its memories outlive a task where Spark uses a worker again."""
+        if not self._encoder:
+            self._encoder = Encoder(self)
+        return self._encoder
 
     def _follows(self, a, b, before, after):
         # A character without a piece may still be a symbol inside larger ones.
@@ -288,10 +320,10 @@ class Transducer:
 
 
 class Encoder:
-    """Texts to piece ids and back, with a memory of words."""
+    """Texts to piece ids and back, with memories of at most about ``remember`` words and twice as many units."""
 
-    def __init__(self, transducer: Transducer, remember: int = 400_000):
-        self.t, self.remember, self.known = transducer, remember, {}
+    def __init__(self, transducer: Transducer, remember: int = 300_000):
+        self.t, self.remember, self.known, self.units = transducer, remember, {}, {}
         b = re.escape(transducer.breaks)
         self.split = re.compile(f"{SPACE}*[^{SPACE}{b}]+|{SPACE}+|[{b}]" if transducer.words else f"[^{b}]+|[{b}]", re.S)
         self.out = [b""] * len(transducer.model.pieces)
@@ -310,17 +342,32 @@ class Encoder:
         parts = [None if x is None else self.split.findall(self.normalise(x)) for x in texts]
         if len(self.known) > self.remember:
             self.known.clear()
-        known = self.known
-        new = {w for p in parts if p for w in set(p) if w not in known}
-        if new:
-            words = sorted(new)
-            short = [w for w in words if len(w) <= LONG]
-            for w, path in zip(short, self.t.shortest(short)):
-                known[w] = self._ids(w, path)
-            for w in words:
-                if len(w) > LONG:
-                    known[w] = self._ids(w, _one(self.t, w))
-        return [None if p is None else np.frombuffer(b"".join([known[w] for w in p]), "<i4") for p in parts]
+        if len(self.units) > 2 * self.remember:
+            self.units.clear()
+        known, units = self.known, self.units
+        new = {w: self._units(w) for w in set().union(*filter(None, parts)).difference(known)}
+        self._solve({u for us in new.values() for u in us}.difference(units))
+        for w, us in new.items():
+            known[w] = units[us[0]] if len(us) == 1 else b"".join([units[u] for u in us])
+        return [None if p is None else np.frombuffer(b"".join(map(known.__getitem__, p)), "<i4") for p in parts]
+
+    def _units(self, word: str) -> list[str]:
+        """The word cut between characters that are neighbours in no piece."""
+        near = self.t.neighbours
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in near]
+        return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+
+    def _solve(self, new: set[str]) -> None:
+        units, none = self.units, self.t.size
+        for some, path, ends in self.t.shortest([u for u in new if len(u) <= LONG]):
+            raw, fallback = path.astype("<i4").tobytes(), set(np.searchsorted(ends, np.flatnonzero(path == none), "right").tolist())
+            at = 0
+            for k, (u, end) in enumerate(zip(some, ends.tolist())):
+                units[u] = self._ids(u, path[at:end]) if k in fallback else raw[4 * at : 4 * end]
+                at = end
+        for u in new:
+            if len(u) > LONG:
+                units[u] = self._ids(u, _one(self.t, u))
 
     def _ids(self, word: str, path: np.ndarray) -> bytes:
         ids, at = [], 0
@@ -377,7 +424,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = shared.value.encoder()
         fallback = np.zeros(len(encoder.out), bool)
         fallback[[i for i in encoder.t.byte if i >= 0]] = True
         for b in batches:
@@ -412,8 +459,6 @@ def digest(encoded: DataFrame) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_fallback", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "exact")
 
 
-def default_model() -> bytes:
-    import public_tokenizers
-
-    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+def default_model(path: str = "/opt/tokenizers/piece_bpe_32k.model") -> bytes:
+    with open(path, "rb") as f:
         return f.read()

@@ -37,7 +37,9 @@ def test_unigram_weights():
     scores = [0, -3.0, -2.0, -2.5, -2.2, -2.6, -4.5, -3.9]
     m = p.Model(pieces, scores, [p.UNKNOWN] + [p.NORMAL] * 7, False, True, True)
     t = p.Transducer(m)
-    got = [t.model.pieces[i] for i in t.shortest(["▁abab"])[0]]
+    ((_, path, ends),) = t.shortest(["▁abab"])
+    assert ends.tolist() == [len(path)]
+    got = [t.model.pieces[i] for i in path]
     best = {}
 
     def walk(text, cost, path):
