@@ -2,13 +2,16 @@
 
 **Decoder.** Prefix codes (simple and normal, groups by an entropy image), back-references (with the near-distance
 map), colour cache, and the inverse predictor, cross-colour, subtract-green and palette transforms (with packed
-indices). Images whose only codes are shared literal codes and back-references are decoded in lockstep, one symbol of
-all images at a time; all others one by one.
+indices). Each image's codes are read from its own bytes. Pixels of many images are decoded in lockstep, one pixel of
+all of them at a time, side images (palettes, predictor modes, cross-colour elements) too; only images with several
+groups of codes are decoded one by one.
 
 **Texts.** A text's UTF-8 bytes, padded with spaces to a positive multiple of 192, are the RGB samples of images 64
 pixels wide, of at most 64 rows each: longer texts make several images, in order, so that no image grows with the
-text. The stored form is these files joined; sizes in their headers part them again. Literals take fixed
-prefix codes, made by Huffman's rule from fixed weights; a final run of one pixel is a back-reference.
+text. The stored form is these files joined; sizes in their headers part them again. An image of at most 256 colours
+takes a palette; any other takes the one of predictor, cross-colour, subtract-green and no transform of fewest
+estimated bits, and a colour cache where it is hit often. Copies of earlier pixels become back-references. Codes are
+fitted to each image, in one group.
 
 One scan, no shuffle. Nulls: a null text is empty; a null id keeps its row. Equal texts give equal values. An empty
 table gives an empty result. Other columns are not read.
@@ -18,8 +21,10 @@ from __future__ import annotations
 
 import heapq
 import struct
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from functools import cache, cached_property, lru_cache
 from hashlib import sha256
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -69,45 +74,70 @@ class Writer:
         return self.value.to_bytes((self.n + 7) // 8, "little")
 
 
+@cache
+def _reversed(n: int) -> np.ndarray:
+    """The numbers below 2^n with their n bits in reverse order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
 class Code:
-    """A canonical prefix code: symbol lengths, and the symbol of each 15-bit window of the stream."""
+    """A canonical prefix code: symbol lengths, and (symbol << 4 | length) of each window of the stream."""
 
     def __init__(self, lengths: list[int]):
         self.lengths = lengths
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.single = used[0][1] if len(used) == 1 else None
-        if not used:
+        size = np.array(lengths)
+        used = np.flatnonzero(size)
+        if not len(used):
             raise ValueError("a prefix code without symbols")
-        self.codes = [0] * len(lengths)
-        self.sym, self.len = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int64)
+        self.single = int(used[0]) if len(used) == 1 else None
+        self.codes = np.zeros(len(size), np.int64)
         if self.single is not None:
-            self.sym[:] = self.single
-            return
-        code, last, room = 0, 0, 0
-        for n, s in sorted(used):
-            code <<= n - last
-            last = n
-            reverse = int(f"{code:0{n}b}"[::-1], 2)
-            self.codes[s] = reverse
-            self.sym[reverse :: 1 << n], self.len[reverse :: 1 << n] = s, n
-            code += 1
-            room += 1 << (15 - n)
-        if room != 1 << 15:
-            raise ValueError("a prefix code that isn't complete")
+            self.mask = 0
+        else:
+            used = used[np.argsort(size[used], kind="stable")]
+            n = size[used]
+            longest = int(n[-1])
+            room = 1 << (longest - n)
+            ends = np.cumsum(room)
+            if ends[-1] != 1 << longest:
+                raise ValueError("a prefix code that isn't complete")
+            self.codes[used] = _reversed(longest)[ends - room]
+            self.parts = (used << 4 | n).astype(np.int32), room, longest
+            self.mask = (1 << longest) - 1
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        if self.single is not None:
+            return np.array([self.single << 4], np.int32)
+        values, room, longest = self.parts
+        return np.repeat(values, room)[_reversed(longest)]
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        """Bits that each symbol takes."""
+        return np.zeros(len(self.lengths), np.int64) if self.single is not None else np.array(self.lengths)
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
         a = bits.at
-        w = (int.from_bytes(bits.data[a >> 3 : (a >> 3) + 3], "little") >> (a & 7)) & 0x7FFF
-        bits.at += int(self.len[w])
+        v = int(self.table[(int.from_bytes(bits.data[a >> 3 : (a >> 3) + 3], "little") >> (a & 7)) & self.mask])
+        bits.at += v & 15
         if bits.at > 8 * len(bits.data):
             raise ValueError("image data ends early")
-        return int(self.sym[w])
+        return v >> 4
 
     def put(self, out: Writer, s: int) -> None:
         if self.single is None:
-            out.put(self.codes[s], self.lengths[s])
+            out.put(int(self.codes[s]), self.lengths[s])
+
+
+@lru_cache(1 << 10)
+def code_of(lengths: bytes) -> Code:
+    return Code(list(lengths))
 
 
 def read_code(bits: Bits, size: int) -> Code:
@@ -117,33 +147,52 @@ def read_code(bits: Bits, size: int) -> Code:
         symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
         for s in symbols:
             lengths[s] = 1
-        return Code(lengths)
+        return code_of(bytes(lengths))
     own = [0] * 19
     for k in range(4 + bits.read(4)):
         own[LENGTH_ORDER[k]] = bits.read(3)
     left = size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
-    code, at, before = Code(own), 0, 8
+    code, at, before = code_of(bytes(own)), 0, 8
+    table, mask, data, place = code.table.tolist(), code.mask, bits.data, bits.at
     while at < size and left:
         left -= 1
-        s = code.read(bits)
+        w = int.from_bytes(data[place >> 3 : (place >> 3) + 3], "little") >> (place & 7)
+        v = table[w & mask]
+        s, n = v >> 4, v & 15
+        place += n
         if s < 16:
             lengths[at] = s
             at += 1
             before = s or before
         else:
             value, extra, base = ((before, 2, 3), (0, 3, 3), (0, 7, 11))[s - 16]
-            n = base + bits.read(extra)
+            n = base + ((w >> n) & ((1 << extra) - 1))
+            place += extra
             if at + n > size:
                 raise ValueError("too many code lengths")
-            lengths[at : at + n] = [value] * n
+            if value:
+                lengths[at : at + n] = [value] * n
             at += n
-    return Code(lengths)
+    bits.at = place
+    if place > 8 * len(data):
+        raise ValueError("image data ends early")
+    return code_of(bytes(lengths))
 
 
 def write_code(out: Writer, lengths: list[int]) -> Code:
-    used = [s for s, n in enumerate(lengths) if n]
+    value, n = _written(bytes(lengths))
+    out.put(value, n)
+    used = len(lengths) - lengths.count(0)
+    return code_of(bytes(min(1, k) for k in lengths) if used == 2 and n <= 19 else bytes(lengths))
+
+
+@lru_cache(1 << 10)
+def _written(lengths: bytes) -> tuple[int, int]:
+    """A code's lengths as bits, and their number."""
+    out = Writer()
+    used = [s for s, n in enumerate(lengths) if n] if len(lengths) - lengths.count(0) <= 2 else [256]
     if len(used) <= 2 and all(s < 256 for s in used):
         out.put(1, 1)
         out.put(len(used) - 1, 1)
@@ -151,25 +200,42 @@ def write_code(out: Writer, lengths: list[int]) -> Code:
         out.put(used[0], 8 if used[0] > 1 else 1)
         if len(used) == 2:
             out.put(used[1], 8)
-        return Code([int(n > 0) for n in lengths])
+        return out.value, out.n
     out.put(0, 1)
-    present = sorted(set(lengths))
-    own = [0] * 19
-    size = max(1, (len(present) - 1).bit_length())
-    spare = (1 << size) - len(present)
-    for k, n in enumerate(present):  # a complete code of nearly equal lengths
-        own[n] = size - 1 if k < spare and size > 1 else size
-    if len(present) == 1:
-        own[present[0]] = 1
-    count = 19
+    tokens = []  # (symbol, extra bits, their value)
+    for n, same in groupby(lengths):
+        k = len(list(same))
+        if n:
+            tokens.append((n, 0, 0))
+            k -= 1
+        while k >= 3:
+            if n:
+                step, token = min(k, 6), (16, 2, min(k, 6) - 3)
+            elif k <= 10:
+                step, token = k, (17, 3, k - 3)
+            else:
+                step, token = min(k, 138), (18, 7, min(k, 138) - 11)
+            tokens.append(token)
+            k -= step
+        tokens += [(n, 0, 0)] * k
+    weights = [0] * 19
+    for t in tokens:
+        weights[t[0]] += 1
+    own = huffman_lengths(weights, 7)
+    count = max(4, 1 + max(k for k in range(19) if own[LENGTH_ORDER[k]]))
     out.put(count - 4, 4)
     for k in range(count):
         out.put(own[LENGTH_ORDER[k]], 3)
     out.put(0, 1)
-    code = Code(own)
-    for n in lengths:
-        code.put(out, n)
-    return Code(lengths)
+    code = code_of(bytes(own))
+    codes, sizes = code.codes.tolist(), code.bits.tolist()
+    value = at = 0
+    for t, extra, rest in tokens:
+        n = sizes[t]
+        value |= (codes[t] | rest << n) << at
+        at += n + extra
+    out.put(value, at)
+    return out.value, out.n
 
 
 def prefix_of(value: int) -> tuple[int, int, int]:
@@ -181,6 +247,13 @@ def prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * (extra + 1) + ((v >> extra) & 1), extra, v & ((1 << extra) - 1)
 
 
+def _prefixes(values: list[int]) -> np.ndarray:
+    """The same of many values, as rows."""
+    v = np.array(values, np.int64) - 1
+    extra = np.where(v < 4, 0, np.frexp(v.astype(np.float64))[1] - 2)
+    return np.stack([np.where(v < 4, v, 2 * (extra + 1) + ((v >> extra) & 1)), extra, v & ((1 << extra) - 1)])
+
+
 def read_value(bits: Bits, symbol: int) -> int:
     if symbol < 4:
         return symbol + 1
@@ -273,31 +346,55 @@ def predict(mode: int, left, top, corner, after) -> np.ndarray:
         return avg(avg(left, corner), avg(top, after))
     if mode == 11:
         guess = left + top - corner
-        return left if np.abs(guess - left).sum() < np.abs(guess - top).sum() else top
+        return np.where(np.abs(guess - left).sum(-1, keepdims=True) < np.abs(guess - top).sum(-1, keepdims=True), left, top)
     if mode == 12:
         return _clamp(left + top - corner)
     mean = avg(left, top)
     return _clamp(mean + (np.abs(mean - corner) // 2) * np.sign(mean - corner))
 
 
-def _predicted(c: np.ndarray, y: int, x: int, mode: int) -> np.ndarray:
-    if y == 0:
-        return c[0, x - 1] if x else np.array([0, 0, 0, 255], np.int16)
-    if x == 0:
-        return c[y - 1, 0]
-    w = c.shape[1]
-    return predict(mode, c[y, x - 1], c[y - 1, x], c[y - 1, x - 1], c[y - 1, x + 1] if x + 1 < w else c[y, 0])
+#: Predictors that don't use the pixel to the left.
+FROM_ABOVE = (0, 2, 3, 4, 8, 9, 14, 15)
 
 
-def undo_predictor(p: np.ndarray, modes: np.ndarray, shift: int, forward: bool = False) -> np.ndarray:
+def apply_predictor(p: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
+    """Differences from the predictions."""
+    c = channels(p)
+    h, w = p.shape
+    mode = ((modes >> 8) & 15)[np.arange(h)[:, None] >> shift, np.arange(w)[None, :] >> shift]
+    guess = np.zeros_like(c)
+    guess[0, 0] = [0, 0, 0, 255]
+    guess[0, 1:], guess[1:, 0] = c[0, :-1], c[:-1, 0]
+    left, top, corner = c[1:, :-1], c[:-1, 1:], c[:-1, :-1]
+    after = np.concatenate([c[:-1, 2:], c[1:, :1]], axis=1) if w > 1 else top
+    for m in np.unique(mode[1:, 1:]).tolist():
+        guess[1:, 1:] = np.where((mode[1:, 1:] == m)[..., None], predict(m, left, top, corner, after), guess[1:, 1:])
+    return words((c - guess) & 255)
+
+
+def undo_predictor(p: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
+    """Row by row: what is predicted from above at once, what is predicted by the left pixel as sums, the rest in turn."""
     c = channels(p)
-    out = c.copy()
-    known = c if forward else out
-    for y in range(c.shape[0]):
-        for x in range(c.shape[1]):
-            guess = _predicted(known, y, x, (int(modes[y >> shift, x >> shift]) >> 8) & 15)
-            out[y, x] = (c[y, x] - guess if forward else c[y, x] + guess) & 255
-    return words(out)
+    h, w = p.shape
+    c[0, 0] = (c[0, 0] + [0, 0, 0, 255]) & 255
+    c[0] = np.cumsum(c[0], axis=0, dtype=np.int64) & 255
+    kinds = ((modes >> 8) & 15).tolist()
+    for y in range(1, h):
+        row, up = c[y], c[y - 1]
+        row[0] = (row[0] + up[0]) & 255
+        after = np.concatenate([up[1:], row[:1]])  # of pixel x at x
+        at = 1
+        for mode, same in groupby(kinds[y >> shift]):
+            end = min(w, ((at >> shift) + len(list(same))) << shift)
+            if mode in FROM_ABOVE:
+                row[at:end] = (row[at:end] + predict(mode, None, up[at:end], up[at - 1 : end - 1], after[at:end])) & 255
+            elif mode == 1:
+                row[at:end] = np.cumsum(row[at - 1 : end], axis=0, dtype=np.int64)[1:] & 255
+            else:
+                for x in range(at, end):
+                    row[x] = (row[x] + predict(mode, row[x - 1], up[x], up[x - 1], after[x])) & 255
+            at = end
+    return words(c)
 
 
 def undo_cross(p: np.ndarray, elements: np.ndarray, shift: int, forward: bool = False) -> np.ndarray:
@@ -337,9 +434,8 @@ def pack_of(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
-def decode_image(data: bytes) -> np.ndarray:
-    """A VP8L chunk's pixels as ARGB words, (height, width)."""
-    bits = Bits(data)
+def image_steps(bits: Bits) -> Generator[tuple[int, int, bool], np.ndarray, np.ndarray]:
+    """A VP8L chunk's pixels as ARGB words, (height, width). Asks for each pixel stream as (width, height, main)."""
     if bits.read(8) != 0x2F:
         raise ValueError("no lossless image")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -354,16 +450,17 @@ def decode_image(data: bytes) -> np.ndarray:
         seen.add(kind)
         if kind in (PREDICTOR, CROSS):
             shift = bits.read(3) + 2
-            sub = _read_pixels(bits, -(-inner // (1 << shift)), -(-height // (1 << shift)), False)
+            sub = yield -(-inner // (1 << shift)), -(-height // (1 << shift)), False
             steps.append((kind, sub, shift))
         elif kind == GREEN:
             steps.append((kind, None, 0))
         else:
             n = bits.read(8) + 1
-            colours = words(np.cumsum(channels(_read_pixels(bits, n, 1, False))[0].astype(np.int64), axis=0) & 255)
+            sub = yield n, 1, False
+            colours = words(np.cumsum(channels(sub)[0].astype(np.int64), axis=0) & 255)
             steps.append((kind, (colours, inner), pack_of(n)))
             inner = -(-inner // (1 << pack_of(n)))
-    p = _read_pixels(bits, inner, height, True)
+    p = yield inner, height, True
     for kind, sub, shift in reversed(steps):
         if kind == PREDICTOR:
             p = undo_predictor(p, sub, shift)
@@ -376,6 +473,144 @@ def decode_image(data: bytes) -> np.ndarray:
     return p
 
 
+def decode_image(data: bytes) -> np.ndarray:
+    """One chunk's pixels, symbol by symbol."""
+    bits = Bits(data)
+    steps = image_steps(bits)
+    ask = next(steps)
+    while True:
+        try:
+            ask = steps.send(_read_pixels(bits, *ask))
+        except StopIteration as done:
+            return done.value
+
+
+def decode_images(chunks: list[bytes]) -> list[np.ndarray]:
+    """The same for many chunks, in lockstep."""
+    out: list[np.ndarray | None] = [None] * len(chunks)
+    lanes = []
+    for k, c in enumerate(chunks):
+        bits = Bits(c)
+        steps = image_steps(bits)
+        lanes.append((k, bits, steps, next(steps)))
+    while lanes:
+        after = []
+        for (k, bits, steps, _), p in zip(lanes, read_together([(bits, *ask) for _, bits, _, ask in lanes])):
+            try:
+                after.append((k, bits, steps, steps.send(p)))
+            except StopIteration as done:
+                out[k] = done.value
+        lanes = after
+    return out
+
+
+NEAR_X, NEAR_Y = np.array(NEAR).T
+
+
+def read_together(asked: list[tuple[Bits, int, int, bool]]) -> list[np.ndarray]:
+    """A pixel stream (width, height, main) of each of the readers, as ``_read_pixels`` gives them."""
+    out: list[np.ndarray | None] = [None] * len(asked)
+    lanes = []
+    for k, (bits, width, height, main) in enumerate(asked):
+        at = bits.at
+        cache_bits = bits.read(4) if bits.read(1) else 0
+        if cache_bits > 11:
+            raise ValueError("colour cache too large")
+        if main and bits.read(1):
+            bits.at = at
+            out[k] = _read_pixels(bits, width, height, main)
+        else:
+            lanes.append((width * height, k, cache_bits, _read_codes(bits, 1 << cache_bits if cache_bits else 0)))
+    if not lanes:
+        return out
+    lanes.sort(key=lambda x: (-x[0], x[1]))  # those that live at a step come first
+    count = np.array([x[0] for x in lanes])
+    width = np.array([asked[x[1]][1] for x in lanes])
+    base = np.cumsum(count) - count
+    sizes = np.array([len(asked[x[1]][0].data) for x in lanes])
+    starts = np.cumsum(sizes + 16) - (sizes + 16)
+    data = np.frombuffer(b"".join(asked[x[1]][0].data + b"\0" * 16 for x in lanes), np.uint8)
+    view = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    pos = starts * 8 + np.array([asked[x[1]][0].at for x in lanes])
+    stop = (starts + sizes) * 8
+    tables = [[x[3][j] for x in lanes] for j in range(5)]
+    table = [np.concatenate([c.table for c in col]) for col in tables]
+    mask = [np.array([c.mask for c in col]) for col in tables]
+    off = [np.cumsum(m + 1) - (m + 1) for m in mask]
+    opaque = not mask[3].any()
+    alpha = table[3][off[3]].astype(np.int64) >> 4 << 24
+    cached = np.flatnonzero([x[2] > 0 for x in lanes])
+    cache_size = np.array([1 << x[2] if x[2] else 0 for x in lanes])
+    cache_base, cache_shift = np.cumsum(cache_size) - cache_size, np.array([32 - x[2] for x in lanes])
+    memory = np.zeros(int(cache_size.sum()), np.int64)
+    pixels = np.zeros(int(count.sum()), np.int64)
+    left, dist = np.zeros(len(lanes), np.int64), np.ones(len(lanes), np.int64)
+    copying = 0
+
+    def window(at):
+        return (view[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64)
+
+    def symbol(j, lane, w):
+        v = table[j][off[j][lane] + (w & mask[j][lane])].astype(np.int64)
+        return v >> 4, v & 15
+
+    def value(at, s):
+        extra = np.where(s < 4, 0, (s - 2) >> 1)
+        return np.where(s < 4, s + 1, ((2 + (s & 1)) << extra) + (window(at) & ((1 << extra) - 1)) + 1), at + extra
+
+    for t, m in enumerate(np.searchsorted(-count, -np.arange(int(count[0]))).tolist()):
+        lane = np.flatnonzero(left[:m] == 0) if copying else slice(0, m)
+        at = pos[lane]
+        w = window(at)
+        s, n = symbol(0, lane, w)
+        at = at + n
+        if len(s) and s.max() >= 256:
+            lane = np.arange(m)[lane]
+            pos[lane] = at
+            far = lane[(s >= 256) & (s < 280)]
+            if len(far):
+                length, a = value(pos[far], s[(s >= 256) & (s < 280)] - 256)
+                code, step = symbol(4, far, window(a))
+                code, pos[far] = value(a + step, code)
+                k = np.minimum(code, 120) - 1
+                d = np.where(code > 120, code - 120, np.maximum(1, NEAR_X[k] + NEAR_Y[k] * width[far]))
+                if (d > t).any() or (t + length > count[far]).any():
+                    raise ValueError("back-reference outside the image")
+                left[far], dist[far] = length, d
+                copying += len(far)
+            hit = lane[s >= 280]
+            pixels[base[hit] + t] = memory[cache_base[hit] + s[s >= 280] - 280]
+            literal = s < 256
+            lane, s, at, w, n = lane[literal], s[literal], at[literal], w[literal], n[literal]
+        w = w >> n
+        red, n = symbol(1, lane, w)
+        blue, k = symbol(2, lane, w >> n)
+        at = at + n + k
+        if opaque:
+            a = alpha[lane]
+        else:
+            a, n = symbol(3, lane, window(at))
+            a, at = a << 24, at + n
+        pixels[base[lane] + t] = a | red << 16 | s << 8 | blue
+        pos[lane] = at
+        if copying:
+            far = np.flatnonzero(left[:m])
+            to = base[far] + t
+            pixels[to] = pixels[to - dist[far]]
+            left[far] -= 1
+            copying = int(np.count_nonzero(left[far]))
+        if len(cached):
+            some = cached[: int(np.searchsorted(cached, m))]
+            p = pixels[base[some] + t]
+            memory[cache_base[some] + ((CACHE_FACTOR * p & 0xFFFFFFFF) >> cache_shift[some])] = p
+        if (pos[:m] > stop[:m]).any():
+            raise ValueError("image data ends early")
+    for (n, k, *_), b, at in zip(lanes, base.tolist(), (pos - starts * 8).tolist()):
+        out[k] = pixels[b : b + n].astype(np.uint32).reshape(asked[k][2], asked[k][1])
+        asked[k][0].at = at
+    return out
+
+
 def riff(chunk: bytes) -> bytes:
     pad = b"\0" * (len(chunk) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(chunk) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(chunk)) + chunk + pad
@@ -399,60 +634,89 @@ def decode(stored: bytes) -> list[np.ndarray]:
 
 def huffman_lengths(weights: list[int], longest: int = 15) -> list[int]:
     """Code lengths by Huffman's rule; weights are flattened until no code is too long."""
+    used = [k for k, w in enumerate(weights) if w]
+    lengths = [0] * len(weights)
+    if len(used) == 1:
+        lengths[used[0]] = 1
+        return lengths
+    flat = [weights[k] for k in used]
     while True:
-        heap = [(w, k, (k,)) for k, w in enumerate(weights) if w]
-        if len(heap) == 1:
-            return [int(w > 0) for w in weights]
+        heap = [w << 12 | k for k, w in enumerate(flat)]
         heapq.heapify(heap)
-        lengths = [0] * len(weights)
+        above, n = [0] * (2 * len(flat) - 1), len(flat)
         while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for k in a[2] + b[2]:
-                lengths[k] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(lengths) <= longest:
+            a = heapq.heappop(heap)
+            b = heap[0]
+            heapq.heapreplace(heap, ((a >> 12) + (b >> 12)) << 12 | n)
+            above[a & 4095] = above[b & 4095] = n
+            n += 1
+        depth = [0] * n
+        for k in range(n - 2, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth) <= longest:
+            for k, d in zip(used, depth):
+                lengths[k] = d
             return lengths
-        weights = [(w + 1) // 2 if w else 0 for w in weights]
+        flat = [(w + 1) // 2 for w in flat]
+
+
+def _slots(flat: np.ndarray, cache_bits: int) -> np.ndarray:
+    return (CACHE_FACTOR * flat & 0xFFFFFFFF) >> (32 - cache_bits)
+
+
+def _before(keys: np.ndarray) -> np.ndarray:
+    """The last earlier place of an equal key, or -1."""
+    order = np.argsort(keys, kind="stable")
+    out = np.full(len(keys), -1)
+    out[order[1:]] = np.where(keys[order[1:]] == keys[order[:-1]], order[:-1], -1)
+    return out
+
+
+def cache_hits(flat: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Whether the cache holds each pixel when it is its turn."""
+    last = _before(_slots(flat, cache_bits))
+    return (last >= 0) & (flat[last] == flat)
+
+
+def _copies(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """Greedy copies (place, length, distance) of three pixels or more, from the last place with the same three."""
+    if len(flat) < 4:
+        return []
+    last = _before((flat[:-2] * 0x9E3779B1) ^ (flat[1:-1] * 0x85EBCA77 << 8) ^ (flat[2:] * 0xC2B2AE3D << 16))
+    out, at = [], 0
+    places = np.flatnonzero(last >= 0)
+    for i, j in zip(places.tolist(), last[places].tolist()):
+        if i < at:
+            continue
+        end = min(len(flat), i + 4096)
+        other = np.flatnonzero(flat[i:end] != flat[j : j + end - i])
+        n = int(other[0]) if len(other) else end - i
+        if n >= 3:
+            out.append((i, n, i - j))
+            at = i + n
+    return out
 
 
 def _write_pixels(out: Writer, p: np.ndarray, main: bool, cache_bits: int = 0, copies: bool = True) -> None:
     """One group of codes fitted to the image; a greedy search for copies of earlier pixels."""
-    flat, width = p.ravel().tolist(), p.shape[1]
-    ops, at, seen = [], 0, {}
-    cache = [None] * (1 << cache_bits) if cache_bits else []
-    slot = lambda v: (CACHE_FACTOR * v & 0xFFFFFFFF) >> (32 - cache_bits)
-    near = {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
-    while at < len(flat):
-        best, where = 0, 0
-        if copies:
-            for d in {1, width, at - seen.get(tuple(flat[at : at + 3]), at)} - {0}:
-                k = 0
-                while d <= at and at + k < len(flat) and k < 4096 and flat[at + k] == flat[at + k - d]:
-                    k += 1
-                if k > best:
-                    best, where = k, d
-        step = best if best >= 3 else 1
-        if step > 1:
-            ops.append(("copy", best, near.get(where, where + 120)))
-        elif cache and cache[slot(flat[at])] == flat[at]:
-            ops.append(("cache", slot(flat[at]), 0))
-        else:
-            ops.append(("pixel", flat[at], 0))
-        for k in range(at, at + step):
-            seen[tuple(flat[k : k + 3])] = k
-            if cache:
-                cache[slot(flat[k])] = flat[k]
-        at += step
-    weights = [[0] * n for n in (280 + len(cache), 256, 256, 256, 40)]
-    for kind, a, b in ops:
-        if kind == "pixel":
-            for k, s in ((0, 8), (1, 16), (2, 0), (3, 24)):
-                weights[k][a >> s & 255] += 1
-        elif kind == "copy":
-            weights[0][256 + prefix_of(a)[0]] += 1
-            weights[4][prefix_of(b)[0]] += 1
-        else:
-            weights[0][280 + a] += 1
+    flat, width = p.ravel().astype(np.int64), p.shape[1]
+    found = _copies(flat) if copies else []
+    keep = np.ones(len(flat), bool)
+    for i, n, _ in found:
+        keep[i + 1 : i + n] = False
+    kind = np.zeros(len(flat), np.int64)  # pixel, cache, copy
+    if cache_bits:
+        kind[cache_hits(flat, cache_bits)] = 1
+    kind[[i for i, _, _ in found]] = 2
+    fields, sizes = np.zeros((4, len(flat)), np.int64), np.zeros((4, len(flat)), np.int64)
+    pixel, hit = np.flatnonzero(keep & (kind == 0)), np.flatnonzero(keep & (kind == 1))
+    near = _near(width)
+    far = np.array([i for i, _, _ in found], np.int64)
+    lengths, gaps = _prefixes([n for _, n, _ in found]), _prefixes([near.get(d, d + 120) for _, _, d in found])
+    values = [(flat[pixel] >> s) & 255 for s in (8, 16, 0, 24)]
+    first = np.concatenate([values[0], 280 + _slots(flat[hit], cache_bits) if cache_bits else hit[:0], 256 + lengths[0]])
+    weights = [np.bincount(v, minlength=size) for v, size in zip((first, *values[1:], gaps[0]), (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40))]
+    weights[1] = weights[2] = weights[1] + weights[2]  # one code for red and blue
     out.put(int(cache_bits > 0), 1)
     if cache_bits:
         out.put(cache_bits, 4)
@@ -460,20 +724,31 @@ def _write_pixels(out: Writer, p: np.ndarray, main: bool, cache_bits: int = 0, c
         out.put(0, 1)
     codes = []
     for w in weights:
-        if not any(w):
+        if not w.any():
             w[0] = 1
-        codes.append(write_code(out, huffman_lengths(w)))
-    for kind, a, b in ops:
-        if kind == "pixel":
-            for k, s in ((0, 8), (1, 16), (2, 0), (3, 24)):
-                codes[k].put(out, a >> s & 255)
-        elif kind == "copy":
-            for k, v, base in ((0, a, 256), (4, b, 0)):
-                s, extra, rest = prefix_of(v)
-                codes[k].put(out, base + s)
-                out.put(rest, extra)
-        else:
-            codes[0].put(out, 280 + a)
+        if len(codes) != 2:
+            fitted = huffman_lengths(w.tolist())
+        codes.append(write_code(out, fitted))
+    lens = [c.bits for c in codes]
+    places = np.concatenate([pixel, hit, far])
+    fields[0, places], sizes[0, places] = codes[0].codes[first], lens[0][first]
+    for k in (1, 2, 3):
+        fields[k, pixel], sizes[k, pixel] = codes[k].codes[values[k]], lens[k][values[k]]
+    fields[1:, far] = lengths[2], codes[4].codes[gaps[0]], gaps[2]
+    sizes[1:, far] = lengths[1], lens[4][gaps[0]], gaps[1]
+    v, n = fields[:, keep].T.ravel(), sizes[:, keep].T.ravel()
+    pos = np.cumsum(n) - n
+    end = int(pos[-1] + n[-1])
+    word, v = pos >> 5, v.astype(np.uint64) << (pos & 31).astype(np.uint64)
+    total = end // 32 + 3
+    packed = np.bincount(word, (v & np.uint64(0xFFFFFFFF)).astype(np.float64), total) + np.bincount(word + 1, (v >> np.uint64(32)).astype(np.float64), total)
+    out.put(int.from_bytes(packed.astype("<u4").tobytes(), "little"), end)
+
+
+@cache
+def _near(width: int) -> dict[int, int]:
+    """The distance code of each near distance."""
+    return {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
 
 
 def encode_image(p: np.ndarray, transforms: tuple = (), cache_bits: int = 0, modes: np.ndarray | None = None, elements: np.ndarray | None = None, shift: int = 2) -> bytes:
@@ -491,7 +766,7 @@ def encode_image(p: np.ndarray, transforms: tuple = (), cache_bits: int = 0, mod
             sub = np.resize(np.array([0xFF000000], np.uint32) if sub is None else sub, side).astype(np.uint32)
             out.put(shift - 2, 3)
             _write_pixels(out, sub, False)
-            p = undo_predictor(p, sub, shift, True) if kind == PREDICTOR else undo_cross(p, sub, shift, True)
+            p = apply_predictor(p, sub, shift) if kind == PREDICTOR else undo_cross(p, sub, shift, True)
         elif kind == GREEN:
             p = undo_green(p, True)
         else:
@@ -518,67 +793,63 @@ def encode_image(p: np.ndarray, transforms: tuple = (), cache_bits: int = 0, mod
 
 WIDTH, ROWS = 64, 64
 UNIT = 3 * WIDTH
-#: Weights of bytes in text: a fixed rule (frequent letters first, in the usual order of English).
-FREQUENT = b" etaoinshrdlucmfgpywbvkxjqz"
+class Preset:
+    """The fixed choices of text images."""
 
+    #: Side of the blocks of predictor modes (8 pixels) and of cross-colour elements (the whole image), as shifts.
+    predictor_shift, cross_shift = 3, 6
+    cache_bits = 7
 
-def _byte_weights() -> list[int]:
-    w = [1] * 256
-    for c in range(256):
-        w[c] = 24 if c in b".,\n" else 8 if 48 <= c <= 57 else 6 if 65 <= c <= 90 else 12 if c >= 0xA0 else 3 if 33 <= c < 127 else 1
-    for k, c in enumerate(FREQUENT):
-        w[c] = max(8, 1200 // (k + 4))
-    return w
 
+def estimated_bits(p: np.ndarray) -> float:
+    """Entropy of the channels, each by itself."""
+    c = channels(p).reshape(-1, 4)
+    h = np.bincount((c + np.arange(0, 1024, 256, dtype=np.int16)).ravel(), minlength=1024)
+    h = h[h > 0]
+    return float(4 * len(c) * np.log2(len(c)) - (h * np.log2(h)).sum())
 
-class Preset:
-    """The shared head of all text images, and its codes."""
 
-    def __init__(self):
-        w = _byte_weights()
-        out = Writer()
-        for v in (0, 0, 0):  # no transform, no cache, one group
-            out.put(v, 1)
-        self.green = write_code(out, huffman_lengths([*w, *[2] * 24]))
-        self.other = write_code(out, huffman_lengths(w))
-        write_code(out, huffman_lengths(w))
-        write_code(out, [int(k == 255) for k in range(256)])
-        write_code(out, [int(k == 1) for k in range(40)])  # distance code 2: the pixel before
-        self.bits, self.value = out.n, out.value
-        self.whole, self.rest = out.n // 8, out.n % 8
-        self.head = out.bytes()
-        self.codes = np.array([[*self.green.codes[:256]], [*self.other.codes]], np.uint64)
-        self.lens = np.array([[*self.green.lengths[:256]], [*self.other.lengths]], np.int64)
+def predictor_modes(p: np.ndarray, preset: Preset) -> np.ndarray:
+    """For each block the mode (left, top, top-right, top-left) that foretells most of its pixels, or 0 if none foretells half of them."""
+    shift = preset.predictor_shift
+    h, w = -(-p.shape[0] // (1 << shift)), -(-p.shape[1] // (1 << shift))
+    y, x = (np.minimum(1 << shift, n - (np.arange(k) << shift)) for n, k in ((p.shape[0], h), (p.shape[1], w)))
+    best, most = np.zeros((h, w), np.int64), y[:, None] * x // 2
+    right = np.zeros((h << shift, w << shift), bool)
+    here = p[1:, 1:-1]
+    for m, there in ((1, p[1:, :-2]), (2, p[:-1, 1:-1]), (3, p[:-1, 2:]), (4, p[:-1, :-2])):
+        right[1 : p.shape[0], 1 : p.shape[1] - 1] = here == there
+        hits = right.reshape(h, 1 << shift, w, 1 << shift).sum((1, 3))
+        best, most = np.where(hits > most, m, best), np.maximum(hits, most)
+    return (0xFF000000 | best << 8).astype(np.uint32)
+
+
+def cross_element(p: np.ndarray) -> np.ndarray:
+    """Multipliers of green in red and in blue by least squares, and none of red in blue."""
+    c = ((channels(p).reshape(-1, 4) + 128) & 255) - 128.0
+    green = c[:, 1] - c[:, 1].mean()
+    spread = max(1.0, float(green @ green))
+    red, blue = (int(np.clip(np.rint(32 * float(green @ c[:, k]) / spread), -128, 127)) & 255 for k in (2, 0))
+    return np.array([[0xFF000000 | blue << 8 | red]], np.uint32)
 
 
 def encode_tile(samples: np.ndarray, preset: Preset) -> bytes:
     """RGB samples of rows of 64 pixels as one file."""
-    px = samples.reshape(-1, 3)
-    n = len(px)
-    same = np.flatnonzero((px != px[-1]).any(axis=1))
-    first = int(same[-1]) + 1 if len(same) else 0  # the final run begins here
-    run = n - first - 1
-    lit = px[: n - run] if run >= 4 else px
-    grb = lit[:, [1, 0, 2]].ravel()
-    kind = np.ones(len(grb), np.int64)
-    kind[::3] = 0
-    code, size = preset.codes[kind, grb], preset.lens[kind, grb]
-    start = 32 + 8 + preset.bits
-    pos = start + np.cumsum(size) - size
-    end = int(pos[-1] + size[-1])
-    word, sh = pos >> 5, (pos & 31).astype(np.uint64)
-    v = code << sh
-    total = (end + 64) // 32 + 1
-    packed = np.bincount(word, (v & np.uint64(0xFFFFFFFF)).astype(np.float64), total + 1) + np.bincount(word + 1, (v >> np.uint64(32)).astype(np.float64), total + 1)
-    body = int.from_bytes(packed.astype("<u4").tobytes(), "little")
-    body |= 0x2F | (WIDTH - 1) << 8 | (n // WIDTH - 1) << 22 | 0 << 36 | preset.value << 40
-    if run >= 4:
-        s, extra, rest = prefix_of(run)
-        body |= preset.green.codes[256 + s] << end
-        end += preset.green.lengths[256 + s]
-        body |= rest << end
-        end += extra
-    return riff((body & ((1 << end) - 1)).to_bytes((end + 7) // 8, "little"))
+    px = samples.reshape(-1, WIDTH, 3).astype(np.uint32)
+    p = np.uint32(0xFF000000) | px[..., 0] << np.uint32(16) | px[..., 1] << np.uint32(8) | px[..., 2]
+    if len(np.unique(p)) <= 256:
+        return riff(encode_image(p, (PALETTE,)))
+    modes, element = predictor_modes(p, preset), cross_element(p)
+    ways = [(estimated_bits(p), 0, (), p, 2), (estimated_bits(q := undo_green(p, True)), 1, (GREEN,), q, 2)]
+    if (modes & 0xFF00).any():
+        q = apply_predictor(p, modes, preset.predictor_shift)
+        ways.append((estimated_bits(q) + 4 * modes.size, 2, (PREDICTOR,), q, preset.predictor_shift))
+    if element[0, 0] != 0xFF000000:
+        q = undo_cross(p, element, preset.cross_shift, True)
+        ways.append((estimated_bits(q) + 32, 3, (CROSS,), q, preset.cross_shift))
+    _, _, transforms, q, shift = min(ways, key=lambda x: x[:2])
+    hits = int(cache_hits(q.ravel().astype(np.int64), preset.cache_bits).sum())
+    return riff(encode_image(p, transforms, preset.cache_bits if hits >= 1 << (preset.cache_bits - 2) else 0, modes, element, shift))
 
 
 def encode_text(body: bytes, preset: Preset) -> tuple[bytes, int]:
@@ -588,88 +859,16 @@ def encode_text(body: bytes, preset: Preset) -> tuple[bytes, int]:
     return b"".join(encode_tile(data[a : a + UNIT * ROWS], preset) for a in range(0, size, UNIT * ROWS)), size
 
 
-def decode_tiles(chunks: list[bytes], preset: Preset) -> list[np.ndarray]:
-    """RGB samples of each chunk. Chunks with the preset's head are decoded together, all others alone."""
-    out: list[np.ndarray | None] = [None] * len(chunks)
-    own = []
-    for k, c in enumerate(chunks):
-        mask = (1 << preset.bits) - 1
-        if c[:1] == b"\x2f" and c[4] >> 5 == 0 and int.from_bytes(c[5 : 6 + preset.bits // 8], "little") & mask == preset.value:
-            own.append(k)
-        else:
-            out[k] = channels(decode_image(c))[..., [2, 1, 0]].astype(np.uint8).ravel()
-    if not own:
-        return out
-    sizes = np.array([len(chunks[k]) for k in own])
-    starts = np.cumsum(sizes + 16) - (sizes + 16)
-    data = np.frombuffer(b"".join(chunks[k] + b"\0" * 16 for k in own), np.uint8)
-    view = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    head = view[starts + 1]
-    widths, heights = (head & np.uint64(0x3FFF)).astype(np.int64) + 1, ((head >> np.uint64(14)) & np.uint64(0x3FFF)).astype(np.int64) + 1
-    count = widths * heights
-    base = np.cumsum(count) - count
-    pixels = np.zeros((int(count.sum()), 3), np.uint8)
-    pos = starts * 8 + 40 + preset.bits
-    stop = (starts + sizes) * 8
-    lane, px = np.arange(len(own)), np.zeros(len(own), np.int64)
-    g_sym, g_len, o_sym, o_len = preset.green.sym, preset.green.len, preset.other.sym, preset.other.len
-
-    def window(at):
-        return ((view[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64(0x7FFF)).astype(np.int64)
-
-    while len(lane):
-        w = window(pos)
-        s = g_sym[w]
-        pos = pos + g_len[w]
-        far = np.flatnonzero(s >= 256)
-        for i in far.tolist():
-            b = Bits(_Slice(data, int(starts[lane[i]]), int(sizes[lane[i]])))
-            b.at = int(pos[i] - starts[lane[i]] * 8)
-            length = read_value(b, int(s[i]) - 256)
-            d = distance(read_value(b, 1), int(widths[lane[i]]))
-            a = int(base[lane[i]] + px[i])
-            if d > px[i] or px[i] + length > count[lane[i]]:
-                raise ValueError("back-reference outside the image")
-            if d == 1:
-                pixels[a : a + length] = pixels[a - 1]
-            else:
-                for j in range(a, a + length):
-                    pixels[j] = pixels[j - d]
-            px[i] += length
-            pos[i] = starts[lane[i]] * 8 + b.at
-        lit = np.flatnonzero(s < 256) if len(far) else slice(None)
-        at = base[lane[lit]] + px[lit]
-        pixels[at, 1] = s[lit]
-        p = pos[lit]
-        for channel in (0, 2):
-            w = window(p)
-            pixels[at, channel] = o_sym[w]
-            p = p + o_len[w]
-        pos[lit] = p
-        px[lit] += 1
-        alive = px < count[lane]
-        if not alive.all():
-            if (pos > stop[lane]).any():
-                raise ValueError("image data ends early")
-            lane, px, pos = lane[alive], px[alive], pos[alive]
-        elif (pos >= stop[lane]).any():
-            raise ValueError("image data ends early")
-    for k, a, n in zip(own, base.tolist(), count.tolist()):
-        out[k] = pixels[a : a + n].ravel()
-    return out
+#: Images whose pixels are read in one lockstep.
+LANES = 4096
 
 
-class _Slice:
-    """A chunk's bytes inside the joined data."""
-
-    def __init__(self, data: np.ndarray, start: int, size: int):
-        self.data, self.start, self.size = data, start, size
-
-    def __len__(self):
-        return self.size
-
-    def __getitem__(self, s: slice) -> bytes:
-        return self.data[self.start + s.start : self.start + min(s.stop, self.size)].tobytes()
+def decode_tiles(chunks: list[bytes], preset: Preset) -> list[np.ndarray]:
+    """RGB samples of each chunk."""
+    out = []
+    for a in range(0, len(chunks), LANES):
+        out += [channels(p)[..., [2, 1, 0]].astype(np.uint8).ravel() for p in decode_images(chunks[a : a + LANES])]
+    return out
 
 
 def feature(payload: np.ndarray, stored: int) -> str:

@@ -80,3 +80,44 @@ def test_store(spark):
         assert (r.media_bytes, r.media_sha256) == (len(r.media), sha256(r.media).hexdigest())
     assert got[1].feature == got[5].feature and got[1].media == got[5].media
     assert webp.store(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stored_texts_use_the_parts_of_the_format(monkeypatch):
+    rnd = random.Random(5)
+    prose = " ".join(rnd.choice(["river", "stone", "lamp", "ñandú", "orchard", "seven", "quiet", "bridge", "über", "a", "of"]) + rnd.choice(["", ",", "s"]) for _ in range(1500)).encode()
+    grey = bytes(b for _ in range(2000) for b in [rnd.randrange(256)] * 3)
+    lines = b"".join(bytes(rnd.randrange(33, 126) if rnd.random() < 0.3 else b for b in range(64, 127)) * 3 + b"..\n" for _ in range(40))
+    bodies = [b"a short text", prose, grey, lines, prose[:900] * 3]
+    seen = set()
+    for name in ("undo_palette", "undo_green", "undo_cross", "undo_predictor"):
+
+        def noted(*a, name=name, undo=getattr(webp, name)):
+            if len(a) == 1 or name not in ("undo_green", "undo_cross") or a[-1] is not True:
+                seen.add(name)
+            return undo(*a)
+
+        monkeypatch.setattr(webp, name, noted)
+    preset, heads, caches = webp.Preset(), set(), set()
+    for body in bodies:
+        stored, size = webp.encode_text(body, preset)
+        chunks = list(webp.files(stored))
+        seen_before = set(seen)
+        seen.clear()
+        assert b"".join(t.tobytes() for t in webp.decode_tiles(chunks, preset)) == body.ljust(size, b" ")
+        seen |= seen_before
+        heads |= {c[5:40] for c in chunks}
+    assert len(heads) >= len(bodies)  # each image has its own codes
+    assert "undo_palette" in seen and len(seen) >= 2
+
+
+def test_lockstep_equals_symbol_by_symbol():
+    images = []
+    for k, kind in enumerate(["noise", "smooth", "2", "13", "200"]):
+        p = picture(kind, 5 + k, 20 - k, k)
+        for transforms in [(), (webp.GREEN,), (webp.PREDICTOR, webp.CROSS)] + [(webp.PALETTE,)] * (k > 1):
+            modes = np.array([0xFF000000 | m << 8 for m in range(14)], np.uint32)
+            images += [(p, webp.encode_image(p, transforms, cache, modes, np.array([0xFF203040], np.uint32))) for cache in (0, 3, 11)]
+    for (p, data), got in zip(images, webp.decode_images([d for _, d in images])):
+        assert (got == p).all() and (webp.decode_image(data) == p).all()
+    with pytest.raises(ValueError):
+        webp.decode_images([images[0][1], images[1][1][:-40]])
