@@ -10,13 +10,15 @@ pattern. Patterns form classes by length. In each class a shift table over hashe
 far the search may jump, the last block's hash selects a bucket where the shift is zero, and a
 direct comparison confirms. The search runs at many places of a batch of texts at once.
 
-**Scale.** Documents are read once and never shuffled; windows reach the tasks in blocks of at most
-``max_block_bytes``, a bound that is enforced: a larger benchmark makes several blocks, each
-searched in all documents, and hits are then united per document.
+**Scale.** Documents are read once and never shuffled as long as all windows and their item ids fit in
+``max_block_bytes``. A larger benchmark is dealt into blocks of windows (without ids), which reach the tasks one
+after the other, each searched in all documents; hits, told apart by the text's MD5, are then joined with the
+windows' items and united. A verdict belongs to the text, so it is the same whatever the number of blocks.
 
 Nulls and empty texts have no words (n_words 0, not contaminated); null or wordless items have no
-windows; a null item_id is ignored. Repeated rows give repeated rows; windows that items share
-count for each of them. Empty tables give empty results or no hits. Other columns are not read.
+windows; a null item_id is ignored. Repeated rows give repeated rows, rows of one id but different texts are
+judged by their own texts; windows that items share count for each of them. Very long texts are searched whole.
+Empty tables give empty results or no hits. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.llm.text import id_and_bytes
+from astrolith.llm.text import id_and_bytes, text_hash
 from astrolith.session import cut
 
 WINDOW = 13
@@ -130,8 +132,8 @@ class Searcher:
                 yield p, part.patterns[k]
 
 
-def _hits(shared):
-    def solve(find, items_of, ids, texts, counts):
+def _hits(shared, kind: pa.DataType = pa.string()):
+    def solve(find, items_of, ids, texts, counts):  # items_of: window -> item ids
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])
         per: dict[int, list[tuple[int, bytes]]] = {}
         spots = list(find.search(b"\0".join(texts)))
@@ -155,7 +157,7 @@ def _hits(shared):
             spans[row] = [{"a": a, "z": z} for a, z in merged]
             items[row] = sorted({i for _, w in got for i in items_of[w]})
         return pa.record_batch(
-            [pa.concat_arrays(ids), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
+            [pa.concat_arrays(ids), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))), pa.array(items, pa.list_(kind))],
             names=["doc_id", "n_words", "spans", "items"],
         )
 
@@ -194,49 +196,56 @@ def _windows(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     return rows.mapInArrow(run, "window binary, id string").distinct()
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, max_block_bytes: int) -> list:
-    """Broadcasts of windows to item ids, each of about ``max_block_bytes`` at most.
-
-    Spark counts the bytes first; then the windows of one block at a time, chosen by their hash, pass the driver.
-    """
-    windows = _windows(items, id_col, text_col, WINDOW)
-    used = windows.agg(F.sum(F.octet_length("window") + F.octet_length("id") + 100)).first()[0] or 0
-    n = max(1, -(-used // max_block_bytes))
-    if n > 1:
-        windows = cut(windows)
-    out = []
+def _small(windows: DataFrame, max_block_bytes: int) -> dict[bytes, list[str]] | None:
+    """Window -> item ids, if all of them together stay within the bound."""
+    if (windows.agg(F.sum(F.octet_length("window") + F.octet_length("id") + 100)).first()[0] or 0) > max_block_bytes:
+        return None
+    rows = windows.toArrow()
+    found: dict[bytes, list[str]] = {}
+    for w, i in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+        found.setdefault(w, []).append(i)
+    return found
+
+
+def _block_hits(docs: DataFrame, windows: DataFrame, text_col: str, max_block_bytes: int) -> DataFrame:
+    """``(h, spans, items)`` of each different text with hits, for windows of any number: a block of them at a time."""
+    spark = docs.sparkSession
+    windows = cut(windows)
+    single = cut(windows.select("window").distinct())
+    used = single.agg(F.sum(F.octet_length("window") + 100)).first()[0] or 0
+    n = -(-used // max_block_bytes)
+    bodies = docs.select(F.col(text_col).cast("binary").alias("body")).select(text_hash("body").alias("h"), "body")
+    found = None
     for k in range(n):
-        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k).toArrow() if n > 1 else windows.toArrow()
-        block: dict[bytes, list[str]] = {}
-        for w, i in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-            block.setdefault(w, []).append(i)
-        out.append(items.sparkSession.sparkContext.broadcast(block))
-    return out
+        rows = single.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k).toArrow()
+        shared = spark.sparkContext.broadcast({w: [w] for w in rows.column(0).to_pylist()})
+        got = bodies.mapInArrow(_hits(shared, pa.binary()), "h binary, n_words long, spans array<struct<a:long,z:long>>, items array<binary>")
+        got = cut(got.where(F.size("spans") > 0).dropDuplicates(["h"]).select("h", "spans", "items"))
+        found = got if found is None else found.unionByName(got)
+        shared.unpersist()
+    spans = found.groupBy("h").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    ids = found.select("h", F.explode("items").alias("window")).join(windows, "window").groupBy("h").agg(F.array_sort(F.collect_set("id")).alias("items"))
+    return spans.join(ids, "h")
+
+
+def _n_words(text: Column) -> Column:
+    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.size(F.regexp_extract_all(lowered, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))).cast("long")
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_bytes: int = 64 << 20) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, spans (hit word ranges ``[a, z)``), items (sorted as strings), n_hit, contaminated."""
-    rows = id_and_bytes(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, spans array<struct<a:long,z:long>>, items array<string>"
-    blocks = _blocks(items, item_col, item_text_col, max_block_bytes)
-    if len(blocks) == 1:
-        found = rows.mapInArrow(_hits(blocks[0]), schema)
+    windows = _windows(items, item_col, item_text_col, WINDOW)
+    small = _small(windows, max_block_bytes)
+    if small is not None:
+        rows = id_and_bytes(docs, id_col, text_col)
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        found = rows.mapInArrow(_hits(docs.sparkSession.sparkContext.broadcast(small)), f"doc_id {kind}, n_words long, spans array<struct<a:long,z:long>>, items array<string>")
     else:
-        # Several blocks: each row is marked with a number so that repeated ids stay apart.
-        marked = rows.withColumn("row", F.monotonically_increasing_id())
-        parts = []
-        for b in blocks:
-            one = marked.select(F.struct("doc_id", "row").alias("doc_id"), "body")
-            parts.append(one.mapInArrow(_hits(b), schema.replace(f"doc_id {kind}", f"doc_id struct<doc_id:{kind},row:long>")))
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
-        found = (
-            union.groupBy(F.col("doc_id.row").alias("row"))
-            .agg(F.first("doc_id.doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-            .drop("row")
-        )
+        hits = _block_hits(docs, windows, text_col, max_block_bytes)
+        base = docs.select(F.col(id_col).alias("doc_id"), _n_words(F.col(text_col)).alias("n_words"), text_hash(F.col(text_col).cast("binary")).alias("h"))
+        none = lambda kind: F.array().cast(kind)
+        found = base.join(hits, "h", "left").select("doc_id", "n_words", F.coalesce("spans", none("array<struct<a:bigint,z:bigint>>")).alias("spans"), F.coalesce("items", none("array<string>")).alias("items"))
     # Spans may overlap across blocks only; walk them in order and count each word once.
     covered = F.aggregate(
         "spans",
@@ -272,15 +281,18 @@ FROM lowered l LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, max_block_bytes: int = 64 << 20, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns: decided beside the text, without a join.
+    """The rows of ``docs`` that are not contaminated, with their columns; each row is judged by its own text.
 
-    With a benchmark of several blocks the decision needs all of them, so that the verdicts are joined by doc_id.
+    The decision is made beside the text, without a join. With a benchmark of several blocks it needs all of
+    them, so that verdicts are joined by the text's MD5.
     """
-    blocks = _blocks(items, "item_id", "text", max_block_bytes)
-    if len(blocks) > 1:
-        bad = find_contamination(docs, items, max_block_bytes=max_block_bytes).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
-    shared = blocks[0]
+    windows = _windows(items, "item_id", "text", WINDOW)
+    small = _small(windows, max_block_bytes)
+    if small is None:
+        bad = find_contamination(docs.select(text_hash(F.col(text_col).cast("binary")).alias("bad_h"), F.col(text_col).alias("text")), items, id_col="bad_h", max_block_bytes=max_block_bytes)
+        rows = docs.select(F.struct(*docs.columns).alias("row"), text_hash(F.col(text_col).cast("binary")).alias("h"))
+        return rows.join(bad.where("contaminated").select(F.col("doc_id").alias("h")).distinct(), "h", "left_anti").select("row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(small)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.llm.text import LOWER, id_and_bytes, word_blocks
+from astrolith.llm.text import LOWER, id_and_bytes, text_hash, word_blocks
 from astrolith.operators.components import roots
 from astrolith.session import cut
 
@@ -63,16 +63,16 @@ def fingerprint(body: bytes | None, words_per_shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` per row: the fingerprint as a signed 64-bit number."""
-    rows = id_and_bytes(docs, id_col, text_col)
+    """``(doc_id, h, fp)`` per row: the text's MD5 (that of no bytes for a null text) and the fingerprint as a signed 64-bit number."""
+    rows = id_and_bytes(docs, id_col, text_col).select("doc_id", text_hash("body").alias("h"), "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(x.as_py()) for x in b.column(2)), np.uint64, b.num_rows)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "h", "fp"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(run, f"doc_id {kind}, h binary, fp long")
 
 
 def _compress(parent: np.ndarray) -> np.ndarray:
@@ -220,32 +220,43 @@ def _sortable(col: str):
     return F.col(col).bitwiseXOR(F.lit(-(1 << 63)))
 
 
+def _rooted(distinct: DataFrame, budget: int, split_above: int) -> DataFrame:
+    """``distinct`` with the root of each fingerprint's group."""
+    root = roots(links(distinct, budget, split_above)).select(F.col("id").alias("fp"), "root")
+    return distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, split_above: int = 20_000) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: one row for each row of ``docs``.
 
     ``component_id`` is the smallest id that links reach, the row's own included.
     """
-    marked = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    root = roots(links(distinct, budget, split_above)).select(F.col("id").alias("fp"), "root")
-    rooted = distinct.join(root, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    marked = cut(fingerprints(docs, id_col, text_col).select("doc_id", "fp"))
+    rooted = _rooted(cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))), budget, split_above)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(known, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of linked rows, with its columns: that of smallest id.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, split_above: int = 20_000) -> DataFrame:
+    """One row of each group of linked rows, with its columns: that of smallest id (nulls last), then of least text MD5.
 
-    Rows to drop are found by id; only where an id is repeated do rows of the same id meet.
-    Rows with a null id can't be told apart by id; one row of each of their texts stays.
+    Rows are told apart by id and text, never by id alone: rows of one id whose texts aren't linked all stay, and
+    null ids follow the same rule. Where rows equal in both differ in other columns, the one of least row hash stays.
     """
-    marked = cut(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"))
-    gone = marked.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    known = marked.where(F.col("doc_id").isNotNull())
-    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
-    if not marked.where(F.col("doc_id").isNull()).isEmpty():
-        kept = kept.where(F.col(id_col).isNotNull()).unionByName(kept.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    keyed = cut(fingerprints(docs, id_col, text_col).groupBy("doc_id", "h").agg(F.first("fp").alias("fp"), F.count("*").alias("copies")))
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "h", "copies")
+    rooted = _rooted(cut(keyed.groupBy("fp").agg(F.min(order).alias("best"))), budget, split_above)
+    stay = cut(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.*"))
+    names = docs.columns
+
+    def rows_of(found: DataFrame) -> DataFrame:
+        keyed_docs = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("own_id"), text_hash(F.col(text_col).cast("binary")).alias("own_h"))
+        return keyed_docs.join(found, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_h") == F.col("h")), "left_semi")
+
+    kept = rows_of(stay.where("copies = 1")).select("row.*")
+    again = stay.where("copies > 1")
+    if not again.isEmpty():
+        same = rows_of(again).groupBy("own_id", "own_h").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        kept = kept.unionByName(same.select("row.*"))
     return kept

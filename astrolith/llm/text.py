@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts longer than this are cut into words block by block, so that memory stays bounded.
@@ -19,6 +19,11 @@ def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
 
 
+def text_hash(body: str | Column) -> Column:
+    """A text's MD5; a null text has that of no bytes."""
+    return F.unhex(F.md5(F.coalesce(body, F.lit(b""))))
+
+
 def word_blocks(body: bytes, size: int = BLOCK) -> Iterator[list[bytes]]:
     """The whitespace separated words of ``body``, in lists from about ``size`` bytes each."""
     at, n = 0, len(body)

@@ -62,3 +62,19 @@ def test_search_finds_all_at_lane_borders():
     data = (b"q" * 505 + b" ab cd ef gh ij a a " + b"x" * 75) * 7
     want = sorted((i, p) for p in pats for i in range(len(data)) if data.startswith(p, i))
     assert sorted(d.Searcher(pats).search(data)) == want
+
+
+def test_rows_are_judged_by_their_own_text_whatever_the_blocks(spark):
+    passage = " ".join(f"word{k}" for k in range(30))
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(40))) for k in range(30)] + [(99, passage)], "item_id long, text string")
+    clean = "a text of its own that no benchmark holds"
+    rows = [(None, passage, "a"), (None, clean, "b"), (1, passage, "c"), (1, clean, "d"), (2, None, "e"), (2, clean, "f"), (3, "x " * 5000 + passage, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
+    want = sorted(((None, clean, "b"), (1, clean, "d"), (2, None, "e"), (2, clean, "f"), (3, "x " * 5000 + passage, "g")), key=str)
+    for block in (64 << 20, 20_000, 5_000):
+        got = d.drop_contaminated(docs, items, max_block_bytes=block)
+        assert got.columns == docs.columns and sorted((tuple(r) for r in got.collect()), key=str) == want
+        found = d.find_contamination(docs, items, max_block_bytes=block).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in found) == sorted(
+            (str(i), len((t or "").split()), 30 if t and passage in t else 0, t == passage) for i, t, _ in rows
+        )

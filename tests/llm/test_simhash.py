@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -71,3 +72,33 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = simhash.near_duplicates(spark.createDataFrame([(None, "a b c"), (2, "a b c"), (2, "a b c")], "doc_id long, text string")).collect()
     assert len(got) == 3 and {r.component_id for r in got} == {2}
+
+
+def test_one_row_of_each_group_stays_by_row_not_by_id(spark):
+    a, b, c = "alpha beta gamma delta " * 20, "one two three four five " * 20, "lorem ipsum dolor sit " * 20
+    rows = [(1, a, "s"), (1, b, "t"), (2, a, "u"), (3, c, "v"), (3, c, "v"), (None, b, "w"), (None, "quite another text here", "x"), (4, None, "y"), (5, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    for split in (20_000, 1):
+        got = sorted((tuple(r) for r in simhash.drop_near_duplicates(docs, split_above=split).collect()), key=str)
+        assert got == sorted([(1, a, "s"), (1, b, "t"), (3, c, "v"), (None, "quite another text here", "x"), (4, None, "y")], key=str)
+    assert simhash.drop_near_duplicates(docs).columns == docs.columns
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_rows_that_stay_against_brute_force(spark):
+    rnd = random.Random(9)
+    words = "alpha beta gamma delta eps zeta eta theta".split()
+    base = [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(12)]
+    rows = []
+    for k in range(150):
+        w = rnd.choice(base).split()
+        if rnd.random() < 0.3:
+            w[rnd.randrange(60)] = "x"
+        rows.append((rnd.choice([None, k // 2, k // 3]), " ".join(w)))
+    fps, comp = brute({k: t for k, (_, t) in enumerate(rows)})
+    want = {}
+    for k, (i, t) in enumerate(rows):
+        key = (i is None, i or 0, hashlib.md5(t.encode()).digest())
+        want[comp[k]] = min(want.get(comp[k], (key, rows[k])), (key, rows[k]), key=lambda x: x[0])
+    got = [tuple(r) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted((r for _, r in want.values()), key=str)
