@@ -10,12 +10,15 @@ vote probabilities in either class and the prior; a 3 says nothing. Posteriors f
 
 **Scorer.** Posteriors are soft labels of a logistic model over hashed token shapes (a word's
 characters as classes, runs shortened, and pairs of neighbouring shapes, and repeats), learned on at
-most ``max_train_rows`` documents (a documented bound: those of lowest id hash). It then scores every
-whole text. A document is kept at a score of ``threshold`` or more.
+most ``max_train_rows`` different rows (a documented bound: those of lowest hash of id and text; the choice is
+broadcast, so only its texts leave the scan). It then scores every whole text. A document is kept at a score of
+``threshold`` or more.
 
 Nulls: null and empty texts have no tokens, all votes are 3, and they are
-rejected (score 0); a null id keeps its row. Repeated rows get equal scores. With no documents the result is
-empty. Other columns are not read.
+rejected (score 0); a null id keeps its row and is an id like others in the choice. Equal rows count once in learning
+(each counts in the label model) and equal texts get equal scores; different texts under one id are rows of their own,
+within the bound. Very long texts are read whole, in blocks. With no documents the result is empty. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.llm.text import LOWER, id_and_bytes, word_blocks
+from astrolith.llm.text import LOWER, id_and_bytes, text_mark, word_blocks
 
 #: Votes are 0 (bad), 1 (good), 2 (between) and 3 (the text is too short to tell).
 ABSTAIN, SHORT = 2, 3
@@ -222,6 +225,14 @@ def _read(rows: DataFrame, bits: int, features: bool) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, votes string" + (", buckets array<long>, shares array<double>" if features else ""))
 
 
+def training_rows(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """At most ``max_train_rows`` different rows, with their mark as doc_id."""
+    marked = id_and_bytes(docs, id_col, text_col).withColumn("mark", text_mark("doc_id", "body"))
+    chosen = marked.select("mark").distinct().orderBy("mark").limit(s.max_train_rows)
+    picked = marked.join(F.broadcast(chosen), "mark", "left_semi").groupBy("mark").agg(F.first("body").alias("body"))
+    return picked.select(F.col("mark").alias("doc_id"), "body")
+
+
 def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     rows = id_and_bytes(docs, id_col, text_col)
     counted = sorted((r["votes"], r["count"]) for r in _read(rows, s.bits, False).groupBy("votes").count().collect())  # 4^8 rows at most
@@ -230,9 +241,8 @@ def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_
     patterns = [tuple(map(int, v)) for v, _ in counted]
     _, _, good = label_model(patterns, np.array([c for _, c in counted]), s.rounds)
     posterior = {v: p for (v, _), p in zip(counted, good)}
-    picked = rows.select("doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(s.max_train_rows).select("doc_id").dropDuplicates()
-    got = _read(rows.join(picked, "doc_id", "left_semi"), s.bits, True).toArrow().to_pydict()
-    order = sorted(range(len(got["doc_id"])), key=lambda i: (str(got["doc_id"][i]), got["votes"][i], len(got["buckets"][i])))[: 2 * s.max_train_rows]
+    got = _read(training_rows(docs, s, id_col, text_col), s.bits, True).toArrow().to_pydict()
+    order = sorted(range(len(got["doc_id"])), key=got["doc_id"].__getitem__)
     train = [(np.array(got["buckets"][i], np.int64), np.array(got["shares"][i])) for i in order]
     return learn(train, np.array([posterior[got["votes"][i]] for i in order]), s)
 

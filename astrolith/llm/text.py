@@ -24,6 +24,11 @@ def text_hash(body: str | Column) -> Column:
     return F.unhex(F.md5(F.coalesce(body, F.lit(b""))))
 
 
+def text_mark(id_col: str, body: str) -> Column:
+    """A hash of a row's id and whole text: equal rows share it."""
+    return F.xxhash64(id_col, F.md5(F.coalesce(body, F.lit(b""))))
+
+
 def word_blocks(body: bytes, size: int = BLOCK) -> Iterator[list[bytes]]:
     """The whitespace separated words of ``body``, in lists from about ``size`` bytes each."""
     at, n = 0, len(body)
