@@ -1,9 +1,11 @@
 """Quality, toxicity, secrets and the pipeline."""
 
+import math
 import random
 import re
 from zlib import crc32
 
+import numpy as np
 import pytest
 
 from astrolith.llm import quality, secrets, simhash, toxicity
@@ -39,6 +41,43 @@ def test_quality_odd_rows(spark):
     assert quality.classify(frame.limit(0)).count() == 0
 
 
+def test_label_model_against_a_version_row_by_row():
+    rnd = random.Random(5)
+    rows = [tuple(rnd.choice([0, 1, 1, 2, 3]) for _ in range(4)) for _ in range(300)]
+    keys = sorted(set(rows))
+    prior, table, good = quality.label_model(keys, np.array([rows.count(k) for k in keys]), 7)
+    post = []
+    for r in rows:
+        g = (r.count(1) + 1) / (r.count(0) + r.count(1) + 2)
+        post.append(min(g, 0.4) if 0 in r else max(g, 0.6))
+    for _ in range(7):
+        p = []
+        for c in (0, 1):
+            p.append([[0.5 + sum(w if c else 1 - w for w, r in zip(post, rows) if r[k] == v) for v in range(3)] for k in range(4)])
+            p[c] = [[x / sum(xs) for x in xs] for xs in p[c]]
+        own = min(max(sum(post) / len(rows), 0.01), 0.99)
+        like = [[q * math.prod(1 if v == 3 else p[c][k][v] for k, v in enumerate(r)) for c, q in ((0, 1 - own), (1, own))] for r in rows]
+        post = [up / (up + down) for down, up in like]
+    assert abs(prior - own) < 1e-9 and all(abs(table[c, k, v] - p[c][k][v]) < 1e-9 for c in (0, 1) for k in range(4) for v in range(3))
+    at = dict(zip(keys, good))
+    assert all(abs(at[r] - w) < 1e-9 for r, w in zip(rows, post))
+
+
+def test_quality_without_ids_rejects_as_with_ids(docs):
+    want = sorted((r.text or "", r.keep) for r in docs.join(quality.classify(docs), "doc_id").collect())
+    bare = docs.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text")
+    kept = sorted(r.text for r in quality.keep(bare).collect())
+    differ = set(kept) ^ {t for t, k in want if k}
+    assert 0 < len(kept) < len(want) and len(differ) <= 0.03 * len(want)
+
+
+def test_quality_reads_long_texts_whole(spark):
+    plain, junk = "This is a part of the text that is easy to read and has the usual words in it. ", "### @@@ 77 %% ### "
+    rows = [(k, plain * 5) for k in range(20)] + [(50 + k, junk * 30) for k in range(10)] + [(100, plain * 30_000), (101, plain * 10 + junk * 150_000)]
+    got = {r.doc_id: r.keep for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] and not got[101]
+
+
 def test_label_model_finds_good_and_bad_labellers():
     rnd = random.Random(1)
     counts, truth = {}, {}
@@ -47,30 +86,61 @@ def test_label_model_finds_good_and_bad_labellers():
         votes = tuple(int(y if rnd.random() < a else not y) if rnd.random() < 0.9 else 2 for a in (0.95, 0.9, 0.85, 0.6))
         counts[votes] = counts.get(votes, 0) + 1
         truth.setdefault(votes, []).append(y)
-    import numpy as np
-
     keys = sorted(counts)
     _, table, good = quality.label_model(keys, np.array([counts[k] for k in keys]), 50)
     hits = sum((g >= 0.5) == y for k, g in zip(keys, good) for y in truth[k])
     assert hits > 0.93 * 4000 and table[1, 0, 1] > table[1, 3, 1]
 
 
-def test_toxicity_held_out(spark):
-    # Pairs decide: an insult counts beside a group word only, which no linear weights can tell.
+def test_toxicity_learns_a_pair_of_which_either_term_alone_says_nothing(spark):
+    # Toxic is an insult or a group word, but not both: each alone is neutral, so linear weights can't tell.
     rnd = random.Random(3)
     noise = [f"word{k}" for k in range(300)]
     rows, marks = [], []
     for k in range(3000):
-        a, b = rnd.random() < 0.4, rnd.random() < 0.4
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
         text = rnd.sample(noise, 20) + ["insult"] * a + ["group"] * b
         rnd.shuffle(text)
         rows.append((k, " ".join(text)))
-        marks.append((k, int(a and b)))
-    got = toxicity.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+        marks.append((k, int(a != b)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
     y = dict(marks)
-    held = [r for r in got if r.held_out]
-    assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
-    assert sum(r.predicted == y[r.doc_id] for r in held) >= 0.97 * len(held)
+    right = {}
+    for name, s in (("pairs", toxicity.Settings(min_steps=1200)), ("linear", toxicity.Settings(min_steps=1200, start=0.0))):
+        got = toxicity.classify(docs, labels, s).collect()
+        held = [r for r in got if r.held_out]
+        assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+        right[name] = sum((r.score >= 0.5) == y[r.doc_id] for r in held) / len(held)
+    assert right["pairs"] >= 0.95 > 0.8 > right["linear"]
+
+
+def test_toxicity_score_against_all_pairs():
+    rng = np.random.default_rng(2)
+    m = toxicity.Machine(-0.3, np.where(rng.random(64) < 0.7, np.arange(64), -1).astype(np.int32), rng.normal(0, 0.2, 64), rng.normal(0, 0.2, (64, 3)))
+    for _ in range(20):
+        x = np.unique(rng.integers(0, 64, 12))
+        live = [int(m.slot[k]) for k in x if m.slot[k] >= 0]
+        z = m.bias + sum(m.w[i] for i in live) + sum(m.v[i] @ m.v[j] for k, i in enumerate(live) for j in live[k + 1 :])
+        assert abs(m.score(x) - 1 / (1 + math.exp(-z))) < 1e-12
+
+
+def test_choice_of_rows_is_bounded_where_all_rows_share_an_id(spark):
+    texts = [f"text number {k} of many" for k in range(60)]
+    docs = spark.createDataFrame([(1, t) for t in texts + texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels, toxicity.Settings(max_train_rows=7)).collect()
+    assert len(got) == 7 and {r.y for r in got} == {1}
+    assert toxicity.training_rows(docs, labels).count() == 60
+    for ids in ("doc_id", "CAST(NULL AS BIGINT) AS doc_id"):
+        assert quality.training_rows(docs.selectExpr(ids, "text"), quality.Settings(max_train_rows=7)).count() == 7
+        assert quality.training_rows(docs.selectExpr(ids, "text")).count() == 60
+
+
+def test_toxic_rows_of_the_given_tables(docs, labels):
+    y = {r.doc_id: r.toxic for r in labels.collect()}
+    got = [r for r in toxicity.classify(docs, labels).collect() if r.held_out and y.get(r.doc_id) is not None]
+    assert sum(r.predicted for r in got if not y[r.doc_id]) <= 0.03 * len(got)
+    assert sum(r.predicted for r in got if y[r.doc_id]) >= 0.5 * sum(y[r.doc_id] for r in got)
 
 
 def test_toxicity_odd_rows(spark, docs, labels):
