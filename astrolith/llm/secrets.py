@@ -6,30 +6,36 @@ no blank (in quotes: up to the quote; otherwise up to a blank, a quote, a comma,
 bracket, and without a full stop at the end); runs of 16 or more of ``A-Za-z0-9+/_-`` with a letter or a digit (up to
 two ``=`` may end them; an issued key ends them too). What is no secret among them is the forest's to tell.
 
-**Features** are columns: length; character transitions; shares of digits, capitals and distinct
-characters; hexadecimal; dictionary coverage (the share made of fixed common words and word parts);
-path marks around; and neighbouring words: key words, an assignment, quotes, words for checksums,
-placeholders; signs; and whether a value follows its assignment at once or in quotes.
-
-**Forest.** ``findings`` are labelled candidates: a small fixed set and, from the given documents, candidates
-labelled by format rules (distant labels), at most ``max_rows`` of them (a documented bound; those of
-lowest hash, where a secret's counts an eighth, so that many other candidates don't crowd secrets out). A fixed finding
-weighs as much as 20 others. Spark ML's random forest learns from them. The trees are then written out as column
-expressions, so that scoring takes place inside the scan: no shuffle, no Python.
-
-Nulls: a null text has no candidates and stays null; a null id keeps its row; empty texts have none. Repeated
-rows give equal results. An empty table gives an empty result. A clashing column is not read.
+**Features** are columns: length; character transitions; shares of digits, capitals, distinct characters and signs;
+hexadecimal; dictionary coverage (the share of characters in letter runs that are words of a published
+tokenizer's vocabulary, and the share made of common word parts); path marks around; and neighbouring words: key
+words, an assignment, quotes, words for checksums, placeholders; and whether a value follows its assignment at once
+or in quotes.
+
+**Forest.** It learns from labelled findings, whose labels are known and not derived from the features: planted ones of
+eleven kinds of secrets and thirteen of hard negatives (checksums, also of passwords; identifiers; paths; card and
+book numbers; long words; placeholders; code), drawn anew from a seed, ``planted`` of them (a documented bound), and a small fixed
+set that weighs 20 times as much. ``fit`` takes any other labelled findings. Spark ML's random forest learns from them;
+the trees are then written out as column expressions, so that scoring takes place inside the one scan of the
+texts: no shuffle, no Python.
+
+Nulls: a null text has no candidates and stays null; a null id keeps its row; empty texts have none. Very long texts
+are scanned whole. Repeated rows give equal results. A score equal to the threshold counts as a secret. An empty table
+gives an empty result. A clashing column is not read, and stays in ``redact``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from astrolith.llm import pieces
+from astrolith.session import cut
+
 #: Formats of issued keys. The first has a fixed length, so it may be glued to letters.
 ISSUED = (
     r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}"
@@ -53,7 +59,9 @@ TIGHT = r"([=:]|[\"'])$"
 CHECKSUM = r"(?i)(commit|sha\d*|md5|hash|checksum|digest|uuid|isbn|doi|order|card|phone|iban)[^\n]{0,8}$"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your|xxxx|0000000|1234567|abcdefg|(?<![a-z])test(?![a-z])|^[$%]?[<{]|^\$[A-Z_]+$|^%\w+%$|\w\(|environ|getenv|^(true|false|null|none|required|optional|string|undefined)$)"
 WORD_PARTS = "the|and|ing|ion|ent|ter|ver|for|tha|her|ere|ate|est|ein|ung|sch|lich|keit|heit|der|die|ich|que|ment|les|eau|eux|aux|elle|cion|ado|ciones|con|los|para|ra|an|er|on|re|in|th|en"
-FEATURES = ("n", "switches", "digits", "capitals", "distinct", "hexadecimal", "covered", "path", "prefix", "keyword", "assigned", "quoted", "checksum", "placeholder", "signs", "tight")
+#: Letter runs that dictionary coverage looks up: camel case is parted.
+RUNS = r"[A-Z]?[a-z\u00DF-\u00FF]+|[A-Z]+"
+FEATURES = ("n", "switches", "digits", "capitals", "distinct", "hexadecimal", "covered", "parts", "path", "prefix", "keyword", "assigned", "quoted", "checksum", "placeholder", "signs", "tight")
 
 #: Labelled findings (before, candidate, after, is a secret), made up: both classes are always present.
 SEED = [
@@ -73,8 +81,17 @@ SEED = [
 SEED_WEIGHT = 20.0
 
 
+@cache
+def dictionary(*path: str) -> str:
+    """The words of four letters and more that are whole pieces of a vocabulary (a file's path), lower-cased, with a blank between."""
+    found = pieces.read_model(pieces.default_model(*path)).pieces
+    return " ".join(sorted({p[1:].lower() for p in found if p[0] == "\u2581" and len(p) > 4 and p[1:].isalpha()}))
+
+
 def features(before: Column, c: Column, after: Column) -> Column:
     n = F.length(c)
+    known = F.split(F.lit(dictionary()), " ")  # a constant of some thousand words
+    run_chars = F.aggregate(F.regexp_extract_all(c, F.lit(RUNS), F.lit(0)), F.lit(0), lambda s, x: s + F.when((F.length(x) > 3) & F.array_contains(known, F.lower(x)), F.length(x)).otherwise(0))
     share = lambda pattern: F.length(F.regexp_replace(c, pattern, "")) / n
     yes = lambda x: x.cast("double")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
@@ -85,7 +102,8 @@ def features(before: Column, c: Column, after: Column) -> Column:
         "capitals": share("[^A-Z]"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
         "hexadecimal": yes(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
-        "covered": 1 - F.length(F.regexp_replace(F.lower(c), WORD_PARTS, "")) / n,
+        "covered": run_chars / n,
+        "parts": 1 - F.length(F.regexp_replace(F.lower(c), WORD_PARTS, "")) / n,
         "path": yes(before.rlike(r"(://\S*|[/\\.~])$") | after.rlike(r"^[/\\]|^\.\w") | c.contains("/")),
         "prefix": yes(c.rlike(PREFIX)),
         "keyword": yes(before.rlike(KEYWORD)),
@@ -111,31 +129,91 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return near.withColumn("found", F.transform("near", lambda x: F.struct(x["candidate"].alias("candidate"), features(x["before"], x["candidate"], x["after"]).alias("f")))).drop("near")
 
 
-def distant_label(f: Column) -> Column:
-    """A format rule: an issued key, or a value assigned to a key word that has a digit or a sign or stands
+def format_rule(f: Column) -> Column:
+    """What a forest has to beat: a rule by format, an issued key, or a value assigned to a key word that has a digit or a sign or stands
     right behind the assignment or in quotes; never a placeholder."""
     formed = (f["digits"] > 0) | (f["signs"] > 0) | (f["tight"] == 1)
     good = (f["prefix"] == 1) | ((f["keyword"] == 1) & (f["assigned"] == 1) & formed & (f["checksum"] == 0))
     return (good & (f["placeholder"] == 0)).cast("double")
 
 
-def labelled_findings(docs: DataFrame, text_col: str = "text", max_rows: int = 20_000) -> DataFrame:
-    """``(f, label)``: distant labels of at most ``max_rows`` of the documents' candidates."""
-    rows = candidates(docs.select(F.col(text_col).alias("text"))).select(F.explode("found").alias("x")).select("x.candidate", "x.f").distinct()
-    rows = rows.withColumn("label", distant_label(F.col("f")))
-    place = F.when(F.col("label") == 1, F.shiftrightunsigned(F.xxhash64("candidate"), 4)).otherwise(F.shiftrightunsigned(F.xxhash64("candidate"), 1))
-    return rows.orderBy(place, "candidate", "f").limit(max_rows).select("f", "label")
+#: Fixed values of planted findings: words, placeholders, and names that code assigns.
+PLAIN = "summer winter orange dragon monkey shadow master sunshine princess football welcome freedom whatever computer silver flower garden river mountain bridge window kitchen sommer winter schmetterling garten blume soleil bonjour maison fleur verano mariposa estrella".split()
+KEYS = "password passwd passphrase pwd secret token api_key apikey access_key private-key credential auth secret_key auth_token db_password client_secret".split()
+EMPTY = "${PASSWORD} $SECRET_KEY %TOKEN% <password> <your-token> your_password_here changeme123 xxxxxxxxxxxx example_secret placeholder required optional undefined {{token}} sample-key-0000 dummy_token_1".split()
+CODED = "getToken() request.token self.password config.secret_key os.environ settings.API_KEY user.getPassword() readSecretFromVault tokenProvider.next options.auth_token input.value params[:token] ctx.credential loadKeyFile keyring.lookup passwordField.text".split()
+LABELS = "commit|sha1:|sha256 checksum:|md5|md5 =|digest:|hash|password hash:|token digest =|secret sha256:|file checksum".split("|")
+NUMBERED = "uuid|request id:|token id:|session|trace-id:|auth request id =|device|object".split("|")
+
+
+def planted_findings(spark: SparkSession, n: int = 8_000, seed: int = 1) -> DataFrame:
+    """``(before, candidate, after, label)``: ``n`` findings of known label, drawn from a hash of their number and ``seed``."""
+    draw = lambda k, m: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(m)).cast("int")
+    one = lambda k, xs: F.element_at(F.array(*map(F.lit, xs)), draw(k, len(xs)) + 1)
+    hexed = lambda k: F.sha2(F.concat_ws("-", "id", F.lit(seed), F.lit(k)), 512)
+    mixed = lambda k: F.base64(F.unhex(hexed(k)))
+    signless = lambda k: F.regexp_replace(mixed(k), "[+/=\\s]", "")
+    cut_to = lambda c, k, low, high: F.substring(c, F.lit(1), draw(k, high - low + 1) + low)
+    digits = lambda k: F.translate(hexed(k), "abcdef", "024681")
+    syllables = F.array(*map(F.lit, WORD_PARTS.split("|")))
+    wordlike = lambda k: F.concat(*(F.element_at(syllables, draw(k + j, len(WORD_PARTS.split("|"))) + 1) for j in range(9)))
+    plain = lambda k: one(k, PLAIN)
+    camel = F.concat(one(70, ["get", "set", "load", "create", "find"]), F.initcap(plain(71)), F.initcap(plain(72)), one(73, ["ById", "Service", "Handler", "FromList"]))
+    style = draw(80, 6)
+    by_style = lambda xs: reduce(lambda rest, x: F.when(style == x[0], F.lit(x[1])).otherwise(rest), enumerate(xs[1:], 1), F.lit(xs[0]))
+    assign = F.concat(one(81, KEYS), by_style(["=", ": ", ' = "', "='", '": "', "="]))
+    close = by_style([" and", "\n", '" ', "'", '",', "&x=1"])
+    tight = F.concat(one(81, KEYS), by_style(["=", ":", ' = "', "='", '":"', "="]))
+    tail = one(82, [" and", ".", "", " in a", ", of", "\n"])
+    lead = one(83, ["see ", "the ", "of the ", "", "| ", "(", "in\n"])
+    issued = F.upper(F.concat(one(1, ["AKIA", "ASIA"]), F.substring(signless(2), 1, 16)))
+    prefixed = F.concat(one(3, ["ghp_", "gho_", "glpat-", "sk_live_", "npm_", "xoxb-", "eyJ", "AIza"]), cut_to(signless(4), 5, 34, 40))
+    uuid = F.concat_ws("-", *(F.substring(hexed(6), i, m) for i, m in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    kinds = [
+        (issued, F.concat(lead, one(7, ["", "s3://", "key-", "key ", "id=", "x_"])), one(8, [" was", "/region", "", "\n", "_y"]), 1),
+        (prefixed, F.concat(lead, one(9, ["", "Bearer ", "export T=", "token: "])), tail, 1),
+        (cut_to(hexed(10), 11, 12, 64), assign, close, 1),
+        (F.upper(cut_to(hexed(10), 11, 12, 64)), F.upper(assign), close, 1),
+        (cut_to(signless(12), 13, 8, 44), assign, close, 1),
+        (cut_to(F.regexp_replace(mixed(14), "\\s", ""), 15, 12, 44), assign, close, 1),
+        (F.concat(plain(16), digits(17).substr(F.lit(1), draw(18, 4) + 1)), assign, close, 1),
+        (F.regexp_replace(F.regexp_replace(F.concat(plain(19), one(20, ["!", "&", "#", "-"]), plain(21)), "a", "@"), "o", "0"), tight, close, 1),
+        (F.concat(plain(22), plain(23)), tight, close, 1),
+        (plain(24), tight, close, 1),
+        (digits(25).substr(F.lit(1), draw(26, 7) + 6), tight, close, 1),
+        (cut_to(hexed(30), 31, 32, 64), F.concat(lead, one(32, LABELS), F.lit(" ")), tail, 0),
+        (F.substring(hexed(30), 1, 40), F.concat(lead, one(33, ["", "a ", "at ", "of "])), tail, 0),
+        (uuid, F.concat(lead, one(34, NUMBERED), F.lit(" ")), tail, 0),
+        (digits(35).substr(F.lit(1), draw(36, 6) + 16), F.concat(lead, one(37, ["", "card ", "isbn ", "order no ", "iban "])), tail, 0),
+        (cut_to(wordlike(40), 41, 16, 24), lead, tail, 0),
+        (F.upper(cut_to(wordlike(40), 41, 16, 24)), F.upper(lead), tail, 0),
+        (F.concat(plain(50), plain(51), plain(52)), lead, tail, 0),
+        (F.concat_ws("/", plain(53), plain(54), plain(55), digits(56).substr(F.lit(1), draw(57, 4))), F.concat(lead, one(58, ["/usr/", "https://a.org/", "./", "C:/", ""])), one(59, [".html", "/", ".txt", " is", ""]), 0),
+        (F.concat_ws("-", plain(60), plain(61), plain(62), one(63, ["2024", "of", "and"])), lead, tail, 0),
+        (one(64, EMPTY), assign, close, 0),
+        (one(65, CODED), F.concat(one(66, KEYS), one(67, [" = ", ": ", "=", " => "])), one(68, ["\n", ")", ";", ","]), 0),
+        (plain(69), F.concat(one(74, ["the secret: ", "a token: ", "one credential : ", "their password: "])), one(75, [" and", " of", ", which", " is"]), 0),
+        (camel, lead, tail, 0),
+    ]
+    kind = draw(90, len(kinds))
+    rows = spark.range(n).select(reduce(lambda rest, x: F.when(kind == x[0], x[1]).otherwise(rest), enumerate(F.struct(b.alias("before"), c.alias("candidate"), a.alias("after"), F.lit(float(y)).alias("label")) for c, b, a, y in kinds), F.lit(None)).alias("x"))
+    return rows.select("x.*")
+
+
+def labelled(findings: DataFrame) -> DataFrame:
+    """``(f, label)`` of findings ``(before, candidate, after, label)``."""
+    return findings.select(features(F.right("before", F.lit(CONTEXT)), F.col("candidate"), F.left("after", F.lit(CONTEXT))).alias("f"), "label")
 
 
 def seed_findings(spark: SparkSession) -> DataFrame:
-    rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(a).alias("a"), F.lit(float(y)).alias("y")) for b, c, a, y in SEED))).alias("r"))
-    return rows.select(features(F.col("r.b"), F.col("r.c"), F.col("r.a")).alias("f"), F.col("r.y").alias("label"))
+    rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(b).alias("before"), F.lit(c).alias("candidate"), F.lit(a).alias("after"), F.lit(float(y)).alias("label")) for b, c, a, y in SEED))).alias("r"))
+    return labelled(rows.select("r.*"))
 
 
 def fit(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 11):
     """A random forest from ``(f, label)``; the fixed findings are always among them."""
     fixed = seed_findings(findings.sparkSession).withColumn("weight", F.lit(SEED_WEIGHT))
-    rows = findings.select("f", "label", F.lit(1.0).alias("weight")).unionByName(fixed).select("f.*", "label", "weight")
+    rows = cut(findings.select("f", "label", F.lit(1.0).alias("weight")).unionByName(fixed).select("f.*", "label", "weight"))  # read in several passes
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label", "weight")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", weightCol="weight").fit(rows)
 
@@ -180,11 +258,14 @@ def scan(docs: DataFrame, trees: list, text_col: str = "text", threshold: float
     return out.withColumn("redacted", F.when(F.col(text_col).isNotNull(), whole)).drop("parts", "found", "judged")
 
 
+def default_trees(spark: SparkSession, planted: int = 8_000) -> list:
+    return trees_of(fit(labelled(planted_findings(spark, planted))))
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_candidates, secrets, redacted)`` for each row, with a forest learned from the documents' findings."""
+    """``(doc_id, n_candidates, secrets, redacted)`` for each row, with a forest learned from planted findings."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    trees = trees_of(fit(labelled_findings(rows)))
-    return scan(rows, trees).select("doc_id", "n_candidates", "secrets", "redacted")
+    return scan(rows, default_trees(docs.sparkSession)).select("doc_id", "n_candidates", "secrets", "redacted")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -195,7 +276,7 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with their columns: secrets in the text replaced, and ``n_chars``, if there, counted anew."""
     names = docs.columns
-    trees = trees_of(fit(labelled_findings(docs, text_col)))
+    trees = default_trees(docs.sparkSession)
     inner = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"))
     done = scan(inner, trees).select("row.*", "redacted")
     cols = [F.col("redacted").alias(c) if c == text_col else F.length("redacted").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in names]
