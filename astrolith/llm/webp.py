@@ -8,10 +8,11 @@ groups of codes are decoded one by one.
 
 **Texts.** A text's UTF-8 bytes, padded with spaces to a positive multiple of 192, are the RGB samples of images 64
 pixels wide, of at most 64 rows each: longer texts make several images, in order, so that no image grows with the
-text. The stored form is these files joined; sizes in their headers part them again. An image of at most 256 colours
-takes a palette; any other takes the one of predictor, cross-colour, subtract-green and no transform of fewest
-estimated bits, and a colour cache where it is hit often. Copies of earlier pixels become back-references. Codes are
-fitted to each image, in one group.
+text. The stored form is these files joined; sizes in their headers part them again. An image takes the one of palette
+(at most 256 colours), predictor, cross-colour, subtract-green and no transform of fewest estimated bits, and a colour
+cache where it is hit often. Copies of earlier pixels become back-references. Codes are in one group: fitted to the
+image, or a standard group where that takes fewer bits, head included (small images). The decoder knows no standard
+group: it parses what the bytes say, and remembers groups by their bits.
 
 One scan, no shuffle. Nulls: a null text is empty; a null id keeps its row. Equal texts give equal values. An empty
 table gives an empty result. Other columns are not read.
@@ -249,6 +250,8 @@ def prefix_of(value: int) -> tuple[int, int, int]:
 
 def _prefixes(values: list[int]) -> np.ndarray:
     """The same of many values, as rows."""
+    if not values:
+        return np.zeros((3, 0), np.int64)
     v = np.array(values, np.int64) - 1
     extra = np.where(v < 4, 0, np.frexp(v.astype(np.float64))[1] - 2)
     return np.stack([np.where(v < 4, v, 2 * (extra + 1) + ((v >> extra) & 1)), extra, v & ((1 << extra) - 1)])
@@ -268,8 +271,24 @@ def distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
+#: Groups of codes that were parsed before, by the size of the cache and their first 64 bits, with all of their bits.
+_PARSED: dict[tuple[int, int], list[tuple[int, int, list[Code]]]] = {}
+
+
 def _read_codes(bits: Bits, cache: int) -> list[Code]:
-    return [read_code(bits, n) for n in (280 + cache, 256, 256, 256, 40)]
+    """A group of codes. Parsing depends on its bits only, so a group with the same bits as an earlier one isn't parsed again."""
+    a = bits.at
+    peek = lambda n: (int.from_bytes(bits.data[a >> 3 : (a + n + 7) >> 3], "little") >> (a & 7)) & ((1 << n) - 1)
+    known = _PARSED.get((cache, peek(64)), ())
+    for n, value, codes in known:
+        if a + n <= 8 * len(bits.data) and peek(n) == value:
+            bits.at = a + n
+            return codes
+    codes = [read_code(bits, n) for n in (280 + cache, 256, 256, 256, 40)]
+    if len(_PARSED) >= 512 or len(known) >= 8:
+        _PARSED.clear()
+    _PARSED.setdefault((cache, peek(64)), []).append((bits.at - a, peek(bits.at - a), codes))
+    return codes
 
 
 def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -533,10 +552,13 @@ def read_together(asked: list[tuple[Bits, int, int, bool]]) -> list[np.ndarray]:
     view = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     pos = starts * 8 + np.array([asked[x[1]][0].at for x in lanes])
     stop = (starts + sizes) * 8
-    tables = [[x[3][j] for x in lanes] for j in range(5)]
-    table = [np.concatenate([c.table for c in col]) for col in tables]
-    mask = [np.array([c.mask for c in col]) for col in tables]
-    off = [np.cumsum(m + 1) - (m + 1) for m in mask]
+    table, mask, off = [], [], []
+    for j in range(5):  # lanes with equal codes share a table
+        different = {id(x[3][j]): x[3][j] for x in lanes}
+        ends = dict(zip(different, np.cumsum([c.mask + 1 for c in different.values()]).tolist()))
+        table.append(np.concatenate([c.table for c in different.values()]))
+        mask.append(np.array([x[3][j].mask for x in lanes]))
+        off.append(np.array([ends[id(x[3][j])] for x in lanes]) - mask[-1] - 1)
     opaque = not mask[3].any()
     alpha = table[3][off[3]].astype(np.int64) >> 4 << 24
     cached = np.flatnonzero([x[2] > 0 for x in lanes])
@@ -641,14 +663,14 @@ def huffman_lengths(weights: list[int], longest: int = 15) -> list[int]:
         return lengths
     flat = [weights[k] for k in used]
     while True:
-        heap = [w << 12 | k for k, w in enumerate(flat)]
+        heap = [w << 16 | k for k, w in enumerate(flat)]
         heapq.heapify(heap)
         above, n = [0] * (2 * len(flat) - 1), len(flat)
         while len(heap) > 1:
             a = heapq.heappop(heap)
             b = heap[0]
-            heapq.heapreplace(heap, ((a >> 12) + (b >> 12)) << 12 | n)
-            above[a & 4095] = above[b & 4095] = n
+            heapq.heapreplace(heap, ((a >> 16) + (b >> 16)) << 16 | n)
+            above[a & 65535] = above[b & 65535] = n
             n += 1
         depth = [0] * n
         for k in range(n - 2, -1, -1):
@@ -722,13 +744,24 @@ def _write_pixels(out: Writer, p: np.ndarray, main: bool, cache_bits: int = 0, c
         out.put(cache_bits, 4)
     if main:
         out.put(0, 1)
-    codes = []
-    for w in weights:
-        if not w.any():
-            w[0] = 1
-        if len(codes) != 2:
-            fitted = huffman_lengths(w.tolist())
-        codes.append(write_code(out, fitted))
+    every = np.concatenate([weights[0], weights[1], weights[3], weights[4]])
+    used = every[every > 0]
+    # Bits of the pixels by entropy, and about seven for each symbol's length in the head.
+    fitting = 7 * len(used) + float(sum((w := weights[k][weights[k] > 0]).sum() * np.log2(w.sum()) - (w * np.log2(w)).sum() for k in (0, 1, 3, 4) if weights[k].any()))
+    bits_of, standard = standard_codes(cache_bits)
+    cost = bits_of @ every
+    best = int(cost.argmin())
+    if cost[best] * (1 - EFFORT) < fitting:
+        codes, value, n = standard[best]
+        out.put(value, n)
+    else:
+        codes = []
+        for w in weights:
+            if not w.any():
+                w[0] = 1
+            if len(codes) != 2:
+                fitted = huffman_lengths(w.tolist(), LONGEST)
+            codes.append(write_code(out, fitted))
     lens = [c.bits for c in codes]
     places = np.concatenate([pixel, hit, far])
     fields[0, places], sizes[0, places] = codes[0].codes[first], lens[0][first]
@@ -745,6 +778,40 @@ def _write_pixels(out: Writer, p: np.ndarray, main: bool, cache_bits: int = 0, c
     out.put(int.from_bytes(packed.astype("<u4").tobytes(), "little"), end)
 
 
+#: Longest fitted code, in bits.
+LONGEST = 12
+#: A group fitted to an image is taken if it saves more than this share of its bits: most of an encoder's time goes into fitted codes.
+EFFORT = 0.12
+#: Common words and endings of four languages, from whose bytes the standard codes of texts follow.
+COMMON = (
+    "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one there were been has when who will more ing ion tion ent er re, and the. ",
+    "der die und das von zu den mit ist im des sich nicht ein eine auf dem für als auch werden aus bei einer um am sind noch nach über heit keit schaft ung lich sch ein, der ich. und die beheit ",
+    "le la les de et à un une est que dans en pour du qui sur pas par au avec ment eux elle tion ion ê ç où mais plus tout ses son leur aux eau été, elle et. que ",
+    "el los y del se las por con para su al lo como más o pero ción ado ciones mente señor año está qué también donde desde es ar er que, con los. para ",
+)
+
+
+@cache
+def standard_codes(cache_bits: int) -> tuple[np.ndarray, list[tuple[list[Code], int, int]]]:
+    """Groups of codes for small images, whose own codes would take more bits than they save: (bits of each symbol, with
+    a prohibitive number where a group has no code; and the groups with their heads). Lower-case, upper-case and mixed
+    text, any bytes, palette indices, and differences of sorted colours."""
+    any_byte, slots = [1] * 256, [2] * (1 << cache_bits) if cache_bits else []
+    text = lambda t: [1 + 16 * n for n in np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256).tolist()]
+    only = lambda *at: [int(k in at) for k in range(256)]
+    near = [1 + 256 // (1 + k) for k in range(256)]
+    texts = [text(t) for t in (*COMMON, *map(str.upper, COMMON), "".join(COMMON) + "0123456789,.;:!?#$%&*-()\n" * 8)]
+    groups = [(w, w, only(255), [k + 1 for k in range(24)][::-1]) for w in (*texts, any_byte)]
+    groups += [(any_byte, only(0), only(255), [1] * 24), (any_byte, any_byte, only(0, 255), [1] * 24), (any_byte, near, only(0, 255), [1] * 24)]
+    costs, out = [], []
+    for green, other, alpha, copies in groups:
+        head = Writer()
+        codes = [write_code(head, huffman_lengths(w, LONGEST)) for w in (green + copies + slots, other, other, alpha, [1] * 40)]
+        costs.append(np.concatenate([np.where(np.array(c.lengths) > 0, c.bits, 1 << 20) for c in (codes[0], codes[1], codes[3], codes[4])]))
+        out.append((codes, head.value, head.n))
+    return np.stack(costs), out
+
+
 @cache
 def _near(width: int) -> dict[int, int]:
     """The distance code of each near distance."""
@@ -818,7 +885,10 @@ def predictor_modes(p: np.ndarray, preset: Preset) -> np.ndarray:
     right = np.zeros((h << shift, w << shift), bool)
     here = p[1:, 1:-1]
     for m, there in ((1, p[1:, :-2]), (2, p[:-1, 1:-1]), (3, p[:-1, 2:]), (4, p[:-1, :-2])):
-        right[1 : p.shape[0], 1 : p.shape[1] - 1] = here == there
+        same = here == there
+        if np.count_nonzero(same) < 1 << shift >> 1:
+            continue  # less than half of the smallest block
+        right[1 : p.shape[0], 1 : p.shape[1] - 1] = same
         hits = right.reshape(h, 1 << shift, w, 1 << shift).sum((1, 3))
         best, most = np.where(hits > most, m, best), np.maximum(hits, most)
     return (0xFF000000 | best << 8).astype(np.uint32)
@@ -833,21 +903,35 @@ def cross_element(p: np.ndarray) -> np.ndarray:
     return np.array([[0xFF000000 | blue << 8 | red]], np.uint32)
 
 
+def _moments(px: np.ndarray) -> tuple[float, ...]:
+    """Covariances of green with blue and red, and variances of blue, green, red."""
+    red, green, blue = (x - x.mean() for x in px.reshape(-1, 3).T.astype(np.float64))
+    return tuple(float((a * b).mean()) for a, b in ((green, blue), (red, green), (blue, blue), (green, green), (red, red)))
+
+
 def encode_tile(samples: np.ndarray, preset: Preset) -> bytes:
     """RGB samples of rows of 64 pixels as one file."""
     px = samples.reshape(-1, WIDTH, 3).astype(np.uint32)
     p = np.uint32(0xFF000000) | px[..., 0] << np.uint32(16) | px[..., 1] << np.uint32(8) | px[..., 2]
-    if len(np.unique(p)) <= 256:
-        return riff(encode_image(p, (PALETTE,)))
-    modes, element = predictor_modes(p, preset), cross_element(p)
-    ways = [(estimated_bits(p), 0, (), p, 2), (estimated_bits(q := undo_green(p, True)), 1, (GREEN,), q, 2)]
+    modes, element = predictor_modes(p, preset), None
+    ways = [(estimated_bits(p), 0, (), p, 2)]
+    blue_green, red_green, blue, green, red = _moments(px)
+    if green - 2 * red_green < 0 or green - 2 * blue_green < 0:  # subtracting green makes red or blue narrower
+        ways.append((estimated_bits(q := undo_green(p, True)), 1, (GREEN,), q, 2))
     if (modes & 0xFF00).any():
         q = apply_predictor(p, modes, preset.predictor_shift)
         ways.append((estimated_bits(q) + 4 * modes.size, 2, (PREDICTOR,), q, preset.predictor_shift))
-    if element[0, 0] != 0xFF000000:
+    if max(red_green**2 / max(red, 1e-9), blue_green**2 / max(blue, 1e-9)) > 0.02 * green:  # green tells a fiftieth of their spread
+        element = cross_element(p)
         q = undo_cross(p, element, preset.cross_shift, True)
         ways.append((estimated_bits(q) + 32, 3, (CROSS,), q, preset.cross_shift))
+    colours = len(np.unique(p))
+    if colours <= 256:
+        # An index for each pixel, or for two to eight; a colour's differences take about two bytes.
+        ways.append((p.size * min(8, max(1, np.log2(colours))) / (1 << pack_of(colours) if colours <= 16 else 1) + 18 * colours, 4, (PALETTE,), p, 2))
     _, _, transforms, q, shift = min(ways, key=lambda x: x[:2])
+    if transforms == (PALETTE,):
+        return riff(encode_image(p, transforms))
     hits = int(cache_hits(q.ravel().astype(np.int64), preset.cache_bits).sum())
     return riff(encode_image(p, transforms, preset.cache_bits if hits >= 1 << (preset.cache_bits - 2) else 0, modes, element, shift))
 
