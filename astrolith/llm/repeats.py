@@ -17,8 +17,8 @@ batch in which a hash collided is sorted by its bytes. Rows whose left extension
 ones ``400 - o`` form runs of either order; the 400-byte string ``o`` bytes left of an anchor is repeated if
 another row shares both runs. The least and the largest such ``o`` bound what the anchor removes.
 
-**Scale.** Equal texts are counted first, and only one of them is searched. Texts move twice, dealt
-by a hash of the text; contexts move only for anchors that occur again. Equal contexts
+**Scale.** Equal texts are counted first, and only one of them is searched. Anchors are written once, in 20 bytes
+each. Texts move twice, dealt by a hash of the text; contexts move only for anchors that occur again. Equal contexts
 inside one text are settled there. The strings of a group of more than ``split_above`` anchors are counted
 by their hash instead, one row for each string and none for a pair, so that no group is gathered.
 
@@ -233,6 +233,10 @@ class Suffixes:
         full = np.concatenate([differ, np.ones((len(i), 1), bool)], axis=1)
         if (full.argmax(axis=1) != k).any():
             raise Collision
+        # The earlier row ends at the border, or has the lesser byte there.
+        at = np.minimum(k, self.width - 1)
+        if ((self.lens[i] > k) & ((self.lens[j] <= k) | (self.rows[i, at] > self.rows[j, at]))).any():
+            raise Collision
         out[inner] = k
         return out
 
@@ -297,24 +301,36 @@ def _as_signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _anchor_rows(s: Settings):
+#: An anchor in the written form: hash, place, and its strings' offsets.
+ANCHOR = np.dtype([("g", "<i8"), ("pos", "<i8"), ("first", "<i2"), ("last", "<i2")])
+
+
+def _packed_anchors(s: Settings):
+    """A text's anchors as one run of bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, g, pos, first, last = [], [], [], [], []
-            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+            out = []
+            for x in b.column(1):
                 a = anchors(x.as_py(), s)
-                key += [k] * len(a.pos)
-                g.append(a.hash)
-                pos.append(a.pos)
-                first.append(a.first)
-                last.append(a.last)
-            if key:
-                g = np.concatenate(g)
-                yield pa.record_batch([pa.array(key, pa.binary()), pa.array(_as_signed(g)), *(pa.array(np.concatenate(x)) for x in (pos, first, last))], names=["key", "g", "pos", "first", "last"])
+                rows = np.empty(len(a.pos), ANCHOR)
+                rows["g"], rows["pos"], rows["first"], rows["last"] = _as_signed(a.hash), a.pos, a.first, a.last
+                out.append(rows.tobytes())
+            yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], names=["key", "anchors"])
 
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 1024):
+            part = b.slice(at, 1024)
+            runs = part.column(1).to_pylist()
+            rows = np.frombuffer(b"".join(runs), ANCHOR)
+            key = part.column(0).take(pa.array(np.repeat(np.arange(len(runs)), [len(x) // ANCHOR.itemsize for x in runs])))
+            yield pa.record_batch([key, *(pa.array(rows[c].astype(np.int64)) for c in ANCHOR.names)], names=["key", *ANCHOR.names])
+
+
 def _context_rows(s: Settings):
     """Contexts of the listed anchors. Equal contexts inside a text are settled here; the first of them goes on."""
 
@@ -416,11 +432,19 @@ def repeated_ranges(texts: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``(key, a, z)``: bytes ``[a, z)`` go from the text of that key. ``texts`` has (key, body); equal rows count once."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long = texts.where(F.octet_length("body") >= s.length)
-    found = long.mapInArrow(_anchor_rows(s), "key binary, g long, pos long, first long, last long")
+    # Anchors are sought once and written in 20 bytes each; they are counted and filtered from there.
+    packed = cut(long.mapInArrow(_packed_anchors(s), "key binary, anchors binary"))
+    found = packed.mapInArrow(_unpacked, "key binary, g long, pos long, first long, last long")
     spot = F.struct("key", "pos", "first")
-    again = found.groupBy("g").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("g")
+    again = cut(found.groupBy("g").agg(F.min(spot).alias("x"), F.max(spot).alias("y"), F.count("*").alias("n")).where("x <> y").select("g", "n"))
+    # Anchors with a ten-thousandth of all anchors and more: at most 10,000, so they can be sent to all tasks, and their
+    # rows don't meet in one.
+    total = packed.agg(F.sum(F.octet_length("anchors"))).first()[0] or 0
+    most = again.where(F.col("n") >= max(10_000, total // ANCHOR.itemsize // 10_000 + 1)).select("g")
+    frequent = found.join(F.broadcast(most), "g", "left_semi")
+    others = found.join(F.broadcast(most), "g", "left_anti").join(again.select("g"), "g", "left_semi")
     # The anchors that occur again are written once: contexts, group sizes and ranges all follow from them.
-    dup = cut(found.join(again, "g", "left_semi"))
+    dup = cut(frequent.unionByName(others))
     # A text's anchors are bounded by its own length.
     spots = dup.groupBy("key").agg(F.collect_set(F.struct("g", "pos", "first", "last")).alias("spots"))
     contexts = cut(long.join(spots, "key").select("key", "body", "spots").mapInArrow(_context_rows(s), "key binary, g long, pos long, first long, last long, left binary, right binary, twice boolean"))
