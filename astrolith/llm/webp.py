@@ -14,7 +14,7 @@ cache where it is hit often. Copies of earlier pixels become back-references. Co
 image, or a standard group where that takes fewer bits, head included (small images). The decoder knows no standard
 group: it parses what the bytes say, and remembers groups by their bits.
 
-One scan, no shuffle. Nulls: a null text is empty; a null id keeps its row. Equal texts give equal values. An empty
+One scan, no shuffle; equal texts of a batch are stored and read once. Nulls: a null text is empty; a null id keeps its row. Equal texts give equal values. An empty
 table gives an empty result. Other columns are not read.
 """
 
@@ -719,7 +719,7 @@ def _copies(flat: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def _write_pixels(out: Writer, p: np.ndarray, main: bool, cache_bits: int = 0, copies: bool = True) -> None:
+def _write_pixels(out: Writer, p: np.ndarray, main: bool, cache_bits: int = 0, copies: bool = True, hits: np.ndarray | None = None) -> None:
     """One group of codes fitted to the image; a greedy search for copies of earlier pixels."""
     flat, width = p.ravel().astype(np.int64), p.shape[1]
     found = _copies(flat) if copies else []
@@ -728,13 +728,12 @@ def _write_pixels(out: Writer, p: np.ndarray, main: bool, cache_bits: int = 0, c
         keep[i + 1 : i + n] = False
     kind = np.zeros(len(flat), np.int64)  # pixel, cache, copy
     if cache_bits:
-        kind[cache_hits(flat, cache_bits)] = 1
+        kind[cache_hits(flat, cache_bits) if hits is None else hits] = 1
     kind[[i for i, _, _ in found]] = 2
-    fields, sizes = np.zeros((4, len(flat)), np.int64), np.zeros((4, len(flat)), np.int64)
     pixel, hit = np.flatnonzero(keep & (kind == 0)), np.flatnonzero(keep & (kind == 1))
     near = _near(width)
     far = np.array([i for i, _, _ in found], np.int64)
-    lengths, gaps = _prefixes([n for _, n, _ in found]), _prefixes([near.get(d, d + 120) for _, _, d in found])
+    lengths, gaps = np.split(_prefixes([n for _, n, _ in found] + [near.get(d, d + 120) for _, _, d in found]), 2, axis=1)
     values = [(flat[pixel] >> s) & 255 for s in (8, 16, 0, 24)]
     first = np.concatenate([values[0], 280 + _slots(flat[hit], cache_bits) if cache_bits else hit[:0], 256 + lengths[0]])
     weights = [np.bincount(v, minlength=size) for v, size in zip((first, *values[1:], gaps[0]), (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40))]
@@ -746,8 +745,9 @@ def _write_pixels(out: Writer, p: np.ndarray, main: bool, cache_bits: int = 0, c
         out.put(0, 1)
     every = np.concatenate([weights[0], weights[1], weights[3], weights[4]])
     used = every[every > 0]
+    sums = np.array([max(1, int(weights[k].sum())) for k in (0, 1, 3, 4)])
     # Bits of the pixels by entropy, and about seven for each symbol's length in the head.
-    fitting = 7 * len(used) + float(sum((w := weights[k][weights[k] > 0]).sum() * np.log2(w.sum()) - (w * np.log2(w)).sum() for k in (0, 1, 3, 4) if weights[k].any()))
+    fitting = 7 * len(used) + float((sums * np.log2(sums)).sum() - (used * np.log2(used)).sum())
     bits_of, standard = standard_codes(cache_bits)
     cost = bits_of @ every
     best = int(cost.argmin())
@@ -763,19 +763,29 @@ def _write_pixels(out: Writer, p: np.ndarray, main: bool, cache_bits: int = 0, c
                 fitted = huffman_lengths(w.tolist(), LONGEST)
             codes.append(write_code(out, fitted))
     lens = [c.bits for c in codes]
+    # The bits of each place (at most 60) as one number; then numbers are laid side by side in words of 64 bits.
     places = np.concatenate([pixel, hit, far])
-    fields[0, places], sizes[0, places] = codes[0].codes[first], lens[0][first]
+    v, n = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+    v[places], n[places] = codes[0].codes[first], lens[0][first]
     for k in (1, 2, 3):
-        fields[k, pixel], sizes[k, pixel] = codes[k].codes[values[k]], lens[k][values[k]]
-    fields[1:, far] = lengths[2], codes[4].codes[gaps[0]], gaps[2]
-    sizes[1:, far] = lengths[1], lens[4][gaps[0]], gaps[1]
-    v, n = fields[:, keep].T.ravel(), sizes[:, keep].T.ravel()
-    pos = np.cumsum(n) - n
-    end = int(pos[-1] + n[-1])
-    word, v = pos >> 5, v.astype(np.uint64) << (pos & 31).astype(np.uint64)
-    total = end // 32 + 3
-    packed = np.bincount(word, (v & np.uint64(0xFFFFFFFF)).astype(np.float64), total) + np.bincount(word + 1, (v >> np.uint64(32)).astype(np.float64), total)
-    out.put(int.from_bytes(packed.astype("<u4").tobytes(), "little"), end)
+        if codes[k].single is None:
+            v[pixel] |= codes[k].codes[values[k]] << n[pixel]
+            n[pixel] += lens[k][values[k]]
+    for bits, size in ((lengths[2], lengths[1]), (codes[4].codes[gaps[0]], lens[4][gaps[0]]), (gaps[2], gaps[1])) if len(far) else ():
+        v[far] |= bits << n[far]
+        n[far] += size
+    if found:
+        v, n = v[keep], n[keep]
+    ends = np.cumsum(n)
+    pos, end = ends - n, int(ends[-1])
+    word, at, v = pos >> 6, (pos & 63).astype(np.uint64), v.astype(np.uint64)
+    packed = np.zeros(end // 64 + 2, np.uint64)
+    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    packed[word[starts]] = np.bitwise_or.reduceat(v << at, starts)
+    last = np.r_[starts[1:], len(v)] - 1  # only a word's last number can reach into the next one
+    over = last[at[last] > 0]
+    packed[word[over] + 1] |= v[over] >> (np.uint64(64) - at[over])
+    out.put(int.from_bytes(packed.astype("<u8").tobytes(), "little") & ((1 << end) - 1), end)
 
 
 #: Longest fitted code, in bits.
@@ -818,7 +828,7 @@ def _near(width: int) -> dict[int, int]:
     return {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
 
 
-def encode_image(p: np.ndarray, transforms: tuple = (), cache_bits: int = 0, modes: np.ndarray | None = None, elements: np.ndarray | None = None, shift: int = 2) -> bytes:
+def encode_image(p: np.ndarray, transforms: tuple = (), cache_bits: int = 0, modes: np.ndarray | None = None, elements: np.ndarray | None = None, shift: int = 2, hits: np.ndarray | None = None) -> bytes:
     """ARGB words (height, width) as a VP8L chunk, after the named transforms in their order."""
     h, w = p.shape
     out = Writer()
@@ -852,7 +862,7 @@ def encode_image(p: np.ndarray, transforms: tuple = (), cache_bits: int = 0, mod
                 index = (wide.reshape(p.shape[0], -1, per) << (np.arange(per, dtype=np.uint32) * bits)).sum(axis=2).astype(np.uint32)
             p = np.uint32(0xFF000000) | (index << np.uint32(8))
     out.put(0, 1)
-    _write_pixels(out, p, True, cache_bits)
+    _write_pixels(out, p, True, cache_bits, hits=hits)
     return out.bytes()
 
 
@@ -880,14 +890,13 @@ def predictor_modes(p: np.ndarray, preset: Preset) -> np.ndarray:
     """For each block the mode (left, top, top-right, top-left) that foretells most of its pixels, or 0 if none foretells half of them."""
     shift = preset.predictor_shift
     h, w = -(-p.shape[0] // (1 << shift)), -(-p.shape[1] // (1 << shift))
-    y, x = (np.minimum(1 << shift, n - (np.arange(k) << shift)) for n, k in ((p.shape[0], h), (p.shape[1], w)))
-    best, most = np.zeros((h, w), np.int64), y[:, None] * x // 2
-    right = np.zeros((h << shift, w << shift), bool)
-    here = p[1:, 1:-1]
-    for m, there in ((1, p[1:, :-2]), (2, p[:-1, 1:-1]), (3, p[:-1, 2:]), (4, p[:-1, :-2])):
-        same = here == there
-        if np.count_nonzero(same) < 1 << shift >> 1:
-            continue  # less than half of the smallest block
+    best, here = np.zeros((h, w), np.int64), p[1:, 1:-1]
+    near = [(m, here == there) for m, there in ((1, p[1:, :-2]), (2, p[:-1, 1:-1]), (3, p[:-1, 2:]), (4, p[:-1, :-2]))]
+    near = [(m, same) for m, same in near if np.count_nonzero(same) >= 1 << shift >> 1]  # half of the smallest block
+    if near:
+        y, x = (np.minimum(1 << shift, n - (np.arange(k) << shift)) for n, k in ((p.shape[0], h), (p.shape[1], w)))
+        most, right = y[:, None] * x // 2, np.zeros((h << shift, w << shift), bool)
+    for m, same in near:
         right[1 : p.shape[0], 1 : p.shape[1] - 1] = same
         hits = right.reshape(h, 1 << shift, w, 1 << shift).sum((1, 3))
         best, most = np.where(hits > most, m, best), np.maximum(hits, most)
@@ -905,8 +914,9 @@ def cross_element(p: np.ndarray) -> np.ndarray:
 
 def _moments(px: np.ndarray) -> tuple[float, ...]:
     """Covariances of green with blue and red, and variances of blue, green, red."""
-    red, green, blue = (x - x.mean() for x in px.reshape(-1, 3).T.astype(np.float64))
-    return tuple(float((a * b).mean()) for a, b in ((green, blue), (red, green), (blue, blue), (green, green), (red, red)))
+    c = px.reshape(-1, 3).T.astype(np.float64)
+    red, green, blue = c - c.sum(axis=1, keepdims=True) / c.shape[1]
+    return tuple(float((a * b).sum()) / c.shape[1] for a, b in ((green, blue), (red, green), (blue, blue), (green, green), (red, red)))
 
 
 def encode_tile(samples: np.ndarray, preset: Preset) -> bytes:
@@ -916,12 +926,14 @@ def encode_tile(samples: np.ndarray, preset: Preset) -> bytes:
     modes, element = predictor_modes(p, preset), None
     ways = [(estimated_bits(p), 0, (), p, 2)]
     blue_green, red_green, blue, green, red = _moments(px)
-    if green - 2 * red_green < 0 or green - 2 * blue_green < 0:  # subtracting green makes red or blue narrower
+    # A transform is tried if the spread that is left promises some bits.
+    gain = lambda before, after: 0.5 * p.size * np.log2((before + 0.1) / (max(after, 0.0) + 0.1))
+    if gain(red, red + green - 2 * red_green) + gain(blue, blue + green - 2 * blue_green) > 100:
         ways.append((estimated_bits(q := undo_green(p, True)), 1, (GREEN,), q, 2))
     if (modes & 0xFF00).any():
         q = apply_predictor(p, modes, preset.predictor_shift)
         ways.append((estimated_bits(q) + 4 * modes.size, 2, (PREDICTOR,), q, preset.predictor_shift))
-    if max(red_green**2 / max(red, 1e-9), blue_green**2 / max(blue, 1e-9)) > 0.02 * green:  # green tells a fiftieth of their spread
+    if green and gain(red, red - red_green**2 / green) + gain(blue, blue - blue_green**2 / green) > 200:
         element = cross_element(p)
         q = undo_cross(p, element, preset.cross_shift, True)
         ways.append((estimated_bits(q) + 32, 3, (CROSS,), q, preset.cross_shift))
@@ -932,8 +944,9 @@ def encode_tile(samples: np.ndarray, preset: Preset) -> bytes:
     _, _, transforms, q, shift = min(ways, key=lambda x: x[:2])
     if transforms == (PALETTE,):
         return riff(encode_image(p, transforms))
-    hits = int(cache_hits(q.ravel().astype(np.int64), preset.cache_bits).sum())
-    return riff(encode_image(p, transforms, preset.cache_bits if hits >= 1 << (preset.cache_bits - 2) else 0, modes, element, shift))
+    hits = cache_hits(q.ravel().astype(np.int64), preset.cache_bits)
+    cached = np.count_nonzero(hits) >= 1 << (preset.cache_bits - 2)
+    return riff(encode_image(p, transforms, preset.cache_bits if cached else 0, modes, element, shift, hits))
 
 
 def encode_text(body: bytes, preset: Preset) -> tuple[bytes, int]:
@@ -944,7 +957,7 @@ def encode_text(body: bytes, preset: Preset) -> tuple[bytes, int]:
 
 
 #: Images whose pixels are read in one lockstep.
-LANES = 4096
+LANES = 8192
 
 
 def decode_tiles(chunks: list[bytes], preset: Preset) -> list[np.ndarray]:
@@ -964,7 +977,7 @@ def feature(payload: np.ndarray, stored: int) -> str:
 
 
 #: Bytes of text that are stored and read back together.
-TOGETHER = 4 << 20
+TOGETHER = 12 << 20
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
@@ -979,6 +992,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
         preset = Preset()
 
         def solve(ids, bodies):
+            place = {b: k for k, b in enumerate(dict.fromkeys(bodies))}  # equal texts of a batch are stored and read once
+            rows, bodies = [place[b] for b in bodies], list(place)
             stored = [encode_text(b, preset)[0] for b in bodies]
             chunks, of = [], []
             for k, x in enumerate(stored):
@@ -996,7 +1011,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
                 row = [len(body), len(raw), sha256(raw).hexdigest(), crc32(raw[-16:]), len(x), sha256(x).hexdigest(), feature(payload, len(x)), x]
                 for c, v in zip(cols, row):
                     c.append(v)
-            return pa.record_batch([ids, *(pa.array(c) for c in cols)], names=names)
+            return pa.record_batch([ids, *(pa.array(c).take(pa.array(rows)) for c in cols)], names=names)
 
         for b in batches:
             bodies, at, held = [], 0, 0
