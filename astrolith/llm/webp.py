@@ -696,7 +696,7 @@ def _before(keys: np.ndarray) -> np.ndarray:
 
 def cache_hits(flat: np.ndarray, cache_bits: int) -> np.ndarray:
     """Whether the cache holds each pixel when it is its turn."""
-    last = _before(_slots(flat, cache_bits))
+    last = _before(_slots(flat, cache_bits).astype(np.uint16))  # narrow keys are sorted by their digits
     return (last >= 0) & (flat[last] == flat)
 
 
@@ -704,9 +704,11 @@ def _copies(flat: np.ndarray) -> list[tuple[int, int, int]]:
     """Greedy copies (place, length, distance) of three pixels or more, from the last place with the same three."""
     if len(flat) < 4:
         return []
-    last = _before((flat[:-2] * 0x9E3779B1) ^ (flat[1:-1] * 0x85EBCA77 << 8) ^ (flat[2:] * 0xC2B2AE3D << 16))
+    mixed = (flat[:-2] * 0x9E3779B1) ^ (flat[1:-1] * 0x85EBCA77 << 8) ^ (flat[2:] * 0xC2B2AE3D << 16)
+    last = _before((mixed >> 24).astype(np.uint16))
     out, at = [], 0
-    places = np.flatnonzero(last >= 0)
+    same = (last >= 0) & (flat[last] == flat[:-2]) & (flat[last + 1] == flat[1:-1]) & (flat[last + 2] == flat[2:])
+    places = np.flatnonzero(same)
     for i, j in zip(places.tolist(), last[places].tolist()):
         if i < at:
             continue
@@ -924,7 +926,7 @@ def encode_tile(samples: np.ndarray, preset: Preset) -> bytes:
     px = samples.reshape(-1, WIDTH, 3).astype(np.uint32)
     p = np.uint32(0xFF000000) | px[..., 0] << np.uint32(16) | px[..., 1] << np.uint32(8) | px[..., 2]
     modes, element = predictor_modes(p, preset), None
-    ways = [(estimated_bits(p), 0, (), p, 2)]
+    ways = []
     blue_green, red_green, blue, green, red = _moments(px)
     # A transform is tried if the spread that is left promises some bits.
     gain = lambda before, after: 0.5 * p.size * np.log2((before + 0.1) / (max(after, 0.0) + 0.1))
@@ -941,7 +943,9 @@ def encode_tile(samples: np.ndarray, preset: Preset) -> bytes:
     if colours <= 256:
         # An index for each pixel, or for two to eight; a colour's differences take about two bytes.
         ways.append((p.size * min(8, max(1, np.log2(colours))) / (1 << pack_of(colours) if colours <= 16 else 1) + 18 * colours, 4, (PALETTE,), p, 2))
-    _, _, transforms, q, shift = min(ways, key=lambda x: x[:2])
+    transforms, q, shift = (), p, 2
+    if ways:
+        _, _, transforms, q, shift = min([(estimated_bits(p), 0, (), p, 2), *ways], key=lambda x: x[:2])
     if transforms == (PALETTE,):
         return riff(encode_image(p, transforms))
     hits = cache_hits(q.ravel().astype(np.int64), preset.cache_bits)
