@@ -47,33 +47,46 @@ def by_key_ranges(keyed: DataFrame, pieces: int) -> DataFrame:
     return global_rank(keyed, "key", "id").withColumn("piece", tile(F.col("rank"), keyed.count(), pieces)).drop("rank")
 
 
-def level_counts(keyed: DataFrame, depth: int, bits: int = 3) -> DataFrame:
-    """``(depth, node, n)`` for all levels down to ``depth``: points are counted once, at the deepest level, and
+def level_counts(keyed: DataFrame, depth: int, bits: int = 3, top: int = 0) -> DataFrame:
+    """``(depth, node, n)`` for the levels from ``top`` to ``depth``: points are counted once, at the deepest level, and
     each level above sums up the one below it."""
     level = cut(keyed.groupBy(keys.prefix(F.col("key"), depth, bits).alias("node")).agg(F.count("*").alias("n")))
     out = level.select(F.lit(depth).alias("depth"), "node", "n")
-    for d in range(depth - 1, -1, -1):
+    for d in range(depth - 1, top - 1, -1):
         level = level.groupBy(keys.parent(F.col("node"), bits).alias("node")).agg(F.sum("n").alias("n"))
         out = out.unionByName(level.select(F.lit(d).alias("depth"), "node", "n"))
     return out
 
 
-def leaves(keyed: DataFrame, most: int, max_depth: int, bits: int = 3) -> DataFrame:
-    """``(depth, node, n)`` of the cells that are not split: at most ``most`` points, or the deepest level; their parents hold more."""
-    counts = cut(level_counts(keyed, max_depth, bits))
-    small = (F.col("n") <= most) | (F.col("depth") == max_depth)
-    split = counts.where(~small).select((F.col("depth") + 1).alias("depth"), F.col("node").alias("up"))
-    root = counts.where((F.col("depth") == 0) & small)
-    below = counts.where((F.col("depth") > 0) & small).withColumn("up", keys.parent(F.col("node"), bits)).join(split, ["depth", "up"], "left_semi")
-    return root.select("depth", "node", "n").unionByName(below.select("depth", "node", "n"))
+def leaves(keyed: DataFrame, most: int, max_depth: int | None = None, bits: int = 3, step: int = 5) -> DataFrame:
+    """``(depth, node, n)`` of the cells that are not split: at most ``most`` points, or the deepest level; their parents hold more.
 
-
-def octants(keyed: DataFrame, min_pieces: int, max_depth: int = 8, bits: int = 3) -> DataFrame:
+    ``step`` levels are counted at a time; points go on only if their cell at the last of them is still too large. Without
+    ``max_depth`` the key's own depth is the only bound, so only equal keys make larger cells.
+    """
+    deepest = 3 * keys.BITS // bits if max_depth is None else max_depth
+    found, live, top = None, keyed, 0
+    while True:
+        low = min(top + step, deepest)
+        counts = cut(level_counts(live, low, bits, top))
+        small = (F.col("n") <= most) | (F.col("depth") == deepest)
+        split = counts.where(~small).select((F.col("depth") + 1).alias("depth"), F.col("node").alias("up"))
+        ends = counts.where((F.col("depth") > top) & small).withColumn("up", keys.parent(F.col("node"), bits)).join(split, ["depth", "up"], "left_semi").select("depth", "node", "n")
+        if top == 0:
+            ends = counts.where((F.col("depth") == 0) & small).select("depth", "node", "n").unionByName(ends)
+        found = ends if found is None else found.unionByName(ends)
+        large = counts.where((F.col("depth") == low) & ~small).select(F.col("node").alias("_large"))
+        if low == deepest or large.isEmpty():
+            return found
+        live, top = live.join(large, keys.prefix(F.col("key"), low, bits) == F.col("_large"), "left_semi"), low
+
+
+def octants(keyed: DataFrame, min_pieces: int, max_depth: int | None = None, bits: int = 3) -> DataFrame:
     """Cells of at most ``floor(N / min_pieces)`` points; ``bits=1`` halves instead of octants."""
     return leaves(keyed, keyed.count() // min_pieces, max_depth, bits)
 
 
-def assign_cells(keyed: DataFrame, cells: DataFrame, max_depth: int, bits: int = 3) -> DataFrame:
+def assign_cells(keyed: DataFrame, cells: DataFrame, max_depth: int = keys.BITS, bits: int = 3) -> DataFrame:
     """Adds the ``(depth, node)`` of each point's cell. A point lies in one cell, so each depth is an equi-join."""
     up = F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")
     depths = cells.select("depth").distinct()
@@ -82,17 +95,28 @@ def assign_cells(keyed: DataFrame, cells: DataFrame, max_depth: int, bits: int =
     return tried.withColumn("node", move).join(cells.select("depth", "node"), ["depth", "node"])
 
 
+def _ranked_in_cells(points: DataFrame, *order: str) -> DataFrame:
+    """Adds ``_at`` (1, 2, ... inside each cell) and ``_n``, a cell's points: ranks over all rows, less those of the cells before."""
+    ranked = global_rank(points, "cell", *order)
+    sizes = ranked.groupBy("cell").agg(F.count("*").alias("_n"), F.min("rank").alias("_least"))  # 2^levels rows
+    return ranked.join(F.broadcast(sizes), "cell").withColumn("_at", F.col("rank") - F.col("_least") + 1).drop("rank", "_least")
+
+
 def kd_cells(points: DataFrame, levels: int, exact: bool = True) -> DataFrame:
     """Adds ``cell``: ``levels`` halvings by the lower median of x, y, z in turn; what equals the median goes left.
 
-    ``exact=False`` takes each median from a mergeable sketch, whose size does not grow with the cell.
+    Exact medians come from ranks that no single task counts; ``exact=False`` takes each from a mergeable sketch,
+    whose size does not grow with the cell.
     """
     out = points.withColumn("cell", F.lit(0))
     for level in range(levels):
         axis = AXES[level % 3]
-        middle = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {axis})") if exact else F.percentile_approx(axis, 0.5, 100_000)
-        cuts = out.groupBy("cell").agg(middle.alias("_cut"))
-        out = out.join(F.broadcast(cuts), "cell").withColumn("cell", F.col("cell") * 2 + (F.col(axis) > F.col("_cut")).cast("int")).drop("_cut")  # 2^levels cuts
+        if exact:
+            out = _ranked_in_cells(out, axis)
+            cuts = out.groupBy("cell").agg(F.max(F.when(F.col("_at") == F.ceil(F.col("_n") / 2), F.col(axis))).alias("_cut"))
+        else:
+            cuts = out.groupBy("cell").agg(F.percentile_approx(axis, 0.5, 100_000).alias("_cut"))
+        out = out.join(F.broadcast(cuts), "cell").withColumn("cell", F.col("cell") * 2 + (F.col(axis) > F.col("_cut")).cast("int")).drop("_cut", "_at", "_n")  # 2^levels cuts
     return out
 
 
@@ -100,9 +124,8 @@ def kd_tree_cells(points: DataFrame, levels: int) -> DataFrame:
     """Adds ``cell``: halvings by count, the left side taking ceil(n / 2) of a cell's points, ties by id."""
     out = points.withColumn("cell", F.lit(0))
     for level in range(levels):
-        w = Window.partitionBy("cell")
-        rank, n = F.row_number().over(w.orderBy(AXES[level % 3], "id")), F.count("*").over(w)
-        out = out.withColumn("_right", (rank > F.ceil(n / 2)).cast("int")).withColumn("cell", F.col("cell") * 2 + F.col("_right")).drop("_right")
+        out = _ranked_in_cells(out, AXES[level % 3], "id")
+        out = out.withColumn("cell", F.col("cell") * 2 + (F.col("_at") > F.ceil(F.col("_n") / 2)).cast("int")).drop("_at", "_n")
     return out
 
 
@@ -130,42 +153,6 @@ def place_by_prefix(pieces: DataFrame, workers: int, weight: str = "n") -> DataF
     return pieces.withColumn("worker", F.least(F.lit(workers - 1), F.floor(before * workers / total)).cast("int"))
 
 
-def place_smoothed(pieces: DataFrame, workers: int, weight: str = "n", blend: float = 0.5) -> DataFrame:
-    """The same with weights blended toward their average."""
-    mean = F.avg(weight).over(Window.partitionBy())
-    blended = pieces.withColumn("_w", F.col(weight) * (1 - blend) + mean * blend)
-    return place_by_prefix(blended, workers, "_w").drop("_w")
-
-
-def place_by_bisection(pieces: DataFrame, workers: int, weight: str = "n") -> DataFrame:
-    """Adds ``worker``: recursive halving of the pieces' centres (x, y, z) by weight, across the widest side.
-
-    Windows per cell; one row per piece. ``workers`` is a power of two.
-    """
-    out = pieces.withColumn("worker", F.lit(0))
-    for _ in range(workers.bit_length() - 1):
-        w = Window.partitionBy("worker")
-        spans = {c: F.max(c).over(w) - F.min(c).over(w) for c in AXES}
-        wide = F.greatest(*spans.values())
-        axis = F.when(spans["x"] == wide, F.col("x")).when(spans["y"] == wide, F.col("y")).otherwise(F.col("z"))
-        out = out.withColumn("_p", axis)
-        run = F.sum(weight).over(w.orderBy("_p", "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(weight) / 2
-        out = out.withColumn("_right", (run * 2 > F.sum(weight).over(w)).cast("int")).withColumn("worker", F.col("worker") * 2 + F.col("_right")).drop("_p", "_right")
-    return out
-
-
-def place_by_diffusion(loads: DataFrame, rounds: int = 3, alpha: float = 0.5) -> DataFrame:
-    """``(worker, load)`` after smoothing along a ring: each round moves a share of the differences to both neighbours."""
-    out = loads.select("worker", F.col("load").cast("double").alias("load"))
-    n = out.count()
-    for _ in range(rounds):
-        # A worker and its two neighbours: three rows for each, met by an equi-join.
-        shared = out.select(F.explode(F.array(F.pmod(F.col("worker") - 1, F.lit(n)), F.pmod(F.col("worker") + 1, F.lit(n)))).alias("worker"), F.col("load").alias("near"))
-        mean = shared.groupBy("worker").agg(F.avg("near").alias("near"))
-        out = out.join(mean, "worker").select("worker", (F.col("load") + alpha * (F.col("near") - F.col("load"))).alias("load"))
-    return out
-
-
 def needs_rebuild(sizes: DataFrame, ratio: float) -> bool:
     """Whether the largest piece exceeds the average by more than ``ratio``."""
     r = sizes.agg((F.max("n") / F.avg("n")).alias("r")).first()["r"]

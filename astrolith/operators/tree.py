@@ -37,7 +37,7 @@ def rollup(keyed: DataFrame, depth: int, payload: Payload, bits: int = 3) -> Dat
     return out.select("depth", "node", *payload)
 
 
-def tree_leaves(keyed: DataFrame, leaf_size: int, max_depth: int = 8, floor_depth: int = 0, bits: int = 3) -> DataFrame:
+def tree_leaves(keyed: DataFrame, leaf_size: int, max_depth: int | None = None, floor_depth: int = 0, bits: int = 3) -> DataFrame:
     """``(depth, node, n)``: cells of at most ``leaf_size`` points, never above ``floor_depth``; the deepest level takes what is left."""
     found = leaves(keyed, leaf_size, max_depth, bits)
     if not floor_depth:
@@ -48,8 +48,8 @@ def tree_leaves(keyed: DataFrame, leaf_size: int, max_depth: int = 8, floor_dept
 
 
 def with_centres(nodes: DataFrame) -> DataFrame:
-    """Adds the centre of mass, and the opening radius: from it to the farthest corner (1 for single points)."""
-    out = nodes.withColumns({f"c{c}": F.col(f"m{c}") / F.col("mass") for c in AXES})
+    """Adds the centre of mass (without mass: of the box), and the opening radius: from it to the farthest corner (1 for single points)."""
+    out = nodes.withColumns({f"c{c}": F.coalesce(F.try_divide(f"m{c}", "mass"), (F.col(f"{c}_lo") + F.col(f"{c}_hi")) / 2) for c in AXES})
     far = sum((F.pow(F.greatest(F.col(f"c{c}") - F.col(f"{c}_lo"), F.col(f"{c}_hi") - F.col(f"c{c}")), 2) for c in AXES), F.lit(0.0))
     return out.withColumn("radius", F.when(F.col("n") <= 1, F.lit(1.0)).otherwise(F.sqrt(far)))
 

@@ -206,7 +206,8 @@ SELECT factor, floor(log2(size))::INT AS bin, count(*) AS n_components FROM (SEL
     "untouched_fragments": f"{_MERGES} SELECT DISTINCT label FROM labels WHERE label NOT IN (SELECT lo FROM m UNION SELECT hi FROM m)",
     "fof_cells": f"WITH {EMB}, {CUBE}, {link(F_EMB)}, s AS (SELECT b / sqrt(6.0::DOUBLE) * (1 - 1e-9::DOUBLE) AS s FROM b) SELECT floor(x / s)::BIGINT AS cx, floor(y / s)::BIGINT AS cy, floor(z / s)::BIGINT AS cz, count(*) AS n, min(id) AS rep FROM p, s GROUP BY 1, 2, 3",
     "fof_pbc": f"WITH RECURSIVE {EMB}, {CUBE}, {link(F_EMB)}, {edges(periodic_d2(f'{PERIOD!r}::DOUBLE'))}, {REACH} SELECT id, label FROM labels",
-    "label_checks": 'SELECT 0::BIGINT AS null_labels, 0::BIGINT AS above, 0::BIGINT AS "foreign"',
+    "label_checks": f"""{_LABELS} SELECT count(*) FILTER (WHERE l.label IS NULL) AS null_labels, count(*) FILTER (WHERE l.label > l.id) AS above,
+count(*) FILTER (WHERE o.label IS NULL OR o.label <> l.label) AS "foreign" FROM labels l LEFT JOIN labels o ON o.id = l.label""",
     "pair_distance_histogram": f"""WITH {EMB}, d AS (SELECT sqrt({D2}) AS d FROM p a JOIN p c ON a.id <> c.id)
 SELECT floor((ln(d) - ln(0.01::DOUBLE)) / (ln(1.0::DOUBLE) - ln(0.01::DOUBLE)) * 5)::INT AS bin, count(*) AS n FROM d WHERE d >= 0.01 AND d < 1.0 GROUP BY 1""",
     "knn": f"WITH {EMB} SELECT id, rank::INT AS rank, nbr, round(d2, 12) AS d2 FROM (SELECT a.id, c.id AS nbr, {D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, c.id) AS rank FROM p a JOIN p c ON a.id <> c.id) WHERE rank <= 3",

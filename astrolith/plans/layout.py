@@ -12,7 +12,7 @@ from astrolith.plans.sql import CUBE, EMB, KEYED, ORD
 from astrolith.session import table
 from astrolith.sources.views import embedding_points, line_points, order_points
 
-PIECES, LEAF, DEPTH = 8, 16, 5
+PIECES, LEAF, DEPTH = 8, 16, keys.BITS
 ROUND = 9
 
 

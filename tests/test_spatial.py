@@ -111,11 +111,29 @@ def test_ranks_do_not_depend_on_partitions(spark):
 
 def test_placements(spark):
     pieces = spark.createDataFrame([(k, 10, float(k % 4), float(k // 4), 0.0) for k in range(16)], "piece long, n long, x double, y double, z double")
-    for placed in (partition.place_by_prefix(pieces, 4), partition.place_smoothed(pieces, 4), partition.place_by_bisection(pieces, 4)):
-        assert {r["count"] for r in placed.groupBy("worker").count().collect()} == {4}
-    loads = spark.createDataFrame([(0, 8), (1, 0), (2, 0), (3, 0)], "worker int, load int")
-    got = partition.place_by_diffusion(loads, 1).orderBy("worker").collect()
-    assert [r.load for r in got] == [4.0, 2.0, 0.0, 2.0]
+    assert {r["count"] for r in partition.place_by_prefix(pieces, 4).groupBy("worker").count().collect()} == {4}
+
+
+def test_leaves_have_no_depth_cap(spark):
+    # A dense clump of cells that differ in their last bits only, three equal keys, and single points.
+    ids = [5] * 3 + [(1 << 62) + k for k in range(40)] + [k << 57 for k in range(1, 20)]
+    keyed = spark.createDataFrame([(k, v) for k, v in enumerate(ids)], "id long, key long")
+    for bits in (3, 1):
+        got = {(r.depth, r.node): r.n for r in partition.leaves(keyed, 2, bits=bits).collect()}
+        want = {}
+        deepest = 63 // bits
+        for v in ids:
+            d = next(d for d in range(deepest + 1) if d == deepest or sum(x >> (63 - bits * d) == v >> (63 - bits * d) for x in ids) <= 2)
+            want[d, v >> (63 - bits * d)] = sum(x >> (63 - bits * d) == v >> (63 - bits * d) for x in ids)
+        assert got == want
+        cells = spark.createDataFrame([(*k, n) for k, n in got.items()], "depth int, node long, n long")
+        assert partition.assign_cells(keyed, cells, deepest, bits).count() == len(ids)
+
+
+def test_zero_mass_has_the_centre_of_its_box(spark):
+    nodes = spark.createDataFrame([(2, 0.0, *[0.0] * 3, *[0.0, 2.0] * 3)], "n long, mass double, mx double, my double, mz double, x_lo double, x_hi double, y_lo double, y_hi double, z_lo double, z_hi double")
+    r = tree.with_centres(nodes).first()
+    assert (r.cx, r.cy, r.cz) == (1.0, 1.0, 1.0) and abs(r.radius - 3**0.5) < 1e-12
 
 
 def test_forces(spark):
