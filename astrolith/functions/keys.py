@@ -62,6 +62,12 @@ def label_of(code: Column) -> Column:
     return code.bitwiseAND(F.lit((1 << 43) - 1))
 
 
+def pair_owner(a: Column, b: Column, p: Column, q: Column) -> Column:
+    """Which of two owners handles a pair of keys: one bit of a hash of both, the same from either side."""
+    bit = F.xxhash64(F.least(a, b), F.greatest(a, b)).bitwiseAND(F.lit(1))
+    return F.when(bit == 1, F.least(p, q)).otherwise(F.greatest(p, q))
+
+
 @F.pandas_udf(T.LongType())
 def hilbert(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
     """Hilbert-curve key of three 21-bit cells: Gray-code transposition, all rows at once."""

@@ -78,8 +78,3 @@ def pair_histogram(points: DataFrame, low: float, high: float, bins: int, size:
 
     pairs = block_pairs(points, ["x", "y", "z"], ["key", "id"], size, True)
     return reduce_pairs(pairs, ["x", "y", "z"], kernel, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
-
-
-def visit_all_count(points: DataFrame, leaves: DataFrame) -> DataFrame:
-    """One row: the sum of source counts over all ordered pairs of leaves (each point with each, itself included)."""
-    return leaves.agg((F.sum("n") * F.sum("n")).alias("visits"))

@@ -86,9 +86,12 @@ def fragments(points: DataFrame, link: float, piece: str = "piece", period: floa
     return points.select("id", piece).join(label_by_edges(points, edges), "id").select("id", piece, "label")
 
 
-def merge_edges(points: DataFrame, labels: DataFrame, link: float, piece: str = "piece", period: float = 0.0) -> DataFrame:
-    """Distinct ``(lo, hi)`` pairs of fragment labels that friends in different pieces join."""
-    cross = radius_pairs(points, link, period, keep=(piece,)).where(F.col(f"src_{piece}") != F.col(f"dst_{piece}")).select("src", "dst")
+def merge_edges(points: DataFrame, labels: DataFrame, link: float, piece: str = "piece", period: float = 0.0, within: str | None = None) -> DataFrame:
+    """Distinct ``(lo, hi)`` pairs of fragment labels that friends in different pieces join; with ``within``, only inside a region."""
+    pairs = radius_pairs(points, link, period, keep=(piece, within) if within else (piece,))
+    if within:
+        pairs = pairs.where(F.col(f"src_{within}") == F.col(f"dst_{within}"))
+    cross = pairs.where(F.col(f"src_{piece}") != F.col(f"dst_{piece}")).select("src", "dst")
     a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("la")), labels.select(F.col("id").alias("dst"), F.col("label").alias("lb"))
     return cross.join(a, "src").join(b, "dst").where("la <> lb").select(F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi")).distinct()
 
@@ -104,6 +107,12 @@ def merged_labels(labels: DataFrame, merges: DataFrame) -> DataFrame:
     return relabel(labels.select("id", "label"), comp)
 
 
+def merged_by_regions(points: DataFrame, labels: DataFrame, link: float, piece: str = "piece", region: str = "region", period: float = 0.0) -> DataFrame:
+    """Merges in two rounds, inside regions (each holds whole pieces) and then between them over fewer labels: the same labels."""
+    inside = cut(merged_labels(labels, merge_edges(points, labels, link, piece, period, within=region)))
+    return merged_labels(inside, merge_edges(points, inside, link, region, period))
+
+
 def untouched(labels: DataFrame, merges: DataFrame) -> DataFrame:
     """Fragment labels that no merge edge names."""
     ends = merges.select(F.col("lo").alias("label")).unionByName(merges.select(F.col("hi").alias("label"))).distinct()

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from astrolith.functions import keys
 from astrolith.functions.geometry import AXES, sphere_meets_box
 from astrolith.operators.blocks import block_pairs, reduce_pairs
-from astrolith.operators.partition import leaves
-from astrolith.operators.tree import box_payload, moment_payload, rollup, with_centres
+from astrolith.operators.partition import assign_cells, leaves
+from astrolith.operators.tree import moment_payload, nodes_above, with_centres
 from astrolith.operators.universe import Universe, with_key
 from astrolith.session import cut
 
@@ -37,64 +39,105 @@ def softened_array(r2: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 FORCE = ["id", "x", "y", "z", "mass", "soft"]
+PULLS = "id long, ax double, ay double, az double"
+
+
+def _pull_of_block(_, a: list[np.ndarray], b: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """What the points of one block exert on each point of another; a point exerts nothing on itself."""
+    ids, p, q = a[0], np.stack(a[1:4], 1), np.stack(b[1:4], 1)
+    acc = np.zeros_like(p)
+    for at in range(0, len(q), 256):
+        d = q[None, at : at + 256, :] - p[:, None, :]
+        w = softened_array((d**2).sum(2), a[5][:, None] + b[5][None, at : at + 256]) * b[4][None, at : at + 256]
+        acc += (d * w[..., None]).sum(1)
+    return {"id": ids, "ax": acc[:, 0], "ay": acc[:, 1], "az": acc[:, 2]}
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Starts and lengths of lists of points, and the points' columns."""
+    ends = column.offsets.to_numpy()
+    rows = column.values
+    return ends[:-1].astype(np.int64), np.diff(ends).astype(np.int64), [rows.field(k).to_numpy(zero_copy_only=False) for k in FORCE]
+
+
+def _pull_of_leaves(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """One row for each target of each pair of small blocks: all pairs of a batch at once, ``most`` pairs of points at a time."""
+    for batch in batches:
+        a0, na, a = _flat(batch.column(0))
+        b0, nb, b = _flat(batch.column(1))
+        ends = np.cumsum(na * nb)
+        at = 0
+        while at < len(na):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            # A target of a pair is a run of that pair's sources.
+            pair = np.repeat(np.arange(at, stop), na[at:stop])
+            first = np.cumsum(na[at:stop]) - na[at:stop]
+            target = a0[pair] + np.arange(len(pair)) - np.repeat(first, na[at:stop])
+            size = nb[pair]
+            run = np.cumsum(size) - size
+            i = np.repeat(target, size)
+            j = np.repeat(b0[pair] - run, size) + np.arange(size.sum())
+            d = [b[k][j] - a[k][i] for k in (1, 2, 3)]
+            w = softened_array(d[0] * d[0] + d[1] * d[1] + d[2] * d[2], a[5][i] + b[5][j]) * b[4][j]
+            yield pa.record_batch([pa.array(a[0][target]), *(pa.array(np.add.reduceat(x * w, run)) for x in d)], names=["id", "ax", "ay", "az"])
+            at = stop
 
 
 def direct(points: DataFrame, size: int = 1024) -> DataFrame:
     """``(id, ax, ay, az)`` by the sum over all other points."""
 
-    def kernel(_, a, b):
-        ids, p, q = a[0], np.stack(a[1:4], 1), np.stack(b[1:4], 1)
-        acc = np.zeros_like(p)
-        for at in range(0, len(q), 256):
-            d = q[None, at : at + 256, :] - p[:, None, :]
-            w = softened_array((d**2).sum(2), a[5][:, None] + b[5][None, at : at + 256]) * b[4][None, at : at + 256]
-            acc += (d * w[..., None]).sum(1)
-        return {"id": ids, "ax": acc[:, 0], "ay": acc[:, 1], "az": acc[:, 2]}
-
     pairs = block_pairs(points, FORCE, ["id"], size, False)
-    return reduce_pairs(pairs, FORCE, kernel, "id long, ax double, ay double, az double").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("ax", "ay", "az")))
+    return reduce_pairs(pairs, FORCE, _pull_of_block, PULLS).groupBy("id").agg(*(F.sum(c).alias(c) for c in ("ax", "ay", "az")))
 
 
 def _pull(weight: Column, a: str, b: Callable[[str], str]) -> list[Column]:
     return [((F.col(b(c)) - F.col(f"{a}.{c}")) * weight).alias(f"a{c}") for c in AXES]
 
 
-def tree_forces(points: DataFrame, theta: float = 0.7, leaf_size: int = 16, max_depth: int = 8, open_at_most: int = 6) -> DataFrame:
+def _leaf_blocks(placed: DataFrame, size: int) -> DataFrame:
+    """``(depth, node, rows)``: a leaf's points in arrays of bounded size. Leaves are small unless points coincide; a hash
+    of the id deals a leaf of more than ``size`` points to several blocks."""
+    counts = placed.groupBy("depth", "node").agg(F.ceil(F.count("*") / size).alias("_blocks"))
+    dealt = placed.join(counts, ["depth", "node"]).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    return dealt.groupBy("depth", "node", "_block").agg(F.collect_list(F.struct(*FORCE)).alias("rows"))
+
+
+def tree_forces(points: DataFrame, theta: float = 0.7, leaf_size: int = 16, max_depth: int | None = None, open_at_most: int = 6, block: int = 512) -> DataFrame:
     """``(id, ax, ay, az)`` by the tree: a frontier of (target leaf, node) moves down one level a round.
 
     A node is opened if theta is 0, if it holds few points, or if the sphere of ``radius * sqrt(4/3) / theta``
     around its centre of mass meets the target leaf's box; else its monopole acts on all of the leaf's points.
-    Opened leaves are summed directly. Each round is one equi-join on the node key.
+    Points of opened leaves pull one by one: pairs of leaves meet as arrays of bounded size, and a kernel reduces each
+    to one row a target, so that pairs of points are never rows. Each round is one equi-join on the node key. The tree is
+    as deep as its points need.
     """
     u = Universe.of(points)
     keyed = cut(with_key(points, u))
     cells = cut(leaves(keyed, leaf_size, max_depth))
-    nodes = cut(with_centres(rollup(keyed, max_depth, moment_payload())).join(cells.select("depth", "node", F.lit(True).alias("leaf")), ["depth", "node"], "left").withColumn("leaf", F.coalesce("leaf", F.lit(False))))
-    from astrolith.operators.partition import assign_cells
-
-    placed = cut(assign_cells(keyed, cells, max_depth).select(F.col("depth").alias("td"), F.col("node").alias("tn"), *FORCE))
-    targets = placed.groupBy("td", "tn").agg(*(p.alias(k) for k, (p, _) in box_payload().items() if k != "n"))
-    front = targets.select("*", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("node"))
-    far, near = None, None
+    deepest = cells.agg(F.max("depth")).first()[0] or 0
+    placed = cut(assign_cells(keyed, cells, deepest).select("depth", "node", *FORCE))
+    nodes = cut(with_centres(nodes_above(placed, deepest, moment_payload())))
     box = [f"{c}_{e}" for c in AXES for e in ("lo", "hi")]
-    for _ in range(max_depth + 1):
-        here = front.join(nodes.select("depth", "node", "n", "leaf", "mass", "radius", *(f"c{c}" for c in AXES)), ["depth", "node"])
+    sources = nodes.select("depth", "node", "n", "leaf", "mass", "radius", *(f"c{c}" for c in AXES))
+    front = nodes.where("leaf").select(F.col("depth").alias("td"), F.col("node").alias("tn"), *box, F.lit(0).alias("depth"), F.lit(0).cast("long").alias("node"))
+    far, near = None, None
+    for _ in range(deepest + 1):
+        here = front.join(sources, ["depth", "node"])
         reach = sphere_meets_box("", *(F.col(f"c{c}") for c in AXES), F.col("radius") * F.col("radius") * (4.0 / 3.0) / (theta * theta)) if theta > 0 else F.lit(True)
         judged = cut(here.withColumn("open", (F.col("n") <= open_at_most) | reach))
         accepted = judged.where("not open").select("td", "tn", "mass", *(f"c{c}" for c in AXES))
-        direct_ = judged.where("open and leaf").select("td", "tn", F.col("depth").alias("sd"), F.col("node").alias("sn"))
+        opened = judged.where("open and leaf").select("td", "tn", F.col("depth").alias("sd"), F.col("node").alias("sn"))
         far = accepted if far is None else far.unionByName(accepted)
-        near = direct_ if near is None else near.unionByName(direct_)
+        near = opened if near is None else near.unionByName(opened)
         below = F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.shiftleft(F.col("node"), 3) + i))
         front = judged.where("open and not leaf").select("td", "tn", *box, (F.col("depth") + 1).alias("depth"), below.alias("node"))
-    t = placed.alias("t")
-    f = far.alias("f")
+    t = placed.select(F.col("depth").alias("td"), F.col("node").alias("tn"), *FORCE).alias("t")
     r2 = sum(((F.col(f"f.c{c}") - F.col(f"t.{c}")) * (F.col(f"f.c{c}") - F.col(f"t.{c}")) for c in AXES), F.lit(0.0))
-    mono = t.join(f, ["td", "tn"]).withColumn("w", F.when(r2 > 0, F.col("f.mass") / (r2 * F.sqrt(r2))).otherwise(0.0)).select("t.id", *_pull(F.col("w"), "t", lambda c: f"f.c{c}"))
-    sources = placed.select(F.col("td").alias("sd"), F.col("tn").alias("sn"), *(F.col(c).alias(f"s_{c}") for c in FORCE))
-    both = placed.alias("t").join(near, ["td", "tn"]).join(sources, ["sd", "sn"]).where("t.id <> s_id")
-    d2 = sum(((F.col(f"s_{c}") - F.col(f"t.{c}")) * (F.col(f"s_{c}") - F.col(f"t.{c}")) for c in AXES), F.lit(0.0))
-    pair = both.withColumn("w", F.when(d2 > 0, F.col("s_mass") * softened(d2, F.col("t.soft") + F.col("s_soft"))).otherwise(0.0)).select("t.id", *_pull(F.col("w"), "t", lambda c: f"s_{c}"))
+    mono = t.join(far.alias("f"), ["td", "tn"]).withColumn("w", F.when(r2 > 0, F.col("f.mass") / (r2 * F.sqrt(r2))).otherwise(0.0)).select("t.id", *_pull(F.col("w"), "t", lambda c: f"f.c{c}"))
+    blocks = cut(_leaf_blocks(placed, block))
+    a = blocks.select(F.col("depth").alias("td"), F.col("node").alias("tn"), F.col("rows").alias("a"))
+    b = blocks.select(F.col("depth").alias("sd"), F.col("node").alias("sn"), F.col("rows").alias("b"))
+    pair = near.join(a, ["td", "tn"]).join(b, ["sd", "sn"]).select("a", "b").mapInArrow(_pull_of_leaves, PULLS)
     return mono.unionByName(pair).groupBy("id").agg(*(F.sum(c).alias(c) for c in ("ax", "ay", "az")))
 
 

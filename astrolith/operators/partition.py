@@ -142,6 +142,21 @@ def longest_side_cells(points: DataFrame, levels: int) -> DataFrame:
     return out
 
 
+def longest_side_tree_cells(points: DataFrame, levels: int) -> DataFrame:
+    """Adds ``cell``: each cell is halved by count across its widest side (the first of equal ones), the left side taking
+    ceil(n / 2) of its points, ties by id."""
+    out = points.withColumn("cell", F.lit(0))
+    for _ in range(levels):
+        spans = out.groupBy("cell").agg(*((F.max(c) - F.min(c)).alias(f"_s{c}") for c in AXES))
+        wide = F.greatest(*(f"_s{c}" for c in AXES))
+        axis = F.when(F.col("_sx") == wide, 0).when(F.col("_sy") == wide, 1).otherwise(2)
+        sided = out.join(F.broadcast(spans.select("cell", axis.alias("_axis"))), "cell")  # 2^levels rows
+        place = F.when(F.col("_axis") == 0, F.col("x")).when(F.col("_axis") == 1, F.col("y")).otherwise(F.col("z"))
+        out = _ranked_in_cells(sided.withColumn("_place", place), "_place", "id")
+        out = out.withColumn("cell", F.col("cell") * 2 + (F.col("_at") > F.ceil(F.col("_n") / 2)).cast("int")).drop("_at", "_n", "_axis", "_place")
+    return out
+
+
 def _running(order: str) -> Window:
     return Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,28 @@ def fit(df: DataFrame, x: str, y: str, logs: bool = False) -> DataFrame:
     return df.agg(F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.regr_r2(b, a).alias("r2"), F.regr_count(b, a).alias("n"))
 
 
+def fit_many(df: DataFrame, xs: list[str], y: str) -> DataFrame:
+    """One row: ``coefficients`` (the constant first), ``r2`` and ``n`` of least squares on several columns.
+
+    One aggregate gives the sums of the normal equations, so the driver solves a system of ``len(xs) + 1`` unknowns;
+    rows with a null are left out. Coefficients are null where the columns depend on each other.
+    """
+    terms = [F.lit(1.0), *(F.col(x).cast("double") for x in xs)]
+    to = F.col(y).cast("double")
+    k = len(terms)
+    sums = [F.sum(terms[i] * terms[j]).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(t * to).alias(f"y{i}") for i, t in enumerate(terms)]
+    r = df.dropna(subset=[*xs, y]).agg(*sums, F.sum(to * to).alias("yy"), F.count("*").alias("n")).first()
+    coefficients, r2 = None, None
+    if r["n"]:
+        xtx = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        xty = np.array([r[f"y{i}"] for i in range(k)])
+        if np.linalg.matrix_rank(xtx) == k:
+            solved = np.linalg.solve(xtx, xty)
+            spread = r["yy"] - xty[0] ** 2 / r["n"]
+            coefficients, r2 = [float(c) for c in solved], float(1 - (r["yy"] - solved @ xty) / spread) if spread > 0 else 0.0
+    return df.sparkSession.createDataFrame([(coefficients, r2, r["n"])], "coefficients array<double>, r2 double, n long")
+
+
 def top_share(df: DataFrame, weight: str, share: float) -> DataFrame:
     """One row: the part of the total weight that the heaviest ``share`` of rows has; ties at the border count."""
     from astrolith.operators.partition import global_rank

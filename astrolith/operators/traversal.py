@@ -30,10 +30,10 @@ def children(nodes: DataFrame) -> DataFrame:
     return nodes.withColumns({"up_depth": F.col("depth") - 1, "up_node": F.shiftright("node", 3)})
 
 
-def top_down(targets: DataFrame, nodes: DataFrame, spec: JoinSpec, max_depth: int, counts: list | None = None) -> tuple[DataFrame, DataFrame]:
+def top_down(targets: DataFrame, nodes: DataFrame, spec: JoinSpec, max_depth: int, counts: list | None = None, opened: list | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, leaves): rows of structs ``t`` and ``s``. Targets stay as they are, sources are opened from the root down.
 
-    ``counts``, if given, gets (round, opened, accepted, leaf pairs).
+    ``counts``, if given, gets (round, opened, accepted, leaf pairs); ``opened`` gets a table a round of the opened inner sources.
     """
     source = cut(nodes)
     ups = children(source)
@@ -49,6 +49,8 @@ def top_down(targets: DataFrame, nodes: DataFrame, spec: JoinSpec, max_depth: in
         if counts is not None:
             r = judged.agg(F.count_if("open"), F.count_if(~F.col("open")), F.count_if(F.col("open") & F.col("s.leaf"))).first()
             counts.append((k, *r))
+        if opened is not None:
+            opened.append(judged.where("open and not s.leaf").select("s.*"))
         accepted = take if accepted is None else accepted.unionByName(take)
         near = meet if near is None else near.unionByName(meet)
         down = judged.where("open and not s.leaf").select("t", F.col("s.depth").alias("up_depth"), F.col("s.node").alias("up_node"))
@@ -56,6 +58,22 @@ def top_down(targets: DataFrame, nodes: DataFrame, spec: JoinSpec, max_depth: in
     return accepted, near
 
 
+def visit_all(nodes: DataFrame, max_depth: int) -> DataFrame:
+    """One row: ``opened`` and ``met``, the sums of the sources' counts over the opened inner nodes and the leaves that each
+    target leaf meets when nothing is pruned, and ``visits``, the pairs of points that the met leaves hold.
+
+    It is as quadratic as what it measures, the cost of a walk without pruning.
+    """
+    everything = JoinSpec(F.lit(True))
+    counts: list[DataFrame] = []
+    _, near = top_down(nodes.where("leaf").select("depth", "node", "n", "leaf"), nodes.select("depth", "node", "n", "leaf"), everything, max_depth, opened=counts)
+    inner = counts[0]
+    for more in counts[1:]:
+        inner = inner.unionByName(more)
+    met = near.agg(F.coalesce(F.sum("s.n"), F.lit(0)).alias("met"), F.coalesce(F.sum(F.col("t.n") * F.col("s.n")), F.lit(0)).alias("visits"))
+    return inner.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("opened")).select("opened", F.lit(1).alias("_k")).join(met.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
 def dual(nodes: DataFrame, spec: JoinSpec, max_depth: int) -> tuple[DataFrame, DataFrame]:
     """(accepted, leaf pairs) of a tree with itself: both sides go down together; a leaf waits for the other side.
 

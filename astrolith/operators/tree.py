@@ -9,6 +9,7 @@ from astrolith.functions import keys
 from astrolith.functions.geometry import AXES
 from astrolith.operators.partition import leaves
 from astrolith.operators.universe import bounds
+from astrolith.session import cut
 
 #: Payloads: name -> (from points, from child nodes). Anything that merges can be added by the caller.
 Payload = dict[str, tuple[Column, Column]]
@@ -37,6 +38,20 @@ def rollup(keyed: DataFrame, depth: int, payload: Payload, bits: int = 3) -> Dat
     return out.select("depth", "node", *payload)
 
 
+def nodes_above(placed: DataFrame, deepest: int, payload: Payload, bits: int = 3) -> DataFrame:
+    """``(depth, node, payload..., leaf)`` of points' leaves (``placed`` has depth and node) and all cells above these.
+
+    Points are read once, for the leaves; each level folds the one below it and its own leaves."""
+    at_leaves = cut(placed.groupBy("depth", "node").agg(*(p.alias(k) for k, (p, _) in payload.items())))
+    level, out = None, at_leaves.withColumn("leaf", F.lit(True))
+    for d in range(deepest, 0, -1):
+        own = at_leaves.where(F.col("depth") == d).drop("depth")
+        level = own if level is None else own.unionByName(level)
+        level = level.groupBy(keys.parent(F.col("node"), bits).alias("node")).agg(*(m.alias(k) for k, (_, m) in payload.items()))
+        out = out.unionByName(level.select(F.lit(d - 1).alias("depth"), "node", *payload, F.lit(False).alias("leaf")))
+    return out
+
+
 def tree_leaves(keyed: DataFrame, leaf_size: int, max_depth: int | None = None, floor_depth: int = 0, bits: int = 3) -> DataFrame:
     """``(depth, node, n)``: cells of at most ``leaf_size`` points, never above ``floor_depth``; the deepest level takes what is left."""
     found = leaves(keyed, leaf_size, max_depth, bits)
@@ -48,16 +63,15 @@ def tree_leaves(keyed: DataFrame, leaf_size: int, max_depth: int | None = None,
 
 
 def with_centres(nodes: DataFrame) -> DataFrame:
-    """Adds the centre of mass (without mass: of the box), and the opening radius: from it to the farthest corner (1 for single points)."""
+    """Adds the centre of mass (without mass: of the box), and the opening radius: from it to the farthest corner, half of the
+    box's diagonal for rows that a ``leaf`` column marks, 1 for single points."""
     out = nodes.withColumns({f"c{c}": F.coalesce(F.try_divide(f"m{c}", "mass"), (F.col(f"{c}_lo") + F.col(f"{c}_hi")) / 2) for c in AXES})
     far = sum((F.pow(F.greatest(F.col(f"c{c}") - F.col(f"{c}_lo"), F.col(f"{c}_hi") - F.col(f"c{c}")), 2) for c in AXES), F.lit(0.0))
-    return out.withColumn("radius", F.when(F.col("n") <= 1, F.lit(1.0)).otherwise(F.sqrt(far)))
-
-
-def leaf_radius(a: DataFrame) -> DataFrame:
-    """A leaf's opening radius: half of its box's diagonal (1 for single points)."""
-    diag = sum((F.pow(F.col(f"{c}_hi") - F.col(f"{c}_lo"), 2) for c in AXES), F.lit(0.0))
-    return a.withColumn("radius", F.when(F.col("n") <= 1, F.lit(1.0)).otherwise(0.5 * F.sqrt(diag)))
+    radius = F.sqrt(far)
+    if "leaf" in nodes.columns:
+        diagonal = sum((F.pow(F.col(f"{c}_hi") - F.col(f"{c}_lo"), 2) for c in AXES), F.lit(0.0))
+        radius = F.when(F.col("leaf"), 0.5 * F.sqrt(diagonal)).otherwise(radius)
+    return out.withColumn("radius", F.when(F.col("n") <= 1, F.lit(1.0)).otherwise(radius))
 
 
 def subtree(nodes: DataFrame, depth: int, node: int, levels: int, bits: int = 3) -> DataFrame:
@@ -95,4 +109,4 @@ def map_groups(points: DataFrame, by: list[str], function, schema: str) -> DataF
     return points.groupBy(*by).applyInPandas(function, schema)
 
 
-__all__ = ["bounds", "box_payload", "dot", "flattened", "leaf_radius", "map_groups", "moment_payload", "newest", "range_payload", "rollup", "subtree", "tree_leaves", "with_centres"]
+__all__ = ["bounds", "box_payload", "dot", "flattened", "map_groups", "moment_payload", "newest", "nodes_above", "range_payload", "rollup", "subtree", "tree_leaves", "with_centres"]

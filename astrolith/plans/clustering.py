@@ -85,6 +85,23 @@ def _merges(spark, sf):
     return labels, cut(fof.merge_edges(p, labels, b))
 
 
+def fragment_histogram(spark, sf):
+    """Sizes of the fragments before any merge."""
+    return fof.size_histogram(fof_fragments(spark, sf))
+
+
+def fof_regions(spark, sf):
+    """Fragments of small pieces, merged inside regions first and then between them."""
+    p, b = _pieces(spark, sf)
+    small = cut(universe.with_key(embedding_points(spark, sf)).select("id", "x", "y", "z", keys.prefix(F.col("key"), 2).alias("piece"), keys.prefix(F.col("key"), 1).alias("region")))
+    return fof.merged_by_regions(small, cut(fof.fragments(small, b)), b)
+
+
+def labelings_differ(spark, sf):
+    """Points on which the two ways to the clusters differ: none."""
+    return fof.same_partition(fof_components(spark, sf), fof_two_phases(spark, sf)).agg(F.count("*").alias("differing"))
+
+
 def fof_merge_edges(spark, sf):
     return _merges(spark, sf)[1]
 
@@ -120,12 +137,6 @@ def knn(spark, sf):
     return spatial_join.nearest(p, 3, b).select("id", F.col("rank").cast("int").alias("rank"), "nbr", F.round("d2", 12).alias("d2"))
 
 
-def visit_all(spark, sf):
-    from astrolith.operators.tree import tree_leaves
-
-    return blocks.visit_all_count(None, tree_leaves(universe.with_key(embedding_points(spark, sf)), 16, 5))
-
-
 def _tree(spark, sf) -> tuple[DataFrame, float]:
     p, b = _emb(spark, sf)
     keyed = universe.with_key(p)
@@ -134,6 +145,10 @@ def _tree(spark, sf) -> tuple[DataFrame, float]:
     return cut(nodes), b
 
 
+def visit_all(spark, sf):
+    return traversal.visit_all(_tree(spark, sf)[0], 5)
+
+
 def _within(b: float):
     return F.when(geometry.box_min2("t", "s") <= F.lit(b * b), F.lit(True))
 
@@ -170,6 +185,7 @@ QUERIES = {
     for f in (
         fixed_radius_pairs, fixed_radius_pairs_pbc, edge_checksum, fof_components, fof_components_cells, fof_orders, fof_histogram, fof_surviving, fof_sweep, fof_fragments, fof_merge_edges, fof_two_phases, untouched_fragments, fof_cells, fof_pbc,
         label_checks, pair_distance_histogram, knn, visit_all, leaf_pairs_dual, leaf_pairs_top_down, incremental_components,
+        fragment_histogram, fof_regions, labelings_differ,
     )
 }
 
@@ -211,6 +227,12 @@ count(*) FILTER (WHERE o.label IS NULL OR o.label <> l.label) AS "foreign" FROM
     "pair_distance_histogram": f"""WITH {EMB}, d AS (SELECT sqrt({D2}) AS d FROM p a JOIN p c ON a.id <> c.id)
 SELECT floor((ln(d) - ln(0.01::DOUBLE)) / (ln(1.0::DOUBLE) - ln(0.01::DOUBLE)) * 5)::INT AS bin, count(*) AS n FROM d WHERE d >= 0.01 AND d < 1.0 GROUP BY 1""",
     "knn": f"WITH {EMB} SELECT id, rank::INT AS rank, nbr, round(d2, 12) AS d2 FROM (SELECT a.id, c.id AS nbr, {D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, c.id) AS rank FROM p a JOIN p c ON a.id <> c.id) WHERE rank <= 3",
-    "visit_all": "SELECT count(*) * count(*) AS visits FROM embeddings",
+    "visit_all": f"""WITH {_PIECES}, lv AS ({_LEAVES}), nodes AS (SELECT lv.n, lv.n <= 16 OR lv.depth = 5 AS leaf FROM lv LEFT JOIN lv up ON up.depth = lv.depth - 1 AND up.node = lv.node >> 3 WHERE lv.depth = 0 OR up.n > 16)
+SELECT sum(s.n) FILTER (WHERE NOT s.leaf)::BIGINT AS opened, sum(s.n) FILTER (WHERE s.leaf)::BIGINT AS met, sum(t.n * s.n) FILTER (WHERE s.leaf)::BIGINT AS visits FROM nodes t, nodes s WHERE t.leaf""",
+    "fragment_histogram": f"WITH RECURSIVE {_PIECES}, {_E_IN}, {REACH} {_HIST.format(1)}",
+    "fof_regions": f"{_LABELS} SELECT id, label FROM labels",
+    "labelings_differ": f"""{_MERGES}, c AS (SELECT f.label AS s, g.label AS t FROM x JOIN labels f ON f.id = x.s JOIN labels g ON g.id = x.t), w(s, l) AS (SELECT label, label FROM labels UNION SELECT c.t, w.l FROM w JOIN c ON c.s = w.s WHERE w.l < c.t),
+two AS (SELECT id, min(l) AS label FROM labels JOIN w ON w.s = labels.label GROUP BY 1), e1 AS (SELECT * FROM e UNION ALL SELECT * FROM x), r1(id, l) AS (SELECT id, id FROM p UNION SELECT e1.t, r1.l FROM r1 JOIN e1 ON e1.s = r1.id WHERE r1.l < e1.t),
+one AS (SELECT id, min(l) AS label FROM r1 GROUP BY 1) SELECT count(*) FILTER (WHERE one.label <> two.label) AS differing FROM one JOIN two USING (id)""",
     "incremental_components": f"{_LABELS} SELECT id, label FROM labels",
 }

@@ -177,11 +177,96 @@ def wrapped_positions(spark, sf):
     return universe.wrapped(p, u).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+def hilbert_key(spark, sf):
+    return universe.with_key(embedding_points(spark, sf), curve="hilbert").select("id", "key")
+
+
+def hilbert_partition(spark, sf):
+    keyed = universe.with_key(line_points(spark, sf), curve="hilbert")
+    return partition.by_key_ranges(keyed, PIECES).groupBy("piece").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def owner_codes(spark, sf):
+    code = keys.encode_owner(F.pmod("id", F.lit(7)), F.col("id"))
+    return embedding_points(spark, sf).select("id", code.alias("code"), keys.owner_of(code).alias("owner"), keys.label_of(code).alias("label"))
+
+
+def longest_side_tree(spark, sf):
+    return partition.longest_side_tree_cells(embedding_points(spark, sf), 3).select("id", "cell")
+
+
+def line_tree_leaves(spark, sf):
+    """Leaves over all order lines, many of which coincide."""
+    return tree.tree_leaves(universe.with_key(line_points(spark, sf)), 64)
+
+
+def tree_floor(spark, sf):
+    return tree.tree_leaves(_keyed(spark, sf), LEAF, floor_depth=2)
+
+
+def subtree_nodes(spark, sf):
+    """The first octant's cells, two levels down."""
+    return tree.subtree(tree.rollup(_keyed(spark, sf), 3, tree.box_payload()), 1, 0, 2).select("depth", "node", "n")
+
+
+def overlap_costs(spark, sf):
+    """Expected friends of each cell with itself."""
+    d = _sized(spark, sf).select("node", F.struct("n", "volume", *(f"{c}_{e}" for c in g.AXES for e in ("lo", "hi"))).alias("a"))
+    return d.select("node", F.round(stats.overlap_cost("a", "a", 0.1), 9).alias("cost"))
+
+
+def pair_concentration(spark, sf):
+    """How often a part comes from the same supplier, as a log2 histogram."""
+    return stats.concentration(table(spark, sf, "lineitem").select("l_partkey", "l_suppkey"), "l_partkey", "l_suppkey")
+
+
+def cost_fit_many(spark, sf):
+    """The price of an order line by its quantity and its discount."""
+    p = table(spark, sf, "lineitem").select(*(F.col(f"l_{c}").cast("double").alias(c) for c in ("extendedprice", "quantity", "discount")))
+    f = stats.fit_many(p, ["quantity", "discount"], "extendedprice")
+    return f.select(*(F.round(F.col("coefficients")[k], 4).alias(c) for k, c in enumerate(("constant", "quantity", "discount"))), F.round("r2", 6).alias("r2"), "n")
+
+
+def key_order_falls(spark, sf):
+    """Places where the curve key falls along the points' ids."""
+    return partition.is_sorted(_keyed(spark, sf), "key", "id")
+
+
+def piece_homes(spark, sf):
+    """For each piece of the curve the rounded mean of its points' cells."""
+    k = _keyed(spark, sf)
+    pieces = partition.by_key_ranges(k, PIECES).select("id", "piece").join(partition.kd_tree_cells(k, 3).select("id", F.col("cell").alias("part")), "id")
+    return stats.weighted_home(pieces)
+
+
+def reader_slice(spark, sf):
+    """The rows of the third of seven readers."""
+    p = embedding_points(spark, sf)
+    return partition.row_slice(p, *partition.range_of_reader(p.count(), 2, 7)).select("id")
+
+
+def newest_orders(spark, sf):
+    """The latest order of each customer, the larger number on a tie."""
+    o = table(spark, sf, "orders").select("o_custkey", F.struct(F.col("o_orderdate").cast("date"), "o_orderkey").alias("at"))
+    return tree.newest(o, ["o_custkey"], "at").select("o_custkey", F.col("at.o_orderkey").alias("o_orderkey"))
+
+
+def leaf_extents(spark, sf):
+    """A user's function on each piece: the widest side of its points' box."""
+    keyed = _keyed(spark, sf).select(keys.prefix(F.col("key"), 1).alias("node"), "x", "y", "z")
+
+    def widest(pdf):
+        return pdf.groupby("node")[["x", "y", "z"]].agg(lambda c: c.max() - c.min()).max(axis=1).reset_index(name="side")
+
+    return tree.map_groups(keyed, ["node"], widest, "node long, side double").select("node", F.round("side", ROUND).alias("side"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         universe_box, points_families, gas_points, softening_override, reader_ranges, morton_key, node_parent_child, sfc_partition, oct_partition, binary_oct_partition, octant_of_point, kd_partition, kd_tree, longest_dim_partition,
         piece_placement, tree_leaves, node_annotation, node_moments, box_pair_distances, leaf_densities, balance_stats, pearson_density, cost_fit, cost_proxies, heaviest_share, coincident_points, relabel_join, key_semi_join, delete_by_order, wrapped_positions,
+        hilbert_key, hilbert_partition, owner_codes, longest_side_tree, line_tree_leaves, tree_floor, subtree_nodes, overlap_costs, pair_concentration, cost_fit_many, key_order_falls, piece_homes, reader_slice, newest_orders, leaf_extents,
     )
 }
 
@@ -213,6 +298,34 @@ def _kd_sql(route: bool) -> str:
     return f"WITH {EMB}, c0 AS (SELECT id, x, y, z, 0 AS cell FROM p), {', '.join(out)} SELECT id, cell FROM {prev}"
 
 
+def _longest_tree_sql() -> str:
+    out, prev = [], "c0"
+    for level in range(3):
+        w = "OVER (PARTITION BY cell)"
+        out.append(f"w{level} AS (SELECT *, max(x) {w} - min(x) {w} AS sx, max(y) {w} - min(y) {w} AS sy, max(z) {w} - min(z) {w} AS sz FROM {prev})")
+        place = "CASE WHEN sx >= sy AND sx >= sz THEN x WHEN sy >= sz THEN y ELSE z END"
+        out.append(f"c{level + 1} AS (SELECT id, x, y, z, cell * 2 + CASE WHEN row_number() OVER (PARTITION BY cell ORDER BY {place}, id) > ceil(count(*) {w} / 2.0) THEN 1 ELSE 0 END AS cell FROM w{level})")
+        prev = f"c{level + 1}"
+    return f"WITH {EMB}, c0 AS (SELECT id, x, y, z, 0 AS cell FROM p), {', '.join(out)} SELECT id, cell FROM {prev}"
+
+
+def _hilbert(source: str) -> str:
+    """Keys ``hk(id, key)``: the distinct cells, by a recursion over their bits, one axis after the other."""
+    q, low = "(1::BIGINT << k)", "((1::BIGINT << k) - 1)"
+    at = "ox, oy, oz"
+    first = f"SELECT {at}, k, CASE WHEN vx & {q} <> 0 THEN xor(vx, {low}) ELSE vx END AS vx, vy, vz FROM h WHERE k > 0"
+    second = f"SELECT {at}, k, CASE WHEN vy & {q} <> 0 THEN xor(vx, {low}) ELSE xor(vx, xor(vx, vy) & {low}) END AS vx, CASE WHEN vy & {q} <> 0 THEN vy ELSE xor(vy, xor(vx, vy) & {low}) END AS vy, vz FROM ({first})"
+    third = f"SELECT {at}, k - 1, CASE WHEN vz & {q} <> 0 THEN xor(vx, {low}) ELSE xor(vx, xor(vx, vz) & {low}) END, vy, CASE WHEN vz & {q} <> 0 THEN vz ELSE xor(vz, xor(vx, vz) & {low}) END FROM ({second})"
+    return f"""{source}, {CUBE}, {KEYED}, h({at}, k, vx, vy, vz) AS (SELECT DISTINCT cx, cy, cz, 20, cx::BIGINT, cy::BIGINT, cz::BIGINT FROM cell UNION ALL {third}),
+gray AS (SELECT {at}, vx AS ga, xor(vx, vy) AS gb, xor(xor(vx, vy), vz) AS gc FROM h WHERE k = 0),
+bits AS (SELECT {at}, b, (ga >> b) & 1 AS a0, (gb >> b) & 1 AS b0, (gc >> b) & 1 AS c0, bit_count(gc >> (b + 1)) % 2 AS flip FROM gray, range(21) AS r(b)),
+hc AS (SELECT {at}, sum((xor(a0, flip) * 4 + xor(b0, flip) * 2 + xor(c0, flip)) << (3 * b))::BIGINT AS key FROM bits GROUP BY ALL),
+hk AS (SELECT id, hc.key FROM cell JOIN hc ON cx = ox AND cy = oy AND cz = oz)"""
+
+
+LINES = """p AS (SELECT (l_orderkey * 8 + l_linenumber)::BIGINT AS id, l_quantity::DOUBLE / 50.0::DOUBLE AS x, l_discount::DOUBLE * 10.0::DOUBLE AS y, l_tax::DOUBLE * 10.0::DOUBLE AS z FROM lineitem)"""
+
+
 def _longest_sql() -> str:
     out, prev = [], "c0"
     for level in range(3):
@@ -227,6 +340,26 @@ def _longest_sql() -> str:
 _NODES = " UNION ALL ".join(f"SELECT {d} AS depth, key >> {63 - 3 * d} AS node, count(*) AS n, {_BOX}, sum(mass) AS mass, sum(mass * x) / sum(mass) AS cx, sum(mass * y) / sum(mass) AS cy, sum(mass * z) / sum(mass) AS cz, min(3.0::DOUBLE * id) AS least, max(3.0::DOUBLE * id) AS most FROM k GROUP BY 2" for d in range(4))
 
 SQL = {
+    "hilbert_key": f"WITH RECURSIVE {_hilbert(EMB)} SELECT id, key FROM hk",
+    "hilbert_partition": f"WITH RECURSIVE {_hilbert(LINES)} SELECT (piece - 1)::INT AS piece, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT id, ntile({PIECES}) OVER (ORDER BY key, id) AS piece FROM hk) GROUP BY 1",
+    "owner_codes": f"WITH {EMB} SELECT id, ((id % 7) << 43) | id AS code, id % 7 AS owner, id AS label FROM p",
+    "longest_side_tree": _longest_tree_sql(),
+    "line_tree_leaves": _leaves_sql("64", DEPTH, 3, LINES),
+    "tree_floor": f"""WITH {EMB}, {CUBE}, {KEYED}, lv AS ({" UNION ALL ".join(f"SELECT {d} AS depth, key >> {63 - 3 * d} AS node, count(*) AS n FROM k GROUP BY 2" for d in range(2, DEPTH + 1))})
+SELECT lv.depth, lv.node, lv.n FROM lv LEFT JOIN lv up ON up.depth = lv.depth - 1 AND up.node = lv.node >> 3 WHERE (lv.n <= {LEAF} OR lv.depth = {DEPTH}) AND (lv.depth = 2 OR up.n > {LEAF})""",
+    "subtree_nodes": f"WITH {EMB}, {CUBE}, {KEYED} {' UNION ALL '.join(f'SELECT {d} AS depth, key >> {63 - 3 * d} AS node, count(*) AS n FROM k WHERE key >> 60 = 0 GROUP BY 2' for d in (1, 2, 3))}",
+    "overlap_costs": f"{_SIZED} SELECT node, round(n / volume * n / volume * volume * (4.0::DOUBLE / 3 * pi()) * 0.001::DOUBLE, 9) AS cost FROM d WHERE volume > 0",
+    "pair_concentration": "SELECT floor(log2(times))::INT AS bin, count(*) AS n, max(times) AS most FROM (SELECT count(*) AS times FROM lineitem GROUP BY l_partkey, l_suppkey) GROUP BY 1",
+    "cost_fit_many": """WITH t AS (SELECT l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b FROM lineitem),
+m AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy, var_pop(y) AS yy, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, count(*) AS n FROM t),
+c AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS ca, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM m)
+SELECT round(my - ca * ma - cb * mb, 4) AS "constant", round(ca, 4) AS quantity, round(cb, 4) AS discount, round((ca * ay + cb * byy) / yy, 6) AS r2, n FROM c""",
+    "key_order_falls": f"WITH {EMB}, {CUBE}, {KEYED} SELECT count(*) FILTER (WHERE nxt < key) AS falls FROM (SELECT key, lead(key) OVER (ORDER BY id) AS nxt FROM k)",
+    "piece_homes": f"""WITH {EMB}, {CUBE}, {KEYED}, q AS (SELECT id, (ntile({PIECES}) OVER (ORDER BY key, id) - 1)::INT AS piece FROM k), t AS ({_kd_sql(False)})
+SELECT piece, floor(avg(cell) + 0.5)::INT AS home FROM q JOIN t USING (id) GROUP BY 1""",
+    "reader_slice": f"WITH {EMB} SELECT id FROM (SELECT id, ntile(7) OVER (ORDER BY id) AS r FROM p) WHERE r = 3",
+    "newest_orders": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE DESC, o_orderkey DESC) = 1",
+    "leaf_extents": f"WITH {EMB}, {CUBE}, {KEYED} SELECT key >> 60 AS node, round(greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)), {ROUND}) AS side FROM k GROUP BY 1",
     "universe_box": f"""WITH {EMB}, {CUBE} SELECT x_lo, x_hi, y_lo, y_hi, z_lo, z_hi, n, n_gas, n_dark, n_star, round(side, 9) AS side, round(mass, 9) AS mass, round(ke, 9) AS ke, round(max_speed, 9) AS max_speed
 FROM u, (SELECT count(*) FILTER (WHERE family = 'gas') AS n_gas, count(*) FILTER (WHERE family = 'dark') AS n_dark, count(*) FILTER (WHERE family = 'star') AS n_star, sum(mass) AS mass, sum(0.5::DOUBLE * mass * (vx * vx + vy * vy + vz * vz)) AS ke, sqrt(max(vx * vx + vy * vy + vz * vz)) AS max_speed FROM p)""",
     "points_families": f"WITH {EMB} SELECT family, count(*) AS n, round(sum(mass), 9) AS mass FROM p GROUP BY 1",

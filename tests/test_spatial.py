@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from astrolith import config
 from astrolith.functions import geometry as g
 from astrolith.functions import keys
-from astrolith.operators import components, fof, gravity, partition, spatial_join, tree, universe
+from astrolith.operators import components, fof, gravity, partition, spatial_join, stats, tree, universe
 from astrolith.schema import POINTS
 from astrolith.sources import generators, snapshots
 
@@ -54,7 +54,7 @@ def test_morton_and_hilbert_keys(spark):
     for r in f.select("*", keys.morton(F.col("x"), F.col("y"), F.col("z")).alias("k")).collect():
         assert r.k == sum((v >> b & 1) << (3 * b + s) for b in range(21) for v, s in ((r.x, 2), (r.y, 1), (r.z, 0)))
     cube = spark.range(512).select(*((F.floor(F.col("id") / d) % 8).cast("long").alias(c) for c, d in (("x", 64), ("y", 8), ("z", 1))))
-    walk = cube.withColumn("k", keys.hilbert("x", "y", "z")).orderBy("k").collect()
+    walk = cube.withColumn("k", keys.hilbert(F.col("x"), F.col("y"), F.col("z"))).orderBy("k").collect()
     steps = {abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) for a, b in zip(walk, walk[1:])}
     assert steps == {1} and len({r.k for r in walk}) == 512
 
@@ -237,3 +237,37 @@ def test_stream_equals_batch(spark, tmp_path):
     stream_components(stream, store, str(tmp_path / "cp")).awaitTermination()
     want = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert {r.id: r.label for r in store.read().collect()} == want
+
+
+def test_pair_owners_agree_from_both_sides(spark):
+    f = spark.range(400).select((F.col("id") % 20).alias("a"), F.floor(F.col("id") / 20).cast("long").alias("b"))
+    p, q = F.lit(3), F.lit(8)
+    f = f.withColumns({"one": keys.pair_owner(F.col("a"), F.col("b"), p, q), "two": keys.pair_owner(F.col("b"), F.col("a"), q, p)})
+    got = f.agg(F.count_if(F.col("one") != F.col("two")), F.count_if(F.col("one") == 3), F.count_if(F.col("one").isin(3, 8))).first()
+    assert got[0] == 0 and 120 < got[1] < 280 and got[2] == 400
+
+
+def test_small_helpers(spark, tmp_path):
+    cuts = spark.createDataFrame([(4,), (10,), (31,)], "at long")
+    others = spark.createDataFrame([(2,), (6,), (11,), (20,)], "at long")
+    assert {r["at"]: r["to"] for r in partition.align(cuts, others).collect()} == {4: 2, 10: 11, 31: 20}
+    sizes = spark.createDataFrame([(10,), (10,), (40,)], "n long")
+    assert partition.needs_rebuild(sizes, 1.5) and not partition.needs_rebuild(sizes, 2.5) and not partition.needs_rebuild(sizes.limit(0), 1.0)
+    assert {r.metric: r.value for r in stats.metrics({"a": 1, "b": 2.5}, sizes).collect()} == {"a": 1.0, "b": 2.5}
+    f = box_frame(spark, (0, 0.1, 0, 0.1, 0, 0.1), (0.2, 0.3, 0, 0.1, 0, 0.1))
+    assert f.select(g.may_certify("a", "b", 0.04), g.may_certify("a", "b", 0.02)).first()[:] == (True, False)
+    effects = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (1, -1.0, 0.5, 0.0), (2, 0.0, 0.0, 1.0)], "id long, ax double, ay double, az double")
+    assert {r.id: r[1:] for r in gravity.opposing(effects).collect()} == {1: (0.0, 2.5, 3.0), 2: (0.0, 0.0, 1.0)}
+    dependent = spark.createDataFrame([(1.0, 2.0, 1.0), (2.0, 4.0, 3.0), (3.0, 6.0, 4.0), (None, 1.0, 1.0)], "a double, b double, y double")
+    r = stats.fit_many(dependent, ["a", "b"], "y").first()
+    assert r.coefficients is None and r.n == 3
+
+
+def test_clumps_pull_in_blocks(spark):
+    # More coincident points than a block holds, beside a few others; the tree is deeper than any fixed cap.
+    rng = np.random.default_rng(8)
+    xyz = np.r_[rng.random((40, 3)), np.tile([[0.25, 0.5, 0.75]], (90, 1)), 0.6 + 1e-5 * rng.random((60, 3))]
+    p = points(spark, xyz, soft=0.01)
+    exact = gravity.direct(p, size=64)
+    assert gravity.compare(gravity.tree_forces(p, 0.0, block=32), exact).first().worst < 1e-9
+    assert gravity.tree_forces(p.limit(0)).count() == 0
