@@ -10,6 +10,11 @@ buckets by a hash of their key, buckets of a shard are counted and their counts
 ``shards * buckets`` rows), and rows are numbered inside their bucket only. The bucket count follows
 the row count, so that a bucket's size doesn't grow with the input.
 
+Keys: whole numbers are taken as they are; keys of other types (strings, say) by the XXH64 of their text, so they are as
+stable. A repeated key's rows go to one shard, but their buckets depend on the text too, so that no task holds all of them.
+Ties: rows equal in key, size and CRC-32 get slots in any order. Texts of any length count whole; only their sizes and
+checksums move.
+
 Nulls: a null key hashes as 0; a null text has no bytes. Repeated rows get slots of their own.
 Empty tables give empty results. Other columns are not read.
 """
@@ -21,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from astrolith.session import cut
+
 #: Multiplier of the jump hash's generator: a fixed value of the published algorithm.
 JUMP = 2862933555777941757
 ROWS_PER_BUCKET = 200_000
@@ -46,7 +53,7 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 def _shards_of(shards: int, grown: int):
     @F.pandas_udf("struct<shard:int,grown:int>")
     def both(keys: pd.Series) -> pd.DataFrame:
-        k = keys.fillna(0).to_numpy(np.int64).view(np.uint64)
+        k = keys.to_numpy(np.int64).view(np.uint64)
         return pd.DataFrame({"shard": jump_hash(k, shards).astype(np.int32), "grown": jump_hash(k, grown).astype(np.int32)})
 
     return both
@@ -55,15 +62,22 @@ def _shards_of(shards: int, grown: int):
 def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` for each row; the law is ``key``."""
     text = F.col(text_col)
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    key = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("string")))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
     )
-    placed = rows.withColumn("to", _shards_of(shards, shards + 1)(F.col("doc_id").cast("long")))
+    # A null would turn its batch's keys into floating point, which rounds large ones.
+    placed = rows.withColumn("to", _shards_of(shards, shards + 1)(F.coalesce(key, F.lit(0).cast("long"))))
     buckets = max(1, -(-docs.select(F.lit(1)).count() // (shards * rows_per_bucket)))
-    placed = placed.select("doc_id", "size", "text_crc32", F.col("to.shard").alias("shard"), F.col("to.grown").alias("grown_shard")).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    ids = docs.select(F.col(id_col).alias("doc_id")).withColumn("to", _shards_of(shards, shards)(F.col("doc_id").cast("long"))).select(F.col("to.shard").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
+    # A bucket is a function of what rows are numbered by, so slots don't depend on how the table is dealt.
+    bucket = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int").alias("bucket")
+    placed = placed.select("doc_id", "size", "text_crc32", F.col("to.shard").alias("shard"), F.col("to.grown").alias("grown_shard"), bucket)
+    # Written once, in a few bytes a row: texts are read once, and counts and slots come from the same rows.
+    placed = cut(placed)
+    ids = placed.select("shard", "bucket")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = ids.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")

@@ -35,3 +35,19 @@ def test_shards_slots_and_growth(spark):
     sizes = Counter(r.shard for r in got)
     assert len(sizes) == 24 and max(sizes.values()) < 1.5 * min(sizes.values())
     assert sharding.assign_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_string_keys_repeated_keys_and_long_texts(spark):
+    words = [(f"doc-{k}", "t" * k, 1) for k in range(800)] + [(None, None, 1)]
+    docs = spark.createDataFrame(words, "doc_id string, text string, slot int")
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.assign_shards(docs, 24).collect()}
+    again = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.assign_shards(docs.repartition(3), 24, rows_per_bucket=5).collect()}
+    assert got == again and len(got) == 801 and all(b in (a, 24) for a, b in got.values())
+    assert len({a for a, _ in got.values()}) == 24
+    assert {r.doc_id: r.shard for r in sharding.assign_shards(docs, 25).collect()} == {k: b for k, (_, b) in got.items()}
+    # One key holds most rows; one text is very long.
+    hot = spark.createDataFrame([(7, f"x{k}") for k in range(500)] + [(k, "y") for k in range(100)] + [(3, "long " * 400_000)], "doc_id int, text string")
+    rows = sharding.assign_shards(hot, 4, rows_per_bucket=10).collect()
+    assert len(rows) == 601 and max(r.size for r in rows) == 2_000_008
+    for s in range(4):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
