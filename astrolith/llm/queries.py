@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from astrolith.llm import chat, decontaminate, pieces, quality, repeats, secrets, sharding, simhash, spelling, toxicity, webp
+from astrolith.llm import chat, decontaminate, pieces, prefixes, quality, repeats, secrets, sharding, simhash, spelling, toxicity, webp
 from astrolith.session import table
 
 
@@ -57,9 +57,13 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents"), drop_every=199))
 
 
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(*prefixes.with_shared_heads(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_webp, op3_quality, op4_repeats, op5_pieces, op6_chat, op7_shards, op8_toxicity, op9_simhash, op10_secrets, op11_spelling)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_webp, op3_quality, op4_repeats, op5_pieces, op6_chat, op7_shards, op8_toxicity, op9_simhash, op10_secrets, op11_spelling, op12_prefixes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op4_repeats": repeats.ORACLE, "op6_chat": chat.ORACLE, "op7_shards": sharding.ORACLE, "op11_spelling": spelling.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op4_repeats": repeats.ORACLE, "op6_chat": chat.ORACLE, "op7_shards": sharding.ORACLE, "op11_spelling": spelling.ORACLE, "op12_prefixes": prefixes.ORACLE}
