@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from astrolith.llm import chat, decontaminate, pieces, prefixes, quality, repeats, secrets, sharding, simhash, spelling, toxicity, webp
+from astrolith.llm import chat, decontaminate, pieces, pii, prefixes, quality, repeats, secrets, sharding, simhash, spelling, toxicity, webp
 from astrolith.session import table
 
 
@@ -61,8 +61,12 @@ def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.trie(*prefixes.with_shared_heads(table(spark, sf_dir, "conversations")))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_webp, op3_quality, op4_repeats, op5_pieces, op6_chat, op7_shards, op8_toxicity, op9_simhash, op10_secrets, op11_spelling, op12_prefixes)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_webp, op3_quality, op4_repeats, op5_pieces, op6_chat, op7_shards, op8_toxicity, op9_simhash, op10_secrets, op11_spelling, op12_prefixes, op13_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
