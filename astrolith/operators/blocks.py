@@ -1,12 +1,13 @@
 """All pairs of points by pairs of blocks: sums and counts that are O(n^2) by definition.
 
 Points are packed into compact blocks of bounded size along the curve. Pairs of blocks meet by an
-equi-join on the block number and a kernel reduces each pair to one value per target or bin, so that pairs of
-points are never rows.
+equi-join on the tiles of a square grid and a kernel reduces each pair to one value per target or bin, so that pairs of
+points are never rows. The histogram needs pairs of points only where two tree nodes' distances span several bins.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,18 +15,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from astrolith.functions.geometry import AXES, box_max2, box_min2, square
 from astrolith.operators.partition import global_rank
 from astrolith.session import cut
 
 
-def block_pairs(points: DataFrame, columns: list[str], order: list[str], size: int, symmetric: bool) -> DataFrame:
-    """``(ta, tb, a, b)``: numbers of two blocks and their points as arrays of structs."""
+def block_pairs(points: DataFrame, columns: list[str], order: list[str], size: int, symmetric: bool, side: int | None = None) -> DataFrame:
+    """``(ta, tb, a, b)``: numbers of two blocks and their points as arrays of structs.
+
+    Blocks are dealt to the rows and to the columns of a square grid of ``side`` x ``side`` tiles (by default about one tile
+    for each shuffle partition), and a pair meets in the tile of its row and column. So a block is sent ``2 * side`` times,
+    whatever the number of blocks, and pairs of blocks exist inside tasks only.
+    """
     ranked = global_rank(points.select(*dict.fromkeys([*columns, *order])), *order)
     blocks = cut(ranked.groupBy(F.floor(F.col("rank") / size).alias("block")).agg(F.sort_array(F.collect_list(F.struct("rank", *columns))).alias("rows")))
-    n = blocks.count()
-    others = F.explode(F.sequence(F.col("block") if symmetric else F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("tb")
-    left = blocks.select(F.col("block").alias("ta"), F.col("rows").alias("a"), others) if n else blocks.select(F.col("block").alias("ta"), F.col("rows").alias("a"), F.col("block").alias("tb"))
-    return left.join(blocks.select(F.col("block").alias("tb"), F.col("rows").alias("b")), "tb").select("ta", "tb", "a", "b")
+    side = side or math.isqrt(max(0, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1)) + 1
+    across, mine = F.explode(F.sequence(F.lit(0), F.lit(side - 1))), F.pmod("block", F.lit(side)).cast("int")
+    left = blocks.select(F.col("block").alias("ta"), F.col("rows").alias("a"), mine.alias("row"), across.alias("column"))
+    right = blocks.select(F.col("block").alias("tb"), F.col("rows").alias("b"), across.alias("row"), mine.alias("column"))
+    once = F.col("ta") <= F.col("tb") if symmetric else F.lit(True)
+    met = left.alias("l").join(right.alias("r"), (F.col("l.row") == F.col("r.row")) & (F.col("l.column") == F.col("r.column")) & once)
+    return met.select("ta", "tb", "a", "b")
 
 
 def _columns(cell: pa.StructArray, names: list[str]) -> list[np.ndarray]:
@@ -46,35 +56,37 @@ def reduce_pairs(pairs: DataFrame, columns: list[str], kernel: Callable[..., dic
     return pairs.mapInArrow(run, schema)
 
 
-def pair_histogram(points: DataFrame, low: float, high: float, bins: int, size: int = 1024) -> DataFrame:
+def pair_histogram(points: DataFrame, low: float, high: float, bins: int, leaf_size: int = 64, counts: dict | None = None) -> DataFrame:
     """``(bin, n)``: ordered pairs by distance in ``bins`` bins of equal width in its logarithm, ``low <= d < high``.
 
-    If the bounds of two blocks' distances lie in one bin, the counts are multiplied and no distance is taken.
+    ``points`` have ``id``, positions and ``key``. Two trees of their cells go down together: a pair of nodes whose least and
+    largest distance lie in one bin adds the product of its counts, one whose distances all lie outside of the bins is dropped, and
+    only pairs of leaves that span several bins meet point by point. ``counts``, if given, gets the numbers of
+    accepted pairs, leaf pairs and tested pairs of points.
     """
-    span = np.log(high) - np.log(low)
-
-    def bin_of(d):
-        with np.errstate(divide="ignore"):
-            return np.floor((np.log(d) - np.log(low)) / span * bins)
-
-    def kernel(same, a, b):
-        p, q = np.stack(a[:3], 1), np.stack(b[:3], 1)
-        gap = np.maximum(0, np.maximum(p.min(0) - q.max(0), q.min(0) - p.max(0)))
-        far = np.maximum(p.max(0) - q.min(0), q.max(0) - p.min(0))
-        near_d, far_d = np.sqrt((gap**2).sum()), np.sqrt((far**2).sum())
-        counts = np.zeros(bins, np.int64)
-        if near_d >= high or far_d < low:
-            return {}
-        if near_d > 0 and bin_of(near_d) == bin_of(far_d) and not same and 0 <= bin_of(near_d) < bins:
-            counts[int(bin_of(near_d))] = 2 * len(p) * len(q)
-        else:
-            for at in range(0, len(p), 256):
-                d = p[at : at + 256, None, :] - q[None, :, :]
-                d = np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]).ravel()
-                k = bin_of(d[(d >= low) & (d < high)]).astype(np.int64)
-                counts += np.bincount(np.clip(k, 0, bins - 1), minlength=bins) * (1 if same else 2)
-        hit = np.flatnonzero(counts)
-        return {"bin": hit.astype(np.int32), "n": counts[hit]}
-
-    pairs = block_pairs(points, ["x", "y", "z"], ["key", "id"], size, True)
-    return reduce_pairs(pairs, ["x", "y", "z"], kernel, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    from astrolith.operators import partition, tree
+    from astrolith.operators.traversal import JoinSpec, dual
+
+    span = math.log(high) - math.log(low)
+    bin_of = lambda d: F.floor((F.log(d) - math.log(low)) / span * bins)
+    found = partition.leaves(points, leaf_size)
+    deepest = found.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return points.sparkSession.createDataFrame([], "bin int, n long")
+    placed = cut(partition.assign_cells(points.select("id", *AXES, "key"), found, deepest).select("id", *AXES, "depth", "node"))
+    nodes = tree.nodes_above(placed, deepest, tree.box_payload())
+    # A hair wider than computed, so that rounding can't take a pair of points out of its nodes' bin.
+    least, most = F.sqrt(box_min2("t", "s")) * (1 - 1e-12), F.sqrt(box_max2("t", "s")) * (1 + 1e-12)
+    outside = (most < low) | (least >= high)
+    whole = (least >= low) & (most < high) & (bin_of(least) == bin_of(most))
+    taken, near = dual(nodes, JoinSpec(F.when(~outside, ~F.coalesce(whole, F.lit(False))), mirrored=False))
+    sure = cut(taken.select(bin_of(F.sqrt(box_min2("t", "s"))).cast("int").alias("bin"), (2 * F.col("t.n") * F.col("s.n")).alias("n")))
+    near = cut(near.select(F.struct("t.depth", "t.node").alias("a"), F.struct("s.depth", "s.node").alias("b")))
+    at = lambda side: placed.select(F.struct("depth", "node").alias(side), F.struct("id", *AXES).alias(f"{side}p"))
+    d2 = sum((square(F.col(f"ap.{c}") - F.col(f"bp.{c}")) for c in AXES), F.lit(0.0))
+    met = near.join(at("a"), "a").join(at("b"), "b").where((F.col("a") != F.col("b")) | (F.col("ap.id") < F.col("bp.id")))
+    if counts is not None:
+        counts |= {"accepted": sure.count(), "leaf_pairs": near.count(), "tested": met.count()}
+    d = F.sqrt(d2)
+    tested = met.where((d >= low) & (d < high)).groupBy(F.least(F.greatest(bin_of(d), F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")).agg((2 * F.count("*")).alias("n"))
+    return sure.groupBy("bin").agg(F.sum("n").alias("n")).unionByName(tested).groupBy("bin").agg(F.sum("n").alias("n"))

@@ -2,7 +2,8 @@
 
 A node table has ``depth, node, leaf`` and the columns that the expressions read. In an expression the target's columns
 are ``t.*`` and the source's ``s.*``. Each round moves the frontier down one level, so there are at most as many
-rounds as levels, and only pairs that the ``open`` expression keeps apart go on.
+rounds as levels, and only pairs that the ``open`` expression keeps apart go on. Rounds end when the frontier is empty; more of
+them than a tree of 64-bit keys can have levels are an error (a node table whose inner nodes have no leaves below).
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from astrolith.session import cut
 
 
+#: Levels of a tree of one bit a level, and the root.
+MOST_LEVELS = 64
+
+
 @dataclass(frozen=True)
 class JoinSpec:
     """``open``: true to go below a pair, false to accept it as a whole, null to drop it. ``mirrored``: both orders of a
@@ -30,7 +35,7 @@ def children(nodes: DataFrame) -> DataFrame:
     return nodes.withColumns({"up_depth": F.col("depth") - 1, "up_node": F.shiftright("node", 3)})
 
 
-def top_down(targets: DataFrame, nodes: DataFrame, spec: JoinSpec, max_depth: int, counts: list | None = None, opened: list | None = None) -> tuple[DataFrame, DataFrame]:
+def top_down(targets: DataFrame, nodes: DataFrame, spec: JoinSpec, counts: list | None = None, opened: list | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, leaves): rows of structs ``t`` and ``s``. Targets stay as they are, sources are opened from the root down.
 
     ``counts``, if given, gets (round, opened, accepted, leaf pairs); ``opened`` gets a table a round of the opened inner sources.
@@ -40,8 +45,10 @@ def top_down(targets: DataFrame, nodes: DataFrame, spec: JoinSpec, max_depth: in
     s_all = F.struct(*source.columns).alias("s")
     front = targets.select(F.struct(*targets.columns).alias("t")).withColumn("_d", F.lit(0)).join(source.where("depth = 0").select(s_all, F.lit(0).alias("_d")), "_d").select("t", "s")
     accepted, near = None, None
-    for k in range(max_depth + 1):
+    for k in range(MOST_LEVELS + 1):
         judged = cut(front.withColumn("open", spec.open).where("open is not null"))
+        if k and judged.isEmpty():
+            break
         take = judged.where("not open").select("t", "s")
         meet = judged.where("open and s.leaf").select("t", "s")
         if not spec.own:
@@ -55,10 +62,12 @@ def top_down(targets: DataFrame, nodes: DataFrame, spec: JoinSpec, max_depth: in
         near = meet if near is None else near.unionByName(meet)
         down = judged.where("open and not s.leaf").select("t", F.col("s.depth").alias("up_depth"), F.col("s.node").alias("up_node"))
         front = down.join(ups, ["up_depth", "up_node"]).select("t", F.struct(*(F.col(c) for c in source.columns)).alias("s"))
+    else:
+        raise RuntimeError(f"the frontier is not empty after {MOST_LEVELS} levels")
     return accepted, near
 
 
-def visit_all(nodes: DataFrame, max_depth: int) -> DataFrame:
+def visit_all(nodes: DataFrame) -> DataFrame:
     """One row: ``opened`` and ``met``, the sums of the sources' counts over the opened inner nodes and the leaves that each
     target leaf meets when nothing is pruned, and ``visits``, the pairs of points that the met leaves hold.
 
@@ -66,7 +75,7 @@ def visit_all(nodes: DataFrame, max_depth: int) -> DataFrame:
     """
     everything = JoinSpec(F.lit(True))
     counts: list[DataFrame] = []
-    _, near = top_down(nodes.where("leaf").select("depth", "node", "n", "leaf"), nodes.select("depth", "node", "n", "leaf"), everything, max_depth, opened=counts)
+    _, near = top_down(nodes.where("leaf").select("depth", "node", "n", "leaf"), nodes.select("depth", "node", "n", "leaf"), everything, opened=counts)
     inner = counts[0]
     for more in counts[1:]:
         inner = inner.unionByName(more)
@@ -74,7 +83,7 @@ def visit_all(nodes: DataFrame, max_depth: int) -> DataFrame:
     return inner.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("opened")).select("opened", F.lit(1).alias("_k")).join(met.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-def dual(nodes: DataFrame, spec: JoinSpec, max_depth: int) -> tuple[DataFrame, DataFrame]:
+def dual(nodes: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame]:
     """(accepted, leaf pairs) of a tree with itself: both sides go down together; a leaf waits for the other side.
 
     Without ``mirrored`` each unordered pair comes once, the lower (first key of its range) side first.
@@ -92,8 +101,10 @@ def dual(nodes: DataFrame, spec: JoinSpec, max_depth: int) -> tuple[DataFrame, D
         return inner.join(ups, ["up_depth", "up_node"]).select(F.col("n").alias(side), other).select("t", "s").unionByName(leaf)
 
     order = (F.col("t.at") < F.col("s.at")) | (F.col("t.node") == F.col("s.node")) & (F.col("t.depth") == F.col("s.depth")) | (F.col("t.at") == F.col("s.at"))
-    for _ in range(max_depth + 1):
+    for k in range(MOST_LEVELS + 1):
         judged = cut(front.withColumn("open", spec.open).where("open is not null"))
+        if k and judged.isEmpty():
+            break
         take = judged.where("not open").select("t", "s")
         meet = judged.where("open and t.leaf and s.leaf").select("t", "s")
         if not spec.own:
@@ -103,4 +114,6 @@ def dual(nodes: DataFrame, spec: JoinSpec, max_depth: int) -> tuple[DataFrame, D
         front = lower(lower(judged.where("open and not (t.leaf and s.leaf)").select("t", "s"), "t"), "s")
         if not spec.mirrored:
             front = front.where(order)
+    else:
+        raise RuntimeError(f"the frontier is not empty after {MOST_LEVELS} levels")
     return accepted, near

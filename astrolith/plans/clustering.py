@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from astrolith.functions import geometry, keys
-from astrolith.operators import blocks, fof, partition, spatial_join, stats, traversal, tree, universe
-from astrolith.plans.sql import CUBE, D2, EMB, KEYED, ORD, REACH, edges, link, periodic_d2
+from astrolith.operators import blocks, certified, fof, partition, spatial_join, stats, traversal, tree, universe
+from astrolith.plans.sql import CUBE, D2, EMB, KEYED, LINE, ORD, REACH, edges, link, periodic_d2
 from astrolith.session import checkpoint_dir, cut
-from astrolith.sources.views import embedding_points, order_points
+from astrolith.sources.views import embedding_points, line_points, order_points
 from astrolith.streaming.incremental import fold
 
 F_EMB, F_ORD, PERIOD = 0.4, 0.2, 0.8
+#: Links order lines that differ by a step of quantity, discount or tax only.
+LINE_LINK = 0.021
 
 
 def _emb(spark, sf) -> tuple[DataFrame, float]:
@@ -61,6 +63,28 @@ def fof_surviving(spark, sf):
     return fof.size_histogram(fof.friends_of_friends(*_emb(spark, sf)), 3)
 
 
+def fof_certified(spark, sf):
+    """Clusters by certificates over tree nodes: the same labels as by pairs of points."""
+    return certified.friends_of_friends(*_emb(spark, sf))
+
+
+def fof_certified_pbc(spark, sf):
+    p = embedding_points(spark, sf)
+    return certified.friends_of_friends(p, universe.Universe.of(p).link_length(F_EMB), PERIOD)
+
+
+def fof_certified_lines(spark, sf):
+    """Order lines, of which many coincide: by pairs of points each position alone would cost the square of its lines."""
+    return certified.friends_of_friends(_lines(spark, sf), LINE_LINK)
+
+
+def fof_certified_merges(spark, sf):
+    """Fragments merged by certificates."""
+    p, b = _pieces(spark, sf)
+    labels = cut(fof.fragments(p, b))
+    return fof.merged_labels(labels, certified.merge_edges(p, labels, b))
+
+
 def fof_sweep(spark, sf):
     """Histograms at two link factors."""
     p = embedding_points(spark, sf)
@@ -69,6 +93,12 @@ def fof_sweep(spark, sf):
     return one(0.2).unionByName(one(0.4))
 
 
+def _lines(spark, sf) -> DataFrame:
+    """One point for each line number of an order: the least of those that share it."""
+    least = line_points(spark, sf).groupBy("id").agg(F.min(F.struct("x", "y", "z")).alias("p"))
+    return least.select("id", "p.*")
+
+
 def _pieces(spark, sf) -> tuple[DataFrame, float]:
     p = embedding_points(spark, sf)
     u = universe.Universe.of(p)
@@ -140,13 +170,13 @@ def knn(spark, sf):
 def _tree(spark, sf) -> tuple[DataFrame, float]:
     p, b = _emb(spark, sf)
     keyed = universe.with_key(p)
-    leaf = partition.leaves(keyed, 16, 5).select("depth", "node", F.lit(True).alias("leaf"))
-    nodes = tree.rollup(keyed, 5, tree.box_payload()).join(leaf, ["depth", "node"], "left").withColumn("leaf", F.coalesce("leaf", F.lit(False)))
-    return cut(nodes), b
+    leaf = partition.leaves(keyed, 16)
+    deepest = leaf.agg(F.max("depth")).first()[0]
+    return cut(tree.nodes_above(partition.assign_cells(keyed, leaf, deepest), deepest, tree.box_payload())), b
 
 
 def visit_all(spark, sf):
-    return traversal.visit_all(_tree(spark, sf)[0], 5)
+    return traversal.visit_all(_tree(spark, sf)[0])
 
 
 def _within(b: float):
@@ -156,7 +186,7 @@ def _within(b: float):
 def leaf_pairs_dual(spark, sf):
     """Unordered pairs of different leaves that may hold friends: both trees go down together."""
     nodes, b = _tree(spark, sf)
-    _, near = traversal.dual(nodes, traversal.JoinSpec(_within(b), mirrored=False, own=False), 6)
+    _, near = traversal.dual(nodes, traversal.JoinSpec(_within(b), mirrored=False, own=False))
     at = lambda x: F.struct(f"{x}.depth", f"{x}.node")
     low, high = F.least(at("t"), at("s")), F.greatest(at("t"), at("s"))
     return near.select(low["depth"].alias("a_depth"), low["node"].alias("a"), high["depth"].alias("b_depth"), high["node"].alias("b"))
@@ -165,7 +195,7 @@ def leaf_pairs_dual(spark, sf):
 def leaf_pairs_top_down(spark, sf):
     """The same pairs in both orders, with each leaf as a target."""
     nodes, b = _tree(spark, sf)
-    _, near = traversal.top_down(nodes.where("leaf"), nodes, traversal.JoinSpec(_within(b), own=False), 5)
+    _, near = traversal.top_down(nodes.where("leaf"), nodes, traversal.JoinSpec(_within(b), own=False))
     return near.select(F.col("t.depth").alias("a_depth"), F.col("t.node").alias("a"), F.col("s.depth").alias("b_depth"), F.col("s.node").alias("b"))
 
 
@@ -185,7 +215,7 @@ QUERIES = {
     for f in (
         fixed_radius_pairs, fixed_radius_pairs_pbc, edge_checksum, fof_components, fof_components_cells, fof_orders, fof_histogram, fof_surviving, fof_sweep, fof_fragments, fof_merge_edges, fof_two_phases, untouched_fragments, fof_cells, fof_pbc,
         label_checks, pair_distance_histogram, knn, visit_all, leaf_pairs_dual, leaf_pairs_top_down, incremental_components,
-        fragment_histogram, fof_regions, labelings_differ,
+        fragment_histogram, fof_regions, labelings_differ, fof_certified, fof_certified_pbc, fof_certified_lines, fof_certified_merges,
     )
 }
 
@@ -196,11 +226,17 @@ _E_OUT = f"x AS (SELECT a.id AS s, c.id AS t FROM k a JOIN k c ON a.id <> c.id A
 _MERGES = f"WITH RECURSIVE {_PIECES}, {_E_IN}, {REACH}, {_E_OUT}, m AS (SELECT DISTINCT least(f.label, g.label) AS lo, greatest(f.label, g.label) AS hi FROM x JOIN labels f ON f.id = x.s JOIN labels g ON g.id = x.t WHERE f.label <> g.label)"
 _HIST = "SELECT floor(log2(size))::INT AS bin, count(*) AS n_components, sum(size)::BIGINT AS n_points, max(size) AS max_size FROM (SELECT label, count(*) AS size FROM labels GROUP BY 1) WHERE size >= {} GROUP BY 1"
 
-_LEAVES = " UNION ALL ".join(f"SELECT {d} AS depth, key >> {63 - 3 * d} AS node, count(*) AS n, min(x) AS x_lo, max(x) AS x_hi, min(y) AS y_lo, max(y) AS y_hi, min(z) AS z_lo, max(z) AS z_hi FROM k GROUP BY 2" for d in range(6))
+_LEAVES = " UNION ALL ".join(f"SELECT {d} AS depth, key >> {63 - 3 * d} AS node, count(*) AS n, min(x) AS x_lo, max(x) AS x_hi, min(y) AS y_lo, max(y) AS y_hi, min(z) AS z_lo, max(z) AS z_hi FROM k GROUP BY 2" for d in range(keys.BITS + 1))
 _GAP = " + ".join(f"pow(greatest(0.0, a.{c}_lo - c.{c}_hi, c.{c}_lo - a.{c}_hi), 2)" for c in "xyz")
-_LEAF_PAIRS = f"""WITH {_PIECES}, lv AS ({_LEAVES}), f AS (SELECT lv.* FROM lv LEFT JOIN lv up ON up.depth = lv.depth - 1 AND up.node = lv.node >> 3 WHERE (lv.n <= 16 OR lv.depth = 5) AND (lv.depth = 0 OR up.n > 16))
+_LEAF_PAIRS = f"""WITH {_PIECES}, lv AS MATERIALIZED ({_LEAVES}), f AS (SELECT lv.* FROM lv LEFT JOIN lv up ON up.depth = lv.depth - 1 AND up.node = lv.node >> 3 WHERE (lv.n <= 16 OR lv.depth = {keys.BITS}) AND (lv.depth = 0 OR up.n > 16))
 SELECT a.depth AS a_depth, a.node AS a, c.depth AS b_depth, c.node AS b FROM f a JOIN f c ON {{}}, b WHERE {_GAP} <= b.b * b.b"""
 
+_LINES = f"{LINE.replace('p AS', 'all_lines AS', 1)}, p AS MATERIALIZED (SELECT id, x, y, z FROM all_lines QUALIFY row_number() OVER (PARTITION BY id ORDER BY x, y, z) = 1)"
+_LINE_LABELS = f"""{_LINES}, q AS MATERIALIZED (SELECT x, y, z, min(id) AS id FROM p GROUP BY 1, 2, 3),
+e AS MATERIALIZED (SELECT a.id AS s, c.id AS t FROM q a JOIN q c ON a.id <> c.id AND abs(a.x - c.x) <= {LINE_LINK!r}::DOUBLE WHERE {D2} <= {LINE_LINK * LINE_LINK!r}::DOUBLE),
+r(id, l) AS (SELECT id, id FROM q UNION SELECT e.t, r.l FROM r JOIN e ON e.s = r.id WHERE r.l < e.t), least AS (SELECT id, min(l) AS label FROM r GROUP BY 1),
+labels AS (SELECT p.id, least.label FROM p JOIN q USING (x, y, z) JOIN least ON least.id = q.id)"""
+
 SQL = {
     "leaf_pairs_dual": _LEAF_PAIRS.format("(a.depth, a.node) < (c.depth, c.node)"),
     "leaf_pairs_top_down": _LEAF_PAIRS.format("(a.depth, a.node) <> (c.depth, c.node)"),
@@ -220,6 +256,10 @@ SELECT factor, floor(log2(size))::INT AS bin, count(*) AS n_components FROM (SEL
     "fof_merge_edges": f"{_MERGES} SELECT lo, hi FROM m",
     "fof_two_phases": f"{_LABELS} SELECT id, label FROM labels",
     "untouched_fragments": f"{_MERGES} SELECT DISTINCT label FROM labels WHERE label NOT IN (SELECT lo FROM m UNION SELECT hi FROM m)",
+    "fof_certified": f"{_LABELS} SELECT id, label FROM labels",
+    "fof_certified_merges": f"{_LABELS} SELECT id, label FROM labels",
+    "fof_certified_pbc": f"WITH RECURSIVE {EMB}, {CUBE}, {link(F_EMB)}, {edges(periodic_d2(f'{PERIOD!r}::DOUBLE'))}, {REACH} SELECT id, label FROM labels",
+    "fof_certified_lines": f"WITH RECURSIVE {_LINE_LABELS} SELECT id, label FROM labels",
     "fof_cells": f"WITH {EMB}, {CUBE}, {link(F_EMB)}, s AS (SELECT b / sqrt(6.0::DOUBLE) * (1 - 1e-9::DOUBLE) AS s FROM b) SELECT floor(x / s)::BIGINT AS cx, floor(y / s)::BIGINT AS cy, floor(z / s)::BIGINT AS cz, count(*) AS n, min(id) AS rep FROM p, s GROUP BY 1, 2, 3",
     "fof_pbc": f"WITH RECURSIVE {EMB}, {CUBE}, {link(F_EMB)}, {edges(periodic_d2(f'{PERIOD!r}::DOUBLE'))}, {REACH} SELECT id, label FROM labels",
     "label_checks": f"""{_LABELS} SELECT count(*) FILTER (WHERE l.label IS NULL) AS null_labels, count(*) FILTER (WHERE l.label > l.id) AS above,
@@ -227,7 +267,7 @@ count(*) FILTER (WHERE o.label IS NULL OR o.label <> l.label) AS "foreign" FROM
     "pair_distance_histogram": f"""WITH {EMB}, d AS (SELECT sqrt({D2}) AS d FROM p a JOIN p c ON a.id <> c.id)
 SELECT floor((ln(d) - ln(0.01::DOUBLE)) / (ln(1.0::DOUBLE) - ln(0.01::DOUBLE)) * 5)::INT AS bin, count(*) AS n FROM d WHERE d >= 0.01 AND d < 1.0 GROUP BY 1""",
     "knn": f"WITH {EMB} SELECT id, rank::INT AS rank, nbr, round(d2, 12) AS d2 FROM (SELECT a.id, c.id AS nbr, {D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, c.id) AS rank FROM p a JOIN p c ON a.id <> c.id) WHERE rank <= 3",
-    "visit_all": f"""WITH {_PIECES}, lv AS ({_LEAVES}), nodes AS (SELECT lv.n, lv.n <= 16 OR lv.depth = 5 AS leaf FROM lv LEFT JOIN lv up ON up.depth = lv.depth - 1 AND up.node = lv.node >> 3 WHERE lv.depth = 0 OR up.n > 16)
+    "visit_all": f"""WITH {_PIECES}, lv AS MATERIALIZED ({_LEAVES}), nodes AS (SELECT lv.n, lv.n <= 16 OR lv.depth = {keys.BITS} AS leaf FROM lv LEFT JOIN lv up ON up.depth = lv.depth - 1 AND up.node = lv.node >> 3 WHERE lv.depth = 0 OR up.n > 16)
 SELECT sum(s.n) FILTER (WHERE NOT s.leaf)::BIGINT AS opened, sum(s.n) FILTER (WHERE s.leaf)::BIGINT AS met, sum(t.n * s.n) FILTER (WHERE s.leaf)::BIGINT AS visits FROM nodes t, nodes s WHERE t.leaf""",
     "fragment_histogram": f"WITH RECURSIVE {_PIECES}, {_E_IN}, {REACH} {_HIST.format(1)}",
     "fof_regions": f"{_LABELS} SELECT id, label FROM labels",

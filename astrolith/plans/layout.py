@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from astrolith.functions import geometry as g
 from astrolith.functions import keys
 from astrolith.operators import partition, stats, tree, universe
-from astrolith.plans.sql import CUBE, EMB, KEYED, ORD
+from astrolith.plans.sql import CUBE, EMB, KEYED, LINE, ORD
 from astrolith.session import table
 from astrolith.sources.views import embedding_points, line_points, order_points
 
@@ -323,7 +323,6 @@ hc AS (SELECT {at}, sum((xor(a0, flip) * 4 + xor(b0, flip) * 2 + xor(c0, flip))
 hk AS (SELECT id, hc.key FROM cell JOIN hc ON cx = ox AND cy = oy AND cz = oz)"""
 
 
-LINES = """p AS (SELECT (l_orderkey * 8 + l_linenumber)::BIGINT AS id, l_quantity::DOUBLE / 50.0::DOUBLE AS x, l_discount::DOUBLE * 10.0::DOUBLE AS y, l_tax::DOUBLE * 10.0::DOUBLE AS z FROM lineitem)"""
 
 
 def _longest_sql() -> str:
@@ -341,10 +340,10 @@ _NODES = " UNION ALL ".join(f"SELECT {d} AS depth, key >> {63 - 3 * d} AS node,
 
 SQL = {
     "hilbert_key": f"WITH RECURSIVE {_hilbert(EMB)} SELECT id, key FROM hk",
-    "hilbert_partition": f"WITH RECURSIVE {_hilbert(LINES)} SELECT (piece - 1)::INT AS piece, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT id, ntile({PIECES}) OVER (ORDER BY key, id) AS piece FROM hk) GROUP BY 1",
+    "hilbert_partition": f"WITH RECURSIVE {_hilbert(LINE)} SELECT (piece - 1)::INT AS piece, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT id, ntile({PIECES}) OVER (ORDER BY key, id) AS piece FROM hk) GROUP BY 1",
     "owner_codes": f"WITH {EMB} SELECT id, ((id % 7) << 43) | id AS code, id % 7 AS owner, id AS label FROM p",
     "longest_side_tree": _longest_tree_sql(),
-    "line_tree_leaves": _leaves_sql("64", DEPTH, 3, LINES),
+    "line_tree_leaves": _leaves_sql("64", DEPTH, 3, LINE),
     "tree_floor": f"""WITH {EMB}, {CUBE}, {KEYED}, lv AS ({" UNION ALL ".join(f"SELECT {d} AS depth, key >> {63 - 3 * d} AS node, count(*) AS n FROM k GROUP BY 2" for d in range(2, DEPTH + 1))})
 SELECT lv.depth, lv.node, lv.n FROM lv LEFT JOIN lv up ON up.depth = lv.depth - 1 AND up.node = lv.node >> 3 WHERE (lv.n <= {LEAF} OR lv.depth = {DEPTH}) AND (lv.depth = 2 OR up.n > {LEAF})""",
     "subtree_nodes": f"WITH {EMB}, {CUBE}, {KEYED} {' UNION ALL '.join(f'SELECT {d} AS depth, key >> {63 - 3 * d} AS node, count(*) AS n FROM k WHERE key >> 60 = 0 GROUP BY 2' for d in (1, 2, 3))}",

@@ -1,9 +1,9 @@
 """Pieces of SQL that the oracles share."""
 
 from astrolith.operators.universe import PAD
-from astrolith.sources.views import EMBEDDING_SQL, ORDER_SQL
+from astrolith.sources.views import EMBEDDING_SQL, LINE_SQL, ORDER_SQL
 
-EMB, ORD = EMBEDDING_SQL, ORDER_SQL
+EMB, LINE, ORD = EMBEDDING_SQL, LINE_SQL, ORDER_SQL
 
 #: One row: the padded cube.
 CUBE = f"""bb AS (SELECT min(x) AS x_lo, max(x) AS x_hi, min(y) AS y_lo, max(y) AS y_hi, min(z) AS z_lo, max(z) AS z_hi, count(*) AS n FROM p),

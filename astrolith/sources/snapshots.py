@@ -167,6 +167,8 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 def write_records(points: DataFrame, path: str, time: float = 0.0) -> None:
     """One record file. The format is one file with a 32-bit count, so it is written in order, partition by partition."""
     counts = {r["family"]: r["count"] for r in points.groupBy("family").count().collect()}
+    if others := set(counts) - set(FAMILIES):
+        raise ValueError(f"the format has no place for points of {sorted(map(str, others))}")
     n = sum(counts.values())
     if n > 2**31 - 1:
         raise ValueError("too many points for one file")

@@ -42,3 +42,6 @@ def line_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("id"), F.lit("dark").alias("family"), F.lit(1.0).alias("mass"), (F.col("l_quantity").cast("double") / 50.0).alias("x"),
         (F.col("l_discount").cast("double") * 10.0).alias("y"), (F.col("l_tax").cast("double") * 10.0).alias("z"), *(F.lit(0.0).alias(c) for c in ("vx", "vy", "vz")), F.lit(0.01).alias("soft"),
     )
+
+
+LINE_SQL = """p AS (SELECT (l_orderkey * 8 + l_linenumber)::BIGINT AS id, l_quantity::DOUBLE / 50.0::DOUBLE AS x, l_discount::DOUBLE * 10.0::DOUBLE AS y, l_tax::DOUBLE * 10.0::DOUBLE AS z FROM lineitem)"""
