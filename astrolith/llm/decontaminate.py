@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.llm.text import id_and_bytes, text_hash
+from astrolith.llm.text import id_and_bytes, own_columns, text_hash
 from astrolith.session import cut
 
 WINDOW = 13
@@ -290,7 +290,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, max_block_bytes: int =
     small = _small(windows, max_block_bytes)
     if small is None:
         bad = find_contamination(docs.select(text_hash(F.col(text_col).cast("binary")).alias("bad_h"), F.col(text_col).alias("text")), items, id_col="bad_h", max_block_bytes=max_block_bytes)
-        rows = docs.select(F.struct(*docs.columns).alias("row"), text_hash(F.col(text_col).cast("binary")).alias("h"))
+        rows = docs.select(F.struct(*own_columns(docs.columns)).alias("row"), text_hash(F.col(text_col).cast("binary")).alias("h"))
         return rows.join(bad.where("contaminated").select(F.col("doc_id").alias("h")).distinct(), "h", "left_anti").select("row.*")
     shared = docs.sparkSession.sparkContext.broadcast(small)
     at = docs.columns.index(text_col)

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolith.llm import pieces
+from astrolith.llm.text import own_columns
 from astrolith.session import cut
 
 #: Formats of issued keys. The first has a fixed length, so it may be glued to letters.
@@ -277,7 +278,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with their columns: secrets in the text replaced, and ``n_chars``, if there, counted anew."""
     names = docs.columns
     trees = default_trees(docs.sparkSession)
-    inner = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"))
-    done = scan(inner, trees).select("row.*", "redacted")
-    cols = [F.col("redacted").alias(c) if c == text_col else F.length("redacted").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in names]
+    inner = docs.select(F.struct(*own_columns(names)).alias("row"), F.col(text_col).alias("text"))
+    done = scan(inner, trees).select("row", "redacted")
+    # From the struct, so that columns of any name pass.
+    cols = [F.col("redacted").alias(c) if c == text_col else F.length("redacted").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in names]
     return done.select(*cols)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.llm.text import LOWER, id_and_bytes, text_hash, word_blocks
+from astrolith.llm.text import LOWER, id_and_bytes, own_columns, text_hash, word_blocks
 from astrolith.operators.components import roots
 from astrolith.session import cut
 
@@ -251,7 +251,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = docs.columns
 
     def rows_of(found: DataFrame) -> DataFrame:
-        keyed_docs = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("own_id"), text_hash(F.col(text_col).cast("binary")).alias("own_h"))
+        keyed_docs = docs.select(F.struct(*own_columns(names)).alias("row"), F.col(id_col).alias("own_id"), text_hash(F.col(text_col).cast("binary")).alias("own_h"))
         return keyed_docs.join(found, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_h") == F.col("h")), "left_semi")
 
     kept = rows_of(stay.where("copies = 1")).select("row.*")

@@ -19,6 +19,11 @@ def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
 
 
+def own_columns(names: list[str]) -> list[Column]:
+    """Columns by name, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def text_hash(body: str | Column) -> Column:
     """A text's MD5; a null text has that of no bytes."""
     return F.unhex(F.md5(F.coalesce(body, F.lit(b""))))
