@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,61 +22,88 @@ def label_by_edges(points: DataFrame, edges: DataFrame) -> DataFrame:
     return points.select("id").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
 
 
-def dense_cells(points: DataFrame, link: float) -> DataFrame:
-    """``(cx, cy, cz, n, rep)``: cells of side link/sqrt(6) (a hair less), whose points are all friends, and so are
-    those of cells that share a face."""
+def _dense_size(link: float, period: float) -> tuple[float, int]:
+    """Side of cells whose points, and those of cells that share a face, are friends; and cells per period (0: open)."""
     size = link / math.sqrt(6.0) * (1 - 1e-9)
-    cx, cy, cz = cells(size, 0)
+    if period > 0:
+        count = math.ceil(period / size)
+        return period / count, count
+    return size, 0
+
+
+def dense_cells(points: DataFrame, link: float, period: float = 0.0) -> DataFrame:
+    """``(cx, cy, cz, n, rep)``: cells of side link/sqrt(6) (a hair less, or what divides the period), whose points are all
+    friends, and so are those of cells that share a face."""
+    cx, cy, cz = cells(*_dense_size(link, period))
     return points.select("id", cx.alias("cx"), cy.alias("cy"), cz.alias("cz")).groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
 
 
 #: Offsets of cells that may hold friends: gaps of |d| - 1 cells on each axis must not exceed sqrt(6) cells in all.
 STENCIL = [(i, j, k) for i in range(-3, 4) for j in range(-3, 4) for k in range(-3, 4) if (i, j, k) > (0, 0, 0) and sum(max(abs(d) - 1, 0) ** 2 for d in (i, j, k)) <= 6]
 FACES = {(0, 0, 1), (0, 1, 0), (1, 0, 0)}
+#: Different positions of a cell that come as one array.
+CELL_BLOCK = 512
 
 
-def _first_friend(pairs: DataFrame, link: float) -> DataFrame:
-    """Of pairs of cells those that hold two friends. A cell's points come as one array, bounded by the gathered cell."""
+def _first_friend(pairs: DataFrame, link: float, period: float) -> DataFrame:
+    """Of pairs of blocks those that hold two friends: ``(src, dst)``. Arrays have about ``CELL_BLOCK`` positions at most."""
     b2 = link * link
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            hit = np.zeros(len(df), bool)
-            for k, (p, q) in enumerate(zip(df["p"], df["q"])):
-                a, b = np.array([list(r.values()) if isinstance(r, dict) else list(r) for r in p]), np.array([list(r.values()) if isinstance(r, dict) else list(r) for r in q])
+    def place(cell: pa.StructArray) -> np.ndarray:
+        return np.stack([cell.field(c).to_numpy(zero_copy_only=False) for c in AXES], 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                a, b = place(batch.column(2)[k].values), place(batch.column(3)[k].values)
                 for at in range(0, len(a), 256):
-                    d = ((a[at : at + 256, None, :] - b[None, :, :]) ** 2).sum(axis=2)
-                    if (d <= b2).any():
+                    d = a[at : at + 256, None, :] - b[None, :, :]
+                    if period > 0:
+                        d -= period * np.round(d / period)
+                    if ((d * d).sum(axis=2) <= b2).any():
                         hit[k] = True
                         break
-            yield df.loc[hit, ["src", "dst"]]
+            yield pa.record_batch([c.filter(pa.array(hit)) for c in (batch.column(0), batch.column(1))], names=["src", "dst"])
 
-    return pairs.mapInPandas(run, "src long, dst long")
+    return pairs.select("src", "dst", "p", "q").mapInArrow(run, "src long, dst long").distinct()
 
 
-def contracted_edges(points: DataFrame, link: float) -> DataFrame:
+def contracted_edges(points: DataFrame, link: float, period: float = 0.0) -> DataFrame:
     """Edges with the components of all friend pairs, without a test inside cells or between cells that share a face.
 
     For dense data: rows are cells, not pairs of points, so a clump costs its number of cells.
-    Points in one cell are joined to the cell's least id; cells of the stencil are tested up to the first friends.
+    Points in one cell are joined to the cell's least id; cells of the stencil are tested up to the first friends, over
+    their different positions in blocks of bounded size. In a periodic box (longer than two links) cells divide the
+    period and the stencil wraps around.
     """
-    size = link / math.sqrt(6.0) * (1 - 1e-9)
-    cx, cy, cz = cells(size, 0)
-    base = points.select("id", F.struct(*AXES).alias("p"), cx.alias("cx"), cy.alias("cy"), cz.alias("cz"))
-    grid = cut(base.groupBy("cx", "cy", "cz").agg(F.min("id").alias("rep"), F.collect_list("p").alias("ps")))
-    inside = base.join(grid.select("cx", "cy", "cz", "rep"), ["cx", "cy", "cz"]).where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
-    offsets = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"), F.lit((i, j, k) in FACES).alias("face")) for i, j, k in STENCIL)))
-    keys = grid.select("cx", "cy", "cz", "rep").withColumn("o", offsets).select((F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), (F.col("cz") + F.col("o.k")).alias("cz"), F.col("rep").alias("src"), "o.face")
-    met = cut(keys.join(grid.select("cx", "cy", "cz", F.col("rep").alias("dst")), ["cx", "cy", "cz"]).select("src", "dst", "face"))
+    size, count = _dense_size(link, period)
+    names = ["cx", "cy", "cz"]
+    placed = points.select("id", *AXES, *(c.alias(n) for c, n in zip(cells(size, count), names)))
+    inside_of = cut(placed.groupBy(*names).agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    inside = placed.select("id", *names).join(inside_of, names).where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
+    moved = lambda c, d: F.pmod(F.col(c) + d, F.lit(count)).cast("long") if count else F.col(c) + d
+    offsets = F.array(*(F.struct(moved("cx", i).alias("cx"), moved("cy", j).alias("cy"), moved("cz", k).alias("cz"), F.lit((i, j, k) in FACES).alias("face")) for i, j, k in STENCIL))
+    keys = inside_of.select(F.col("rep").alias("src"), F.explode(F.array_distinct(offsets) if count else offsets).alias("o")).select("src", "o.*")
+    met = cut(keys.join(inside_of.select(*names, F.col("rep").alias("dst")), names).where("src <> dst").groupBy("src", "dst").agg(F.max("face").alias("face")))
     faces = met.where("face").select("src", "dst")
-    rest = met.where("not face").join(grid.select(F.col("rep").alias("src"), F.col("ps").alias("p")), "src").join(grid.select(F.col("rep").alias("dst"), F.col("ps").alias("q")), "dst").select("src", "dst", "p", "q")
-    return inside.unionByName(faces).unionByName(_first_friend(rest, link))
+    # A block is a share of the cell's positions by hash, so that equal positions fall together and cells of any size are cut.
+    blocks = F.ceil(F.col("n") / F.lit(CELL_BLOCK))
+    dealt = placed.select(*AXES, *names).distinct().join(inside_of, names).groupBy("rep", F.pmod(F.xxhash64(*AXES), blocks).alias("block")).agg(F.collect_list(F.struct(*AXES)).alias("ps"))
+    dealt = cut(dealt)
+    rest = met.where("not face").join(dealt.select(F.col("rep").alias("src"), F.col("ps").alias("p")), "src").join(dealt.select(F.col("rep").alias("dst"), F.col("ps").alias("q")), "dst")
+    return inside.unionByName(faces).unionByName(_first_friend(rest, link, period))
 
 
 def friends_of_friends(points: DataFrame, link: float, period: float = 0.0, method: str = "pairs") -> DataFrame:
-    """``(id, label)``. ``method="cells"`` contracts dense cells first (open boxes only); both give the same labels."""
-    if method == "cells" and period == 0:
-        return label_by_edges(points, contracted_edges(points, link))
+    """``(id, label)``. ``method="cells"`` contracts dense cells first, ``"certified"`` walks trees of nodes with certificates
+    (for clumps of any density); all give the same labels."""
+    if method == "cells":
+        return label_by_edges(points, contracted_edges(points, link, period))
+    if method == "certified":
+        from astrolith.operators import certified
+
+        return certified.friends_of_friends(points, link, period)
     return label_by_edges(points, radius_pairs(points, link, period).select("src", "dst"))
 
 

@@ -154,6 +154,16 @@ def fof_pbc(spark, sf):
     return fof.friends_of_friends(p, universe.Universe.of(p).link_length(F_EMB), PERIOD)
 
 
+def fof_pbc_cells(spark, sf):
+    """The same on a torus of cells that divide the period."""
+    p = embedding_points(spark, sf)
+    return fof.friends_of_friends(p, universe.Universe.of(p).link_length(F_EMB), PERIOD, method="cells")
+
+
+def fof_cells_lines(spark, sf):
+    return fof.friends_of_friends(_lines(spark, sf), LINE_LINK, method="cells")
+
+
 def label_checks(spark, sf):
     return fof.check_labels(fof.friends_of_friends(*_emb(spark, sf)))
 
@@ -215,7 +225,7 @@ QUERIES = {
     for f in (
         fixed_radius_pairs, fixed_radius_pairs_pbc, edge_checksum, fof_components, fof_components_cells, fof_orders, fof_histogram, fof_surviving, fof_sweep, fof_fragments, fof_merge_edges, fof_two_phases, untouched_fragments, fof_cells, fof_pbc,
         label_checks, pair_distance_histogram, knn, visit_all, leaf_pairs_dual, leaf_pairs_top_down, incremental_components,
-        fragment_histogram, fof_regions, labelings_differ, fof_certified, fof_certified_pbc, fof_certified_lines, fof_certified_merges,
+        fragment_histogram, fof_regions, labelings_differ, fof_certified, fof_certified_pbc, fof_certified_lines, fof_certified_merges, fof_pbc_cells, fof_cells_lines,
     )
 }
 
@@ -259,6 +269,8 @@ SELECT factor, floor(log2(size))::INT AS bin, count(*) AS n_components FROM (SEL
     "fof_certified": f"{_LABELS} SELECT id, label FROM labels",
     "fof_certified_merges": f"{_LABELS} SELECT id, label FROM labels",
     "fof_certified_pbc": f"WITH RECURSIVE {EMB}, {CUBE}, {link(F_EMB)}, {edges(periodic_d2(f'{PERIOD!r}::DOUBLE'))}, {REACH} SELECT id, label FROM labels",
+    "fof_pbc_cells": f"WITH RECURSIVE {EMB}, {CUBE}, {link(F_EMB)}, {edges(periodic_d2(f'{PERIOD!r}::DOUBLE'))}, {REACH} SELECT id, label FROM labels",
+    "fof_cells_lines": f"WITH RECURSIVE {_LINE_LABELS} SELECT id, label FROM labels",
     "fof_certified_lines": f"WITH RECURSIVE {_LINE_LABELS} SELECT id, label FROM labels",
     "fof_cells": f"WITH {EMB}, {CUBE}, {link(F_EMB)}, s AS (SELECT b / sqrt(6.0::DOUBLE) * (1 - 1e-9::DOUBLE) AS s FROM b) SELECT floor(x / s)::BIGINT AS cx, floor(y / s)::BIGINT AS cy, floor(z / s)::BIGINT AS cz, count(*) AS n, min(id) AS rep FROM p, s GROUP BY 1, 2, 3",
     "fof_pbc": f"WITH RECURSIVE {EMB}, {CUBE}, {link(F_EMB)}, {edges(periodic_d2(f'{PERIOD!r}::DOUBLE'))}, {REACH} SELECT id, label FROM labels",
