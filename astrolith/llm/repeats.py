@@ -19,8 +19,9 @@ another row shares both runs. The least and the largest such ``o`` bound what th
 
 **Scale.** Equal texts are counted first, and only one of them is searched. Anchors are written once, in 20 bytes
 each. Texts move twice, dealt by a hash of the text; contexts move only for anchors that occur again. Equal contexts
-inside one text are settled there. The strings of a group of more than ``split_above`` anchors are counted
-by their hash instead, one row for each string and none for a pair, so that no group is gathered.
+inside one text are settled there. A group of more than ``split_above`` anchors is dealt anew in two bands of offsets, by
+the bytes that the strings of a band must share, so that it is sorted in parts. Where so many anchors share even these, their
+strings are counted by their hash, one row for each string and none for a pair, so that no group is gathered.
 
 Nulls: a null text is empty; a null id keeps its row. Repeated rows are occurrences of their own. Texts shorter
 than ``length`` stay whole. An empty table gives an empty result. Other columns are not read.
@@ -47,6 +48,8 @@ class Settings:
     flush_rows: int = 4_096
 
 
+#: Numbers of large groups up to which they are sent to all tasks.
+HOT_SENT = 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -428,6 +431,18 @@ def _strings(s: Settings):
     return run
 
 
+def _banded(rows: DataFrame, s: Settings) -> DataFrame:
+    """Rows of large groups, dealt anew by what their strings share: those that reach up to half of their length to the left of
+    the anchor share the other half to its right, and those that reach farther share more than half to its left."""
+    m = s.length // 2
+    low = rows.where(F.col("first") <= m).withColumn("last", F.least("last", F.lit(m).cast("long")))
+    high = rows.where(F.col("last") > m).withColumn("first", F.greatest("first", F.lit(m + 1).cast("long")))
+    low = low.withColumn("g", F.xxhash64(F.lit(1), "g", F.substring("right", 1, s.length - m)))
+    high = high.withColumn("g", F.xxhash64(F.lit(2), "g", F.substring("left", 1, m + 1)))
+    left, right = (F.expr(f"substring({c}, 1, cast({e} AS int))") for c, e in (("left", "last"), ("right", f"{s.length} - first")))
+    return low.unionByName(high).select("key", "g", "pos", "first", "last", left.alias("left"), right.alias("right"))
+
+
 def repeated_ranges(texts: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``(key, a, z)``: bytes ``[a, z)`` go from the text of that key. ``texts`` has (key, body); equal rows count once."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -450,15 +465,21 @@ def repeated_ranges(texts: DataFrame, s: Settings = Settings()) -> DataFrame:
     contexts = cut(long.join(spots, "key").select("key", "body", "spots").mapInArrow(_context_rows(s), "key binary, g long, pos long, first long, last long, left binary, right binary, twice boolean"))
     local = contexts.where("twice").select("key", (F.col("pos") - F.col("last")).alias("a"), (F.col("pos") - F.col("first") + s.length).alias("z"))
     rows = contexts.where("g is not null").select("key", "g", "pos", "first", "last", "left", "right")
-    hot = cut(rows.groupBy("g").count().where(F.col("count") > s.split_above).select("g"))
     ranges = local
-    if not hot.isEmpty():
-        strings = rows.join(hot, "g", "left_semi").select("key", "g", "pos", "first", "last", "left", "right").mapInArrow(_strings(s), "key binary, start long, digest binary")
-        one = F.struct("key", "start")
-        more = strings.groupBy("digest").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x <> y").select("digest")
-        hits = strings.join(more, "digest", "left_semi").select("key", F.col("start").alias("a"), (F.col("start") + s.length).alias("z"))
-        ranges = ranges.unionByName(hits)
-        rows = rows.join(hot, "g", "left_anti").select("key", "g", "pos", "first", "last", "left", "right")
+    hot = cut(rows.groupBy("g").count().where(F.col("count") > s.split_above).select("g"))
+    if n_hot := hot.count():
+        # One row for split_above anchors at most; beyond that many it meets them in a join.
+        small = F.broadcast(hot) if n_hot <= HOT_SENT else hot
+        rows = rows.join(small, "g", "left_anti").unionByName(_banded(rows.join(small, "g", "left_semi"), s)).select(*rows.columns)
+        still = cut(rows.groupBy("g").count().where(F.col("count") > s.split_above).select("g"))
+        if n_still := still.count():
+            small = F.broadcast(still) if n_still <= HOT_SENT else still
+            strings = rows.join(small, "g", "left_semi").select("key", "g", "pos", "first", "last", "left", "right").mapInArrow(_strings(s), "key binary, start long, digest binary")
+            one = F.struct("key", "start")
+            more = strings.groupBy("digest").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x <> y").select("digest")
+            hits = strings.join(more, "digest", "left_semi").select("key", F.col("start").alias("a"), (F.col("start") + s.length).alias("z"))
+            ranges = ranges.unionByName(hits)
+            rows = rows.join(small, "g", "left_anti").select("key", "g", "pos", "first", "last", "left", "right")
     dealt = rows.repartition(n, "g").sortWithinPartitions("g")
     return ranges.unionByName(dealt.mapInArrow(_solve(s), "key binary, a long, z long"))
 

@@ -44,7 +44,7 @@ def test_against_brute_force(spark):
     rows = texts()
     want = brute([(i, (t or "").encode()) for i, t in rows])
     docs = spark.createDataFrame([(i, t, b"k") for i, t in rows], "doc_id long, text string, key binary")
-    for s in (r.Settings(), replace(r.Settings(), split_above=1, flush_rows=50)):
+    for s in (r.Settings(), replace(r.Settings(), split_above=1, flush_rows=50), replace(r.Settings(), split_above=5)):
         got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in r.digest(r.remove_repeats(docs, s)).collect()}
         assert got == want
 
