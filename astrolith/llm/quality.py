@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from astrolith.llm.text import LOWER, id_and_bytes, text_mark, word_blocks
+from astrolith.session import cut
 
 #: Votes are 0 (bad), 1 (good), 2 (between) and 3 (the text is too short to tell).
 ABSTAIN, SHORT = 2, 3
@@ -225,23 +226,42 @@ def _read(rows: DataFrame, bits: int, features: bool) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, votes string" + (", buckets array<long>, shares array<double>" if features else ""))
 
 
-def training_rows(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _votes_and_marks(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """``(mark, votes)`` of each row, written once: counts and the choice of rows come from these few bytes a row."""
+    marked = id_and_bytes(docs, id_col, text_col)
+    return cut(_read(marked.select(text_mark("doc_id", "body").alias("doc_id"), "body"), s.bits, False).withColumnRenamed("doc_id", "mark"))
+
+
+def chosen_marks(marks: DataFrame, n: int, most: int) -> DataFrame:
+    """The ``most`` least of different marks (hashes) of ``n`` rows. Only marks below a bound are sorted; it grows until they are enough."""
+    share = min(1.0, 4 * most / max(n, 1))
+    while share < 1:
+        low = marks.where(F.col("mark") < F.lit(int(share * 2**64) - 2**63)).select("mark").distinct()
+        if low.count() >= most:
+            return low.orderBy("mark").limit(most)
+        share = min(1.0, 8 * share)
+    return marks.select("mark").distinct().orderBy("mark").limit(most)
+
+
+def training_rows(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", marks: DataFrame | None = None) -> DataFrame:
     """At most ``max_train_rows`` different rows, with their mark as doc_id."""
     marked = id_and_bytes(docs, id_col, text_col).withColumn("mark", text_mark("doc_id", "body"))
-    chosen = marked.select("mark").distinct().orderBy("mark").limit(s.max_train_rows)
+    marks = marked.select("mark") if marks is None else marks
+    chosen = chosen_marks(marks, marks.count(), s.max_train_rows)
     picked = marked.join(F.broadcast(chosen), "mark", "left_semi").groupBy("mark").agg(F.first("body").alias("body"))
     return picked.select(F.col("mark").alias("doc_id"), "body")
 
 
 def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    rows = id_and_bytes(docs, id_col, text_col)
-    counted = sorted((r["votes"], r["count"]) for r in _read(rows, s.bits, False).groupBy("votes").count().collect())  # 4^8 rows at most
+    """Reads ``docs`` twice: for all rows' votes, and for the chosen rows' texts."""
+    seen = _votes_and_marks(docs, s, id_col, text_col)
+    counted = sorted((r["votes"], r["count"]) for r in seen.groupBy("votes").count().collect())  # 4^8 rows at most
     if not counted:
         return learn([], np.zeros(0), s)
     patterns = [tuple(map(int, v)) for v, _ in counted]
     _, _, good = label_model(patterns, np.array([c for _, c in counted]), s.rounds)
     posterior = {v: p for (v, _), p in zip(counted, good)}
-    got = _read(training_rows(docs, s, id_col, text_col), s.bits, True).toArrow().to_pydict()
+    got = _read(training_rows(docs, s, id_col, text_col, seen.select("mark")), s.bits, True).toArrow().to_pydict()
     order = sorted(range(len(got["doc_id"])), key=got["doc_id"].__getitem__)
     train = [(np.array(got["buckets"][i], np.int64), np.array(got["shares"][i])) for i in order]
     return learn(train, np.array([posterior[got["votes"][i]] for i in order]), s)

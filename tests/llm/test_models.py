@@ -71,6 +71,14 @@ def test_quality_without_ids_rejects_as_with_ids(docs):
     assert 0 < len(kept) < len(want) and len(differ) <= 0.03 * len(want)
 
 
+def test_the_chosen_marks_are_the_least_ones(spark):
+    rng = np.random.default_rng(4)
+    for values in (rng.integers(-(2**63), 2**63, 5000), rng.integers(0, 2**63, 5000), np.repeat(rng.integers(-(2**63), 2**63, 9), 500), np.arange(2**62, 2**62 + 300)):
+        marks = spark.createDataFrame([(int(v),) for v in values], "mark long")
+        for most in (1, 40, 10_000):
+            assert sorted(r.mark for r in quality.chosen_marks(marks, len(values), most).collect()) == sorted({int(v) for v in values})[:most]
+
+
 def test_quality_reads_long_texts_whole(spark):
     plain, junk = "This is a part of the text that is easy to read and has the usual words in it. ", "### @@@ 77 %% ### "
     rows = [(k, plain * 5) for k in range(20)] + [(50 + k, junk * 30) for k in range(10)] + [(100, plain * 30_000), (101, plain * 10 + junk * 150_000)]
