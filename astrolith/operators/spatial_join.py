@@ -1,13 +1,13 @@
-"""Fixed-radius joins by a grid, and nearest neighbours by growing radii."""
+"""Fixed-radius joins by a grid, and nearest neighbours by walks over tree nodes with shrinking bounds."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from astrolith.functions.geometry import AXES, periodic_dist2
+from astrolith.functions.geometry import AXES, box_max2, box_min2, periodic_dist2
 from astrolith.session import cut
 
 #: The 13 neighbours of a cell that come after it in (x, y, z) order.
@@ -73,35 +73,86 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float) -> DataFra
     return left.alias("a").join(right.alias("b"), ["cx", "cy", "cz"]).where((F.col("a.id") != F.col("b.id")) & (d2 <= F.lit(radius * radius))).select(F.col("a.id").alias("id"), F.col("b.id").alias("nbr"), d2.alias("d2"))
 
 
-def nearest(points: DataFrame, k: int, start: float, queries: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
-    """``(id, rank, nbr, d2)``: the ``k`` nearest other points, ties by id.
+def _least_ids(points: DataFrame, most: int, salts: int = 64) -> DataFrame:
+    """``(x, y, z, copies, ids)``: different positions with the ``most`` least ids at each, sorted; first by shares of a position."""
+    share = F.pmod(F.xxhash64("id"), F.lit(salts))
+    part = Window.partitionBy(*AXES, "_s").orderBy("id")
+    few = points.select("id", *AXES, share.alias("_s")).withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= most)
+    ids = few.groupBy(*AXES).agg(F.slice(F.array_sort(F.collect_list("id")), 1, most).alias("ids"))
+    copies = points.groupBy(*AXES).agg(F.count("*").alias("copies"))
+    return copies.join(ids, [*AXES])
+
+
+def _leaf_tree(places: DataFrame, leaf_size: int, payload: dict) -> tuple[DataFrame, DataFrame]:
+    """(positions with their leaf, node table) of a tree over different positions."""
+    from astrolith.operators import partition, tree, universe
+
+    keyed = cut(universe.with_key(places))
+    leaf = partition.leaves(keyed, leaf_size)
+    deepest = leaf.agg(F.max("depth")).first()[0] or 0
+    placed = cut(partition.assign_cells(keyed, leaf, deepest))
+    return placed, cut(tree.nodes_above(placed, deepest, tree.box_payload() | payload))
 
-    Each round joins the queries that are still open within a radius; with ``k`` neighbours inside it a
-    query is done, else the radius doubles. The radius follows local density, so no round joins dense
-    regions with a large radius.
-    """
-    from pyspark.sql import Window
 
-    if start <= 0:
-        raise ValueError("the first radius must be positive")
+def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, leaf_size: int = 16, counts: dict | None = None) -> DataFrame:
+    """``(id, rank, nbr, d2)``: the ``k`` nearest points of other id, ties by id; fewer only if there are fewer other points.
+
+    An up-and-down walk: a leaf of targets begins with a bound from its own leaf, or its parent's, if these hold enough
+    points. Then all leaves of targets go down the tree of sources from its root. Each round drops the nodes beyond a
+    leaf's bound, and shrinks the bound to the distance within which the nearest nodes still met hold enough points. Only
+    positions within the last bound become rows. Equal positions count as one place with its least ids, since no other
+    ids of a place can be among the nearest; so a clump, or many points at one place, costs no more than others.
+    ``counts``, if given, gets the numbers of node pairs met and of candidate pairs of positions.
+    """
     points = points.select("id", *AXES)
-    open_ = (queries or points).select("id", *AXES)
-    want = min(k, points.count() - 1)
-    done: DataFrame | None = None
-    radius = start
-    for _ in range(max_rounds):
-        if want < 1:
-            break
-        found = radius_join(open_, points, radius)
-        w = Window.partitionBy("id").orderBy("d2", "nbr")
-        ranked = cut(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-        full = ranked.groupBy("id").count().where(F.col("count") >= want).select("id")
-        part = ranked.join(full, "id", "left_semi")
-        done = part if done is None else done.unionByName(part)
-        open_ = cut(open_.join(full, "id", "left_anti"))
-        if open_.isEmpty():
+    targets = points if queries is None else queries.select("id", *AXES)
+    kinds = "id long, rank int, nbr long, d2 double"
+    want = k + 1  # of other or own id
+    leaf_size = max(leaf_size, want)
+    places = cut(_least_ids(points, want))
+    total = min(want, places.agg(F.sum("copies")).first()[0] or 0)
+    if k < 1 or not total or targets.isEmpty():
+        return points.sparkSession.createDataFrame([], kinds)
+    members = {"members": (F.sum("copies"), F.sum("members"))}
+    placed, nodes = _leaf_tree(places, leaf_size, members)
+    box = [f"{c}_{e}" for c in AXES for e in ("lo", "hi")]
+    if queries is None:
+        own, leaves_of = placed, nodes.where("leaf")
+        up = nodes.select((F.col("depth") + 1).alias("depth"), F.col("node").alias("_up"), F.struct(*box).alias("up"))
+        begin = leaves_of.withColumn("_up", F.shiftright("node", 3)).join(up, ["depth", "_up"], "left").withColumn("t", F.struct(*box))
+        # A leaf of too few points is below a parent of enough.
+        bound = F.when(F.col("members") >= total, box_max2("t", "t")).otherwise(F.coalesce(box_max2("t", "up"), F.lit(float("inf"))))
+        begin = begin.withColumn("bound", bound).select(F.struct("depth", "node", *box).alias("t"), "bound")
+    else:
+        own, own_nodes = _leaf_tree(targets.select(*AXES).distinct(), leaf_size, {})
+        begin = own_nodes.where("leaf").select(F.struct("depth", "node", *box).alias("t"), F.lit(float("inf")).alias("bound"))
+    source = F.struct("depth", "node", "leaf", "members", *box).alias("s")
+    below = nodes.where("depth > 0").select((F.col("depth") - 1).alias("up_depth"), F.shiftright("node", 3).alias("up_node"), source)
+    front = begin.crossJoin(F.broadcast(nodes.where("depth = 0").select(source)))  # one row
+    key = [F.col("t.depth"), F.col("t.node")]
+    nearer = Window.partitionBy(*key).orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = 0
+    while True:
+        judged = front.withColumn("near", box_min2("t", "s")).where(F.col("near") <= F.col("bound") * (1 + 1e-12)).withColumn("far", box_max2("t", "s"))
+        summed = judged.withColumn("enough", F.sum("s.members").over(nearer) >= total)
+        shrunk = F.least("bound", F.coalesce(F.min(F.when(F.col("enough"), F.col("far"))).over(Window.partitionBy(*key)), F.lit(float("inf"))))
+        kept = cut(summed.withColumn("bound", shrunk).where(F.col("near") <= F.col("bound") * (1 + 1e-12)).select("t", "s", "bound"))
+        if counts is not None:
+            met += kept.count()
+        inner = kept.where("not s.leaf").select("t", "bound", F.col("s.depth").alias("up_depth"), F.col("s.node").alias("up_node"))
+        if inner.isEmpty():
             break
-        radius *= 2
-    if done is None:
-        done = points.limit(0).select("id", F.lit(0).alias("rank"), F.col("id").alias("nbr"), F.lit(0.0).alias("d2"))
-    return done.select("id", "rank", "nbr", "d2")
+        front = kept.where("s.leaf").select("t", "bound", "s").unionByName(inner.join(below, ["up_depth", "up_node"]).select("t", "bound", "s"))
+    a = own.select(F.struct("depth", "node").alias("ta"), F.struct(*AXES).alias("a"))
+    b = placed.select(F.struct("depth", "node").alias("sb"), F.struct(*AXES).alias("b"), "copies", "ids")
+    pairs = kept.select(F.struct("t.depth", "t.node").alias("ta"), F.struct("s.depth", "s.node").alias("sb"), "bound").join(a, "ta").join(b, "sb")
+    pairs = pairs.withColumn("d2", periodic_dist2("a", "b", 0.0)).where(F.col("d2") <= F.col("bound") * (1 + 1e-12)).select("a", "d2", "copies", "ids")
+    if counts is not None:
+        counts |= {"node_pairs": met, "candidates": pairs.count()}
+    # Places before which enough points are nearer drop out; ties stay for their ids.
+    upto, tied = Window.partitionBy("a").orderBy("d2"), Window.partitionBy("a", "d2")
+    few = pairs.withColumn("_before", F.sum("copies").over(upto) - F.sum("copies").over(tied)).where(F.col("_before") < want).select("a", "d2", F.explode("ids").alias("nbr"))
+    first = few.withColumn("_k", F.row_number().over(Window.partitionBy("a").orderBy("d2", "nbr"))).where(F.col("_k") <= want).select("a.*", "nbr", "d2")
+    rows = targets.join(first, [*AXES]).where("id <> nbr")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "nbr"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "nbr", "d2")

@@ -173,8 +173,21 @@ def pair_distance_histogram(spark, sf):
 
 
 def knn(spark, sf):
-    p, b = _emb(spark, sf)
-    return spatial_join.nearest(p, 3, b).select("id", F.col("rank").cast("int").alias("rank"), "nbr", F.round("d2", 12).alias("d2"))
+    return _ranked(spatial_join.nearest(embedding_points(spark, sf), 3))
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    return found.select("id", F.col("rank").cast("int").alias("rank"), "nbr", F.round("d2", 12).alias("d2"))
+
+
+def knn_orders(spark, sf):
+    """The two nearest orders of each order, up to a hundredth of squared distance where SQL looks."""
+    return _ranked(spatial_join.nearest(order_points(spark, sf), 2))
+
+
+def knn_lines(spark, sf):
+    """The three nearest order lines of each line, nearly all of which coincide with others."""
+    return _ranked(spatial_join.nearest(_lines(spark, sf), 3))
 
 
 def _tree(spark, sf) -> tuple[DataFrame, float]:
@@ -224,7 +237,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fixed_radius_pairs, fixed_radius_pairs_pbc, edge_checksum, fof_components, fof_components_cells, fof_orders, fof_histogram, fof_surviving, fof_sweep, fof_fragments, fof_merge_edges, fof_two_phases, untouched_fragments, fof_cells, fof_pbc,
-        label_checks, pair_distance_histogram, knn, visit_all, leaf_pairs_dual, leaf_pairs_top_down, incremental_components,
+        label_checks, pair_distance_histogram, knn, knn_orders, knn_lines, visit_all, leaf_pairs_dual, leaf_pairs_top_down, incremental_components,
         fragment_histogram, fof_regions, labelings_differ, fof_certified, fof_certified_pbc, fof_certified_lines, fof_certified_merges, fof_pbc_cells, fof_cells_lines,
     )
 }
@@ -279,6 +292,11 @@ count(*) FILTER (WHERE o.label IS NULL OR o.label <> l.label) AS "foreign" FROM
     "pair_distance_histogram": f"""WITH {EMB}, d AS (SELECT sqrt({D2}) AS d FROM p a JOIN p c ON a.id <> c.id)
 SELECT floor((ln(d) - ln(0.01::DOUBLE)) / (ln(1.0::DOUBLE) - ln(0.01::DOUBLE)) * 5)::INT AS bin, count(*) AS n FROM d WHERE d >= 0.01 AND d < 1.0 GROUP BY 1""",
     "knn": f"WITH {EMB} SELECT id, rank::INT AS rank, nbr, round(d2, 12) AS d2 FROM (SELECT a.id, c.id AS nbr, {D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, c.id) AS rank FROM p a JOIN p c ON a.id <> c.id) WHERE rank <= 3",
+    "knn_orders": f"WITH {ORD.replace('p AS', 'p AS MATERIALIZED', 1)} SELECT id, rank::INT AS rank, nbr, round(d2, 12) AS d2 FROM (SELECT a.id, c.id AS nbr, {D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, c.id) AS rank FROM p a JOIN p c ON a.id <> c.id AND abs(a.x - c.x) <= 0.1 WHERE {D2} <= 0.01) WHERE rank <= 2",
+    "knn_lines": f"""WITH {_LINES}, q AS MATERIALIZED (SELECT x, y, z, list(id ORDER BY id)[1:4] AS ids FROM p GROUP BY 1, 2, 3),
+n AS MATERIALIZED (SELECT a.x, a.y, a.z, unnest(c.ids) AS nbr, {D2} AS d2 FROM q a JOIN q c ON abs(a.x - c.x) <= 0.2 AND abs(a.y - c.y) <= 0.2 AND abs(a.z - c.z) <= 0.2),
+f AS MATERIALIZED (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY d2, nbr) <= 4)
+SELECT p.id, row_number() OVER (PARTITION BY p.id ORDER BY d2, nbr)::INT AS rank, nbr, round(d2, 12) AS d2 FROM p JOIN f USING (x, y, z) WHERE p.id <> nbr QUALIFY rank <= 3""",
     "visit_all": f"""WITH {_PIECES}, lv AS MATERIALIZED ({_LEAVES}), nodes AS (SELECT lv.n, lv.n <= 16 OR lv.depth = {keys.BITS} AS leaf FROM lv LEFT JOIN lv up ON up.depth = lv.depth - 1 AND up.node = lv.node >> 3 WHERE lv.depth = 0 OR up.n > 16)
 SELECT sum(s.n) FILTER (WHERE NOT s.leaf)::BIGINT AS opened, sum(s.n) FILTER (WHERE s.leaf)::BIGINT AS met, sum(t.n * s.n) FILTER (WHERE s.leaf)::BIGINT AS visits FROM nodes t, nodes s WHERE t.leaf""",
     "fragment_histogram": f"WITH RECURSIVE {_PIECES}, {_E_IN}, {REACH} {_HIST.format(1)}",

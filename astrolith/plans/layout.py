@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from astrolith.functions import geometry as g
 from astrolith.functions import keys
 from astrolith.operators import partition, stats, tree, universe
-from astrolith.plans.sql import CUBE, EMB, KEYED, LINE, ORD
+from astrolith.plans.sql import CUBE, EMB, KEYED, LINE, ORD, leaves
 from astrolith.session import table
 from astrolith.sources.views import embedding_points, line_points, order_points
 
@@ -271,12 +271,8 @@ QUERIES = {
 }
 
 
-def _leaves_sql(most: str, depth: int, bits: int, source: str = EMB) -> str:
-    """Cells without a split: small ones (or the deepest) below a large parent."""
-    levels = " UNION ALL ".join(f"SELECT {d} AS depth, key >> {63 - bits * d} AS node, count(*) AS n FROM k GROUP BY 2" for d in range(depth + 1))
-    return f"""WITH {source}, {CUBE}, {KEYED}, lv AS ({levels}), t AS (SELECT {most} AS most)
-SELECT lv.depth, lv.node, lv.n FROM lv LEFT JOIN lv up ON up.depth = lv.depth - 1 AND up.node = lv.node >> {bits}, t
-WHERE (lv.n <= most OR lv.depth = {depth}) AND (lv.depth = 0 OR up.n > most)"""
+def _leaves_sql(most: str, depth: int, bits: int, source: str = EMB, top: int = 0) -> str:
+    return f"WITH {source}, {CUBE}, {KEYED}, {leaves(most, depth, bits, top)} SELECT depth, node, n FROM lf"
 
 
 _BOX = "min(x) AS x_lo, max(x) AS x_hi, min(y) AS y_lo, max(y) AS y_hi, min(z) AS z_lo, max(z) AS z_hi"
@@ -344,8 +340,7 @@ SQL = {
     "owner_codes": f"WITH {EMB} SELECT id, ((id % 7) << 43) | id AS code, id % 7 AS owner, id AS label FROM p",
     "longest_side_tree": _longest_tree_sql(),
     "line_tree_leaves": _leaves_sql("64", DEPTH, 3, LINE),
-    "tree_floor": f"""WITH {EMB}, {CUBE}, {KEYED}, lv AS ({" UNION ALL ".join(f"SELECT {d} AS depth, key >> {63 - 3 * d} AS node, count(*) AS n FROM k GROUP BY 2" for d in range(2, DEPTH + 1))})
-SELECT lv.depth, lv.node, lv.n FROM lv LEFT JOIN lv up ON up.depth = lv.depth - 1 AND up.node = lv.node >> 3 WHERE (lv.n <= {LEAF} OR lv.depth = {DEPTH}) AND (lv.depth = 2 OR up.n > {LEAF})""",
+    "tree_floor": _leaves_sql(str(LEAF), DEPTH, 3, top=2),
     "subtree_nodes": f"WITH {EMB}, {CUBE}, {KEYED} {' UNION ALL '.join(f'SELECT {d} AS depth, key >> {63 - 3 * d} AS node, count(*) AS n FROM k WHERE key >> 60 = 0 GROUP BY 2' for d in (1, 2, 3))}",
     "overlap_costs": f"{_SIZED} SELECT node, round(n / volume * n / volume * volume * (4.0::DOUBLE / 3 * pi()) * 0.001::DOUBLE, 9) AS cost FROM d WHERE volume > 0",
     "pair_concentration": "SELECT floor(log2(times))::INT AS bin, count(*) AS n, max(times) AS most FROM (SELECT count(*) AS times FROM lineitem GROUP BY l_partkey, l_suppkey) GROUP BY 1",
@@ -370,7 +365,7 @@ FROM u, (SELECT count(*) FILTER (WHERE family = 'gas') AS n_gas, count(*) FILTER
     "sfc_partition": f"WITH {ORD}, {CUBE}, {KEYED} SELECT (piece - 1)::INT AS piece, count(*) AS n, min(key) AS first_key, max(key) AS last_key FROM (SELECT key, ntile({PIECES}) OVER (ORDER BY key, id) AS piece FROM k) GROUP BY 1",
     "oct_partition": _leaves_sql(f"(SELECT count(*) // {PIECES} FROM k)", DEPTH, 3),
     "binary_oct_partition": _leaves_sql(f"(SELECT count(*) // {PIECES} FROM k)", 3 * DEPTH, 1),
-    "octant_of_point": _leaves_sql(f"(SELECT count(*) // {PIECES} FROM k)", DEPTH, 3).replace("SELECT lv.depth, lv.node, lv.n FROM", "SELECT k.id, lv.depth, lv.node FROM k,").replace("FROM k, lv LEFT JOIN", "FROM lv LEFT JOIN").replace(", t\nWHERE", " JOIN k ON k.key >> (63 - 3 * lv.depth) = lv.node, t\nWHERE"),
+    "octant_of_point": f"WITH {EMB}, {CUBE}, {KEYED}, {leaves(f'(SELECT count(*) // {PIECES} FROM k)', DEPTH)} SELECT k.id, lf.depth, lf.node FROM lf JOIN k ON k.key >> (63 - 3 * lf.depth) = lf.node",
     "kd_partition": _kd_sql(True),
     "kd_tree": _kd_sql(False),
     "longest_dim_partition": _longest_sql(),

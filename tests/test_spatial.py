@@ -158,7 +158,7 @@ def test_known_forces(spark):
 
 def test_nearest(spark):
     xyz = np.r_[np.random.default_rng(3).random((80, 3)), [[9, 9, 9]]]
-    got = spatial_join.nearest(points(spark, xyz), 2, 0.05).orderBy("id", "rank").collect()
+    got = spatial_join.nearest(points(spark, xyz), 2).orderBy("id", "rank").collect()
     d = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
     assert [r.nbr for r in got] == np.argsort(d, axis=1, kind="stable")[:, :2].ravel().tolist()
