@@ -24,6 +24,17 @@ def global_rank(df: DataFrame, *order: str) -> DataFrame:
     return dealt.withColumn("_k", F.row_number().over(inside)).join(F.broadcast(starts), "_range").withColumn("rank", F.col("_start") + F.col("_k") - 1).drop("_range", "_start", "_k")
 
 
+def running_sum(df: DataFrame, weight: str, *order: str) -> DataFrame:
+    """Adds ``before``: the sum of ``weight`` over all rows earlier in the order (which must tell rows apart), range by range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = dealt.groupBy("_range").agg(F.sum(weight).alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("_own", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return summed.join(F.broadcast(starts), "_range").withColumn("before", F.col("_start") + F.col("_own")).drop("_range", "_start", "_own")
+
+
 def tile(rank: Column, n: int, pieces: int) -> Column:
     """The piece of a rank when ``n`` rows are split evenly and the first ``n mod pieces`` pieces take one row more."""
     q, r = divmod(n, pieces)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from astrolith.functions import keys
 from astrolith.functions.geometry import AXES
-from astrolith.operators.partition import leaves
+from astrolith.operators.partition import global_rank, leaves, running_sum
 from astrolith.operators.universe import bounds
 from astrolith.session import cut
 
@@ -79,13 +79,28 @@ def subtree(nodes: DataFrame, depth: int, node: int, levels: int, bits: int = 3)
     return nodes.where((F.col("depth") >= depth) & (F.col("depth") <= depth + levels) & keys.is_prefix(F.lit(node), F.lit(depth), F.col("node"), F.col("depth"), bits))
 
 
-def flattened(nodes: DataFrame) -> DataFrame:
-    """Adds breadth-first numbers ``index`` and ``child_begin``: the place of a node's first child, -1 for leaves."""
-    from astrolith.operators.partition import global_rank
+def flattened(nodes: DataFrame, bits: int = 3) -> DataFrame:
+    """Adds breadth-first numbers: ``index``; ``child_begin`` (the place of a node's first child, -1 for leaves) and ``n_children``;
+    ``part_begin``, the place of its first point in key order; and ``n_below``, its points.
 
+    ``nodes`` has ``depth, node, n, leaf``; leaves hold all points. Children follow each other, and so do a node's points."""
     ranked = global_rank(nodes, "depth", "node").withColumnRenamed("rank", "index")
-    first = ranked.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), keys.parent(F.col("node")).alias("node")).agg(F.min("index").alias("child_begin"))
-    return ranked.join(first, ["depth", "node"], "left").withColumn("child_begin", F.coalesce("child_begin", F.lit(-1)))
+    kids = ranked.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), keys.parent(F.col("node"), bits).alias("node")).agg(F.min("index").alias("child_begin"), F.count("*").alias("n_children"))
+    begin = F.call_function("shiftleft", F.col("node"), (F.lit(3 * keys.BITS) - F.lit(bits) * F.col("depth")).cast("int"))
+    # In the order of first keys a node comes before all leaves below it, and after all points before it.
+    placed = running_sum(nodes.select("depth", "node", begin.alias("_begin"), F.when(F.col("leaf"), F.col("n")).otherwise(0).alias("_n")), "_n", "_begin", "depth").select("depth", "node", F.col("before").alias("part_begin"))
+    out = ranked.join(kids, ["depth", "node"], "left").join(placed, ["depth", "node"])
+    return out.withColumns({"child_begin": F.coalesce("child_begin", F.lit(-1)), "n_children": F.coalesce("n_children", F.lit(0)), "n_below": F.col("n")})
+
+
+def check_flat(flat: DataFrame) -> DataFrame:
+    """One row of counts that must be zero: nodes whose children aren't the next ones in a row, whose children's points aren't
+    theirs, leaves with children, and inner nodes without."""
+    own = flat.where("n_children > 0").select("index", F.explode(F.sequence(F.col("child_begin"), F.col("child_begin") + F.col("n_children") - 1)).alias("child"), F.col("depth").alias("_d"), F.col("part_begin").alias("_p"), F.col("n_below").alias("_n"))
+    child = flat.select(F.col("index").alias("child"), "depth", "part_begin", "n_below")
+    sums = own.join(child, "child", "left").groupBy("index", "_p", "_n").agg(F.min(F.coalesce(F.col("depth") == F.col("_d") + 1, F.lit(False))).alias("below"), F.min("part_begin").alias("first"), F.sum("n_below").alias("sum"), F.max(F.col("part_begin") + F.col("n_below")).alias("end"))
+    bad = sums.agg(F.count_if(~F.col("below")).alias("bad_children"), F.count_if((F.col("first") != F.col("_p")) | (F.col("sum") != F.col("_n")) | (F.col("end") != F.col("_p") + F.col("_n"))).alias("bad_points"))
+    return bad.crossJoin(flat.agg(F.count_if(F.col("leaf") & (F.col("n_children") > 0)).alias("bad_leaves"), F.count_if(~F.col("leaf") & (F.col("n_children") == 0)).alias("bad_inner")))  # one row each
 
 
 def newest(nodes: DataFrame, key: list[str], generation: str) -> DataFrame:
@@ -109,4 +124,4 @@ def map_groups(points: DataFrame, by: list[str], function, schema: str) -> DataF
     return points.groupBy(*by).applyInPandas(function, schema)
 
 
-__all__ = ["bounds", "box_payload", "dot", "flattened", "map_groups", "moment_payload", "newest", "nodes_above", "range_payload", "rollup", "subtree", "tree_leaves", "with_centres"]
+__all__ = ["bounds", "box_payload", "check_flat", "dot", "flattened", "map_groups", "moment_payload", "newest", "nodes_above", "range_payload", "rollup", "subtree", "tree_leaves", "with_centres"]

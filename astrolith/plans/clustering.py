@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from astrolith.functions import geometry, keys
 from astrolith.operators import blocks, certified, fof, partition, spatial_join, stats, traversal, tree, universe
-from astrolith.plans.sql import CUBE, D2, EMB, KEYED, LINE, ORD, REACH, edges, link, periodic_d2
+from astrolith.plans.sql import CUBE, D2, EMB, KEYED, LINE, ORD, REACH, edges, levels, link, periodic_d2
 from astrolith.session import checkpoint_dir, cut
 from astrolith.sources.views import embedding_points, line_points, order_points
-from astrolith.streaming.incremental import fold
+from astrolith.streaming.incremental import fold, fold_points
 
 F_EMB, F_ORD, PERIOD = 0.4, 0.2, 0.8
 #: Links order lines that differ by a step of quantity, discount or tax only.
@@ -233,12 +233,34 @@ def incremental_components(spark, sf):
     return labels
 
 
+def incremental_points(spark, sf):
+    """Points folded in two batches, as a stream would bring them."""
+    p, b = _emb(spark, sf)
+    state = spark.createDataFrame([], "id long, x double, y double, z double, label long")
+    for k in range(2):
+        state = cut(fold_points(state, p.where(F.pmod(F.xxhash64("id"), F.lit(2)) == k), b))
+    return state.select("id", "label")
+
+
+def _flat(spark, sf) -> DataFrame:
+    return tree.flattened(_tree(spark, sf)[0].select("depth", "node", "n", "leaf"))
+
+
+def flat_tree(spark, sf):
+    """The tree as a breadth-first array."""
+    return _flat(spark, sf).select("depth", "node", F.col("index").cast("long").alias("index"), F.col("child_begin").cast("long").alias("child_begin"), F.col("n_children").cast("long").alias("n_children"), F.col("part_begin").cast("long").alias("part_begin"), "n_below")
+
+
+def flat_tree_checks(spark, sf):
+    return tree.check_flat(cut(_flat(spark, sf)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         fixed_radius_pairs, fixed_radius_pairs_pbc, edge_checksum, fof_components, fof_components_cells, fof_orders, fof_histogram, fof_surviving, fof_sweep, fof_fragments, fof_merge_edges, fof_two_phases, untouched_fragments, fof_cells, fof_pbc,
         label_checks, pair_distance_histogram, knn, knn_orders, knn_lines, visit_all, leaf_pairs_dual, leaf_pairs_top_down, incremental_components,
-        fragment_histogram, fof_regions, labelings_differ, fof_certified, fof_certified_pbc, fof_certified_lines, fof_certified_merges, fof_pbc_cells, fof_cells_lines,
+        fragment_histogram, fof_regions, labelings_differ, fof_certified, fof_certified_pbc, fof_certified_lines, fof_certified_merges, fof_pbc_cells, fof_cells_lines, incremental_points, flat_tree, flat_tree_checks,
     )
 }
 
@@ -254,6 +276,10 @@ _GAP = " + ".join(f"pow(greatest(0.0, a.{c}_lo - c.{c}_hi, c.{c}_lo - a.{c}_hi),
 _LEAF_PAIRS = f"""WITH {_PIECES}, lv AS MATERIALIZED ({_LEAVES}), f AS (SELECT lv.* FROM lv LEFT JOIN lv up ON up.depth = lv.depth - 1 AND up.node = lv.node >> 3 WHERE (lv.n <= 16 OR lv.depth = {keys.BITS}) AND (lv.depth = 0 OR up.n > 16))
 SELECT a.depth AS a_depth, a.node AS a, c.depth AS b_depth, c.node AS b FROM f a JOIN f c ON {{}}, b WHERE {_GAP} <= b.b * b.b"""
 
+_FLAT = f"""WITH {EMB}, {CUBE}, {KEYED}, {levels(keys.BITS)}, nd AS MATERIALIZED (SELECT lv.*, lv.n <= 16 OR lv.depth = {keys.BITS} AS leaf FROM lv LEFT JOIN lv up ON up.depth = lv.depth - 1 AND up.node = lv.node >> 3 WHERE lv.depth = 0 OR up.n > 16),
+ix AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY depth, node) - 1 AS index, (SELECT count(*) FROM k WHERE key < nd.node << (63 - 3 * nd.depth)) AS part_begin FROM nd),
+flat AS MATERIALIZED (SELECT a.depth, a.node, a.leaf, a.index, coalesce(min(c.index), -1) AS child_begin, count(c.index) AS n_children, a.part_begin, a.n AS n_below FROM ix a LEFT JOIN ix c ON c.depth = a.depth + 1 AND c.node >> 3 = a.node GROUP BY ALL)"""
+
 _LINES = f"{LINE.replace('p AS', 'all_lines AS', 1)}, p AS MATERIALIZED (SELECT id, x, y, z FROM all_lines QUALIFY row_number() OVER (PARTITION BY id ORDER BY x, y, z) = 1)"
 _LINE_LABELS = f"""{_LINES}, q AS MATERIALIZED (SELECT x, y, z, min(id) AS id FROM p GROUP BY 1, 2, 3),
 e AS MATERIALIZED (SELECT a.id AS s, c.id AS t FROM q a JOIN q c ON a.id <> c.id AND abs(a.x - c.x) <= {LINE_LINK!r}::DOUBLE WHERE {D2} <= {LINE_LINK * LINE_LINK!r}::DOUBLE),
@@ -282,6 +308,11 @@ SELECT factor, floor(log2(size))::INT AS bin, count(*) AS n_components FROM (SEL
     "fof_certified": f"{_LABELS} SELECT id, label FROM labels",
     "fof_certified_merges": f"{_LABELS} SELECT id, label FROM labels",
     "fof_certified_pbc": f"WITH RECURSIVE {EMB}, {CUBE}, {link(F_EMB)}, {edges(periodic_d2(f'{PERIOD!r}::DOUBLE'))}, {REACH} SELECT id, label FROM labels",
+    "incremental_points": f"{_LABELS} SELECT id, label FROM labels",
+    "flat_tree": f"{_FLAT} SELECT depth, node, index, child_begin, n_children, part_begin, n_below FROM flat",
+    "flat_tree_checks": f"""{_FLAT}, c AS (SELECT p.index, p.part_begin AS pb, p.n_below AS pn, p.depth AS pd, c.* FROM flat p JOIN flat c ON c.index >= p.child_begin AND c.index < p.child_begin + p.n_children AND p.n_children > 0),
+g AS (SELECT index, count(*) FILTER (WHERE depth <> pd + 1) AS off, min(part_begin) <> any_value(pb) OR sum(n_below) <> any_value(pn) OR max(part_begin + n_below) <> any_value(pb + pn) AS bad FROM c GROUP BY 1)
+SELECT count(*) FILTER (WHERE off > 0) AS bad_children, count(*) FILTER (WHERE bad) AS bad_points, (SELECT count(*) FROM flat WHERE leaf AND n_children > 0) AS bad_leaves, (SELECT count(*) FROM flat WHERE NOT leaf AND n_children = 0) AS bad_inner FROM g""",
     "fof_pbc_cells": f"WITH RECURSIVE {EMB}, {CUBE}, {link(F_EMB)}, {edges(periodic_d2(f'{PERIOD!r}::DOUBLE'))}, {REACH} SELECT id, label FROM labels",
     "fof_cells_lines": f"WITH RECURSIVE {_LINE_LABELS} SELECT id, label FROM labels",
     "fof_certified_lines": f"WITH RECURSIVE {_LINE_LABELS} SELECT id, label FROM labels",

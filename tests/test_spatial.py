@@ -98,8 +98,13 @@ def test_trees_conserve_points(spark):
     assert sum(r.n for r in deep) == 190 and {r.depth for r in deep} == {1}
     nodes = tree.rollup(keyed, 2, tree.moment_payload())
     assert {r.depth: r.s for r in nodes.groupBy("depth").agg(F.sum("n").alias("s")).collect()} == {0: 190, 1: 190, 2: 190}
-    flat = tree.flattened(nodes.select("depth", "node", "n")).orderBy("index").collect()
+    table = tree.flattened(nodes.select("depth", "node", "n", (F.col("depth") == 2).alias("leaf")))
+    flat = table.orderBy("index").collect()
     assert flat[0].child_begin == 1 and [r["index"] for r in flat] == list(range(len(flat)))
+    assert [r.part_begin for r in flat if r.depth == 2] == np.r_[0, np.cumsum([r.n for r in flat if r.depth == 2])[:-1]].tolist()
+    assert tree.check_flat(table).first()[:] == (0, 0, 0, 0)
+    wrong = table.withColumns({"part_begin": F.when(F.col("index") == 3, 7).otherwise(F.col("part_begin")), "child_begin": F.when(F.col("index") == 1, 2).otherwise(F.col("child_begin"))})
+    assert min(tree.check_flat(wrong).first()[:2]) > 0
     assert tree.dot(nodes.where("depth < 2")).startswith("digraph")
 
 
@@ -239,6 +244,19 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.id: r.label for r in store.read().collect()} == want
 
 
+def test_stream_of_points_equals_batch(spark, tmp_path):
+    from astrolith.streaming.incremental import PointStore, stream_components
+
+    xyz = np.random.default_rng(12).random((60, 3))
+    schema, rows = "id long, x double, y double, z double", [(k, *map(float, p)) for k, p in enumerate(xyz)]
+    for k, part in enumerate((rows[40:], rows[20:40], rows[:20] + rows[35:45])):  # some come twice
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    store = PointStore(spark, str(tmp_path / "points"), 0.22)
+    stream_components(stream, store, str(tmp_path / "cp")).awaitTermination()
+    assert [r.label for r in store.read().orderBy("id").collect()] == brute_labels(xyz, 0.22)
+
+
 def test_pair_owners_agree_from_both_sides(spark):
     f = spark.range(400).select((F.col("id") % 20).alias("a"), F.floor(F.col("id") / 20).cast("long").alias("b"))
     p, q = F.lit(3), F.lit(8)
