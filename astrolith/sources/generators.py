@@ -1,4 +1,4 @@
-"""Generated points: each block of ids has its own seed, so that the result does not depend on partitions."""
+"""Generated points. Each block of ids has its own seed, or its own place in one sequence, so that the result does not depend on partitions."""
 
 from __future__ import annotations
 
@@ -10,24 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolith.schema import POINTS
+from astrolith.sources.mersenne import uniform_from
 
-BLOCK = 65_536
+BLOCK, UNIFORM_BLOCK = 65_536, 1 << 20
 
 
-def _blocks(spark: SparkSession, n: int, make) -> DataFrame:
+def _blocks(spark: SparkSession, n: int, make, block: int = BLOCK, real=np.float64) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             for k in df["id"]:
-                first, size = int(k) * BLOCK, min(BLOCK, n - int(k) * BLOCK)
+                first, size = int(k) * block, min(block, n - int(k) * block)
                 pos, vel = make(int(k), first, size)
-                yield pd.DataFrame({"id": np.arange(first, first + size), "family": "dark", "mass": 1.0 / n, "x": pos[:, 0], "y": pos[:, 1], "z": pos[:, 2], "vx": vel[:, 0], "vy": vel[:, 1], "vz": vel[:, 2], "soft": 0.001})
+                yield pd.DataFrame({"id": np.arange(first, first + size), "family": "dark", "mass": float(real(1.0 / n)), "x": pos[:, 0], "y": pos[:, 1], "z": pos[:, 2], "vx": vel[:, 0], "vy": vel[:, 1], "vz": vel[:, 2], "soft": float(real(0.001))})
 
-    return spark.range(-(-n // BLOCK)).mapInPandas(run, POINTS)
+    blocks = -(-n // block)
+    return spark.range(0, blocks, 1, max(1, min(blocks, 10_000))).mapInPandas(run, POINTS)
 
 
-def uniform(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
-    """Points at rest, even in the unit cube; masses sum to 1."""
-    return _blocks(spark, n, lambda k, first, size: (np.random.default_rng((seed, k)).random((size, 3)), np.zeros((size, 3))))
+def uniform(spark: SparkSession, n: int, seed: int = 1, real=np.float32, block: int = UNIFORM_BLOCK) -> DataFrame:
+    """Points at rest, even in the unit cube; masses sum to 1.
+
+    Point i has numbers 3i to 3i + 2 of the 64-bit Mersenne Twister's sequence (upper 53 bits), rounded to ``real``; a task
+    jumps to the number that its first point begins with.
+    """
+
+    def make(k: int, first: int, size: int):
+        xyz = uniform_from(seed, 3 * first, 3 * size).reshape(size, 3)
+        return xyz.astype(real).astype(np.float64), np.zeros((size, 3))
+
+    return _blocks(spark, n, make, block, real)
 
 
 def _sphere(rng: np.random.Generator, size: int) -> np.ndarray:

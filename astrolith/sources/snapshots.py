@@ -8,6 +8,9 @@ Attribute file (big-endian): 28-byte header (magic, time, count, dimensions, typ
 least and largest are equal the values may be missing. Folders gas, dark and star hold pos, mass (both required), vel and
 soft.
 
+Model file (of generators; the machine's byte order): number of points and dimensions (i4), time (f4 or f8), then x, y, z, vx, vy, vz,
+mass and softening of each point in the same precision.
+
 Large files are read in slices: each task opens the part of the file that it decodes.
 """
 
@@ -155,12 +158,48 @@ def read_records(spark: SparkSession, path: str, rows: int = ROWS) -> DataFrame:
     return _slices(spark, counts, rows).mapInPandas(run, POINTS)
 
 
+#: Softening of points that come from a model file (a fixed value of the conversion).
+MODEL_SOFT = 0.05
+
+
+def read_model(spark: SparkSession, path: str, rows: int = ROWS, soft: float | None = MODEL_SOFT) -> DataFrame:
+    """Points of a model file, all dark; ``soft=None`` keeps the file's softening. The size tells the precision."""
+    with open(path, "rb") as f:
+        n, dims = np.frombuffer(f.read(8), "=i4")
+    n, size = int(n), os.path.getsize(path)
+    kind = next((np.dtype(k) for k in ("=f4", "=f8") if size == 8 + np.dtype(k).itemsize * (1 + 8 * n)), None)
+    if dims != 3 or n < 0 or kind is None:
+        raise ValueError("header and file size don't agree")
+    head = 8 + kind.itemsize
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for r in df.itertuples():
+                v = np.fromfile(path, kind, 8 * r.n, offset=head + 8 * kind.itemsize * r.start).astype(float).reshape(r.n, 8)
+                yield _frame("dark", r.id, v[:, :3], v[:, 3:6], v[:, 6], v[:, 7] if soft is None else np.full(r.n, soft))
+
+    return _slices(spark, {"dark": n}, rows).mapInPandas(run, POINTS)
+
+
+def write_model(points: DataFrame, path: str, kind: str = "=f4", time: float = 0.0) -> None:
+    """One model file, in the order of ids, partition by partition."""
+    n = points.count()
+    if n > 2**31 - 1:
+        raise ValueError("too many points for one file")
+    with open(path, "wb") as f:
+        f.write(np.array([n, 3], "=i4").tobytes() + np.array([time], kind).tobytes())
+        for r in points.select("x", "y", "z", "vx", "vy", "vz", "mass", "soft", "id").orderBy("id").toLocalIterator():
+            f.write(np.array(r[:8], kind).tobytes())
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of Parquet files, a folder of attribute files, a Parquet file or a record file."""
+    """A folder of Parquet files, a folder of attribute files, a Parquet file, a model file (``.dat``) or a record file."""
     if os.path.isdir(path):
         if any(name.endswith(".parquet") for name in os.listdir(path)):
             return spark.read.parquet(path)
         return read_fields(spark, path)
+    if path.endswith(".dat"):
+        return read_model(spark, path)
     return spark.read.parquet(path) if path.endswith(".parquet") else read_records(spark, path)
 
 
