@@ -53,9 +53,63 @@ def row_slice(points: DataFrame, start: int, count: int) -> DataFrame:
     return points.where((F.col("id") >= start) & (F.col("id") < start + count))
 
 
+#: Bits of (key, id) that a round of counting refines.
+DIGIT = 9
+
+
+def cuts_by_counting(keyed: DataFrame, ranks: list[int]) -> list[tuple[int, int]]:
+    """The (key, id) of the rows at the given ascending ranks of the order by key, then id; ``id`` is unique among equal keys.
+
+    Rounds of histograms over the leading bits: each round counts, in one scan without a shuffle of rows, the next bits of the
+    rows that agree with a cut so far, and the driver gets at most ``2^DIGIT`` counts a cut. Ids are looked at only for
+    cuts that fall inside equal keys.
+    """
+    digits = [(F.col("key"), shift) for shift in range(3 * keys.BITS - DIGIT, -1, -DIGIT)]
+    flipped = F.col("id").cast("long").bitwiseXOR(F.lit(-(2**63)))  # unsigned order of bits is the order of ids
+    digits += [(flipped, shift) for shift in range(63, -1, -DIGIT)]
+    places = [((), r) for r in ranks]  # digits so far, and rows to pass among those that share them
+    live = keyed.select("key", "id")
+    for at, (column, shift) in enumerate(digits):
+        width = 1 if shift == 63 else DIGIT
+        digit = F.shiftrightunsigned(column, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+        live = live.withColumn(f"_d{at}", digit)
+        names = [f"_d{k}" for k in range(at + 1)]
+        open_ = sorted({p for p, _ in places})
+        rows = live
+        if at:
+            sent = keyed.sparkSession.createDataFrame([tuple(p) for p in open_], ", ".join(f"{n} int" for n in names[:-1]))
+            rows = live.join(F.broadcast(sent), names[:-1], "left_semi")  # a row for each cut at most
+        counts: dict[tuple, list] = {}
+        for r in rows.groupBy(*names).count().collect():
+            counts.setdefault(tuple(r[:-2]), []).append((r[-2], r[-1]))
+        nxt = []
+        for prefix, left in places:
+            for d, n in sorted(counts[prefix]):
+                if left < n:
+                    break
+                left -= n
+            nxt.append(((*prefix, d), left, n))
+        places = [(p, left) for p, left, _ in nxt]
+        if column is not flipped and shift == 0 and all(n == 1 for *_, n in nxt):
+            break  # no cut inside equal keys
+    k = sum(c is not flipped for c, _ in digits)
+    join = lambda ds, widths: sum(d << w for d, w in zip(ds, widths))
+    out = []
+    for p, _ in places:
+        key = join(p[:k], [w for _, w in digits[:k]])
+        out.append((key, join(p[k:], [w for _, w in digits[k:]]) - 2**63 if len(p) > k else -(2**63)))
+    return out
+
+
 def by_key_ranges(keyed: DataFrame, pieces: int) -> DataFrame:
-    """Adds ``piece``: equal counts along the curve, ties by id."""
-    return global_rank(keyed, "key", "id").withColumn("piece", tile(F.col("rank"), keyed.count(), pieces)).drop("rank")
+    """Adds ``piece``: equal counts along the curve, ties by id. Cuts come from counts, so no rows are sorted or moved."""
+    n = keyed.count()
+    starts = [start for start, _ in (range_of_reader(n, k, pieces) for k in range(1, pieces)) if start < n]
+    if not starts:
+        return keyed.withColumn("piece", F.lit(0))
+    cuts = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(i).alias("id")) for k, i in cuts_by_counting(keyed, starts)))
+    own = F.struct(F.col("key").alias("key"), F.col("id").cast("long").alias("id"))
+    return keyed.withColumn("piece", F.size(F.filter(cuts, lambda c: c <= own)))
 
 
 def level_counts(keyed: DataFrame, depth: int, bits: int = 3, top: int = 0) -> DataFrame:

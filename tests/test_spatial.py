@@ -108,6 +108,14 @@ def test_trees_conserve_points(spark):
     assert tree.dot(nodes.where("depth < 2")).startswith("digraph")
 
 
+def test_cuts_by_counting_equal_ranks(spark):
+    rng = np.random.default_rng(2)
+    for rows in ([(int(rng.choice([0, 5, 2**62 + 3, rng.integers(2**62)])), i - 50) for i in range(300)], [(7, i) for i in range(30)], [(1, 1)]):
+        got = {(r.key, r.id): r.piece for r in partition.by_key_ranges(spark.createDataFrame(rows, "key long, id long").repartition(3), 4).collect()}
+        ranges = [partition.range_of_reader(len(rows), p, 4) for p in range(4)]
+        assert got == {r: p for p, (start, n) in enumerate(ranges) for r in sorted(rows)[start : start + n]}
+
+
 def test_ranks_do_not_depend_on_partitions(spark):
     f = spark.range(1000).select(F.pmod(F.col("id") * 7, F.lit(1000)).alias("v")).repartition(5)
     assert all(r.rank == r.v for r in partition.global_rank(f, "v").collect())
