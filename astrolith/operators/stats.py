@@ -93,6 +93,12 @@ def edge_checksum(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataF
     return edges.agg(F.count("*").alias("n"), F.sum(src).alias("sum_src"), F.sum(dst).alias("sum_dst"))
 
 
+def dump_edges(edges: DataFrame, path: str) -> DataFrame:
+    """Writes ``(src, dst)`` as Parquet parts and returns the checksum of what is read back."""
+    edges.select("src", "dst").write.mode("overwrite").parquet(path)
+    return edge_checksum(edges.sparkSession.read.parquet(path))
+
+
 def metrics(values: dict[str, float], like: DataFrame) -> DataFrame:
     """``(metric, value)`` rows."""
     rows = F.array(*(F.struct(F.lit(k).alias("metric"), F.lit(float(v)).alias("value")) for k, v in values.items()))

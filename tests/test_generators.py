@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from astrolith.operators import stats
 from astrolith.sources import generators, mersenne, snapshots
 
 
@@ -32,3 +33,8 @@ def test_model_files(spark, tmp_path, kind):
         f.write(b"1")
     with pytest.raises(ValueError):
         snapshots.read_model(spark, path)
+
+
+def test_edge_dump(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2), (3, 9)], "src long, dst long")
+    assert stats.dump_edges(edges, str(tmp_path / "edges")).first()[:] == stats.edge_checksum(edges).first()[:] == (2, 4, 11)
