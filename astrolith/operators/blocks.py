@@ -59,34 +59,38 @@ def reduce_pairs(pairs: DataFrame, columns: list[str], kernel: Callable[..., dic
 def pair_histogram(points: DataFrame, low: float, high: float, bins: int, leaf_size: int = 64, counts: dict | None = None) -> DataFrame:
     """``(bin, n)``: ordered pairs by distance in ``bins`` bins of equal width in its logarithm, ``low <= d < high``.
 
-    ``points`` have ``id``, positions and ``key``. Two trees of their cells go down together: a pair of nodes whose least and
+    ``points`` have positions and ``key``. Two trees of their cells go down together: a pair of nodes whose least and
     largest distance lie in one bin adds the product of its counts, one whose distances all lie outside of the bins is dropped, and
-    only pairs of leaves that span several bins meet point by point. ``counts``, if given, gets the numbers of
+    only pairs of leaves that span several bins meet point by point. Equal positions count as one place with their number, so
+    coinciding points neither deepen the trees nor meet each other (``low`` must be above 0). ``counts``, if given, gets the numbers of
     accepted pairs, leaf pairs and tested pairs of points.
     """
     from astrolith.operators import partition, tree
     from astrolith.operators.traversal import JoinSpec, dual
 
+    if not 0 < low < high:
+        raise ValueError("distances need 0 < low < high")
     span = math.log(high) - math.log(low)
     bin_of = lambda d: F.floor((F.log(d) - math.log(low)) / span * bins)
-    found = partition.leaves(points, leaf_size)
+    places = cut(points.groupBy(*AXES).agg(F.min("key").alias("key"), F.count("*").alias("copies")))
+    found = partition.leaves(places, leaf_size)
     deepest = found.agg(F.max("depth")).first()[0]
     if deepest is None:
         return points.sparkSession.createDataFrame([], "bin int, n long")
-    placed = cut(partition.assign_cells(points.select("id", *AXES, "key"), found, deepest).select("id", *AXES, "depth", "node"))
-    nodes = tree.nodes_above(placed, deepest, tree.box_payload())
+    placed = cut(partition.assign_cells(places, found, deepest).select(*AXES, "copies", "depth", "node"))
+    nodes = tree.nodes_above(placed, deepest, tree.box_payload() | {"members": (F.sum("copies"), F.sum("members"))})
     # A hair wider than computed, so that rounding can't take a pair of points out of its nodes' bin.
     least, most = F.sqrt(box_min2("t", "s")) * (1 - 1e-12), F.sqrt(box_max2("t", "s")) * (1 + 1e-12)
     outside = (most < low) | (least >= high)
     whole = (least >= low) & (most < high) & (bin_of(least) == bin_of(most))
     taken, near = dual(nodes, JoinSpec(F.when(~outside, ~F.coalesce(whole, F.lit(False))), mirrored=False))
-    sure = cut(taken.select(bin_of(F.sqrt(box_min2("t", "s"))).cast("int").alias("bin"), (2 * F.col("t.n") * F.col("s.n")).alias("n")))
+    sure = cut(taken.select(bin_of(F.sqrt(box_min2("t", "s"))).cast("int").alias("bin"), (2 * F.col("t.members") * F.col("s.members")).alias("n")))
     near = cut(near.select(F.struct("t.depth", "t.node").alias("a"), F.struct("s.depth", "s.node").alias("b")))
-    at = lambda side: placed.select(F.struct("depth", "node").alias(side), F.struct("id", *AXES).alias(f"{side}p"))
+    at = lambda side: placed.select(F.struct("depth", "node").alias(side), F.struct(*AXES, "copies").alias(f"{side}p"))
     d2 = sum((square(F.col(f"ap.{c}") - F.col(f"bp.{c}")) for c in AXES), F.lit(0.0))
-    met = near.join(at("a"), "a").join(at("b"), "b").where((F.col("a") != F.col("b")) | (F.col("ap.id") < F.col("bp.id")))
+    met = near.join(at("a"), "a").join(at("b"), "b").where((F.col("a") != F.col("b")) | (F.col("ap") < F.col("bp")))
     if counts is not None:
         counts |= {"accepted": sure.count(), "leaf_pairs": near.count(), "tested": met.count()}
     d = F.sqrt(d2)
-    tested = met.where((d >= low) & (d < high)).groupBy(F.least(F.greatest(bin_of(d), F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")).agg((2 * F.count("*")).alias("n"))
+    tested = met.where((d >= low) & (d < high)).groupBy(F.least(F.greatest(bin_of(d), F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.sum(2 * F.col("ap.copies") * F.col("bp.copies")).alias("n"))
     return sure.groupBy("bin").agg(F.sum("n").alias("n")).unionByName(tested).groupBy("bin").agg(F.sum("n").alias("n"))
