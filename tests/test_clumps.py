@@ -1,11 +1,11 @@
-"""Clumped, coinciding and periodic points against brute force, and counters that show what isn't tested."""
+"""Clumped, coinciding and periodic points against brute force."""
 
 import math
 
 import numpy as np
 import pytest
 
-from astrolith.operators import blocks, certified, fof, gravity, partition, spatial_join, traversal, tree, universe
+from astrolith.operators import blocks, certified, fof, gravity, spatial_join, universe
 from astrolith.sources import snapshots
 
 
@@ -53,23 +53,6 @@ def test_contraction_cuts_large_cells(spark, monkeypatch):
     assert certified.friends_of_friends(frame(spark, xyz[:0]), 0.05).count() == 0
 
 
-def test_certificates_save_tests_and_labels_settle_pairs(spark):
-    xyz = clumps(3, 96)
-    link = 0.06
-    pairs = ((xyz[:, None] - xyz[None]) ** 2).sum(2) <= link * link
-    counts: dict = {}
-    certified.friends_of_friends(frame(spark, xyz), link, counts=counts)
-    assert counts["certain"] > 0 and counts["tested"] < 0.25 * pairs.sum() / 2
-    # Fragments of the halves merge without tests inside a fragment.
-    piece = (xyz[:, 0] > 0.5).astype(int)
-    rows = frame(spark, xyz, piece=[int(p) for p in piece])
-    labels = fof.fragments(rows, link)
-    again: dict = {}
-    merged = fof.merged_labels(labels, certified.merge_edges(rows, labels, link, counts=again))
-    assert [r.label for r in merged.orderBy("id").collect()] == labels_of(xyz, link)
-    assert again["tested"] < counts["tested"]
-
-
 def neighbours(xyz, at, k, own):
     out = []
     for i, p in enumerate(at):
@@ -106,24 +89,6 @@ def test_candidates_of_a_clump_grow_with_the_points(spark):
     assert made[1] < 6 * made[0]
 
 
-def test_walks_reach_the_leaves_of_deep_trees(spark):
-    xyz = np.r_[np.full((3, 3), 0.1) + np.arange(3)[:, None] * 1e-5, [[0.9, 0.9, 0.9]]]
-    keyed = universe.with_key(frame(spark, xyz))
-    leaf = partition.leaves(keyed, 1)
-    deepest = leaf.agg({"depth": "max"}).first()[0]
-    assert deepest > 12
-    nodes = tree.nodes_above(partition.assign_cells(keyed, leaf, deepest), deepest, tree.box_payload())
-    from pyspark.sql import functions as F
-
-    everything = traversal.JoinSpec(F.lit(True))
-    counts: list = []
-    assert traversal.top_down(nodes.where("leaf"), nodes, everything, counts=counts)[1].count() == 16
-    assert sum(c[3] for c in counts) == 16
-    assert traversal.dual(nodes, everything)[1].count() == 16
-    broken = nodes.where("not leaf or depth < 5")
-    assert traversal.top_down(nodes.where("leaf"), broken, everything)[1].count() == 4  # a lost subtree ends its frontier
-
-
 def test_histogram_by_nodes(spark):
     xyz = np.r_[np.random.default_rng(8).random((70, 3)), np.tile([[0.2, 0.3, 0.4]], (20, 1))]
     d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2))[~np.eye(len(xyz), dtype=bool)]
