@@ -89,3 +89,55 @@ def test_blocks_of_a_long_text(monkeypatch):
     part = r.anchors(body, r.Settings())
     strings = lambda a: sorted((p - o, p) for p, f, z in zip(a.pos, a.first, a.last) for o in range(f, z + 1))
     assert strings(whole) == strings(part) and [s for s, _ in strings(whole)] == list(range(len(body) - 399))
+
+
+def common_passage(spans=(330, 380, 430)):
+    rnd = random.Random(8)
+    noise = lambda k: "".join(rnd.choice("abcdefgh ") for _ in range(k))
+    shared = [noise(n) for n in spans]
+    out = [noise(rnd.randrange(350, 500)) + p + noise(rnd.randrange(350, 500)) for p in shared for _ in range(60)]
+    page = noise(1200)
+    return list(enumerate(out + [noise(500) + page + str(k) for k in range(60)]))
+
+
+def test_no_group_that_one_task_sorts_grows_with_a_common_passage(spark, tmp_path, monkeypatch):
+    real = r._solve
+
+    def told(s):
+        run = real(s)
+
+        def solve(batches):
+            from uuid import uuid4
+
+            seen = Counter()
+
+            def counted():
+                for b in batches:
+                    seen.update(b.column(1).to_pylist())
+                    yield b
+
+            yield from run(counted())
+            (tmp_path / uuid4().hex).write_text(str(max(seen.values(), default=0)))
+
+        return solve
+
+    monkeypatch.setattr(r, "_solve", told)
+    rnd = random.Random(9)
+    noise = lambda a, z: "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(a, z)))
+    passage, page = noise(130, 131), noise(450, 451)
+    rows = list(enumerate([noise(150, 190) + passage + noise(150, 190) for _ in range(650)] + [noise(20, 30) + page for _ in range(650)]))
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in r.digest(r.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == brute([(i, t.encode()) for i, t in rows]) and sum(x[1] > 0 for x in got.values()) == 650
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    # Hundreds share a passage shorter than a string, and hundreds a page: neither meets in one task.
+    assert sizes and max(sizes) <= 500
+
+
+def test_large_groups_in_bands(spark):
+    rows = common_passage()
+    rows += [(500 + k, t) for k, (_, t) in enumerate(rows[100:130] * 2)] + [(1000 + k, None) for k in range(2)]
+    want = brute([(i, (t or "").encode()) for i, t in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for s in (replace(r.Settings(), split_above=25), replace(r.Settings(), split_above=2)):
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in r.digest(r.remove_repeats(docs, s)).collect()}
+        assert got == want
