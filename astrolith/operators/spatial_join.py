@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from astrolith.functions.geometry import AXES, box_max2, box_min2, periodic_dist2
-from astrolith.session import cut
+from astrolith.session import cut, shuffled
 
 #: The 13 neighbours of a cell that come after it in (x, y, z) order.
 FORWARD = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
@@ -44,7 +44,7 @@ def _shifted(offsets: list[tuple[int, int, int]], count: int) -> Column:
 def radius_pairs(points: DataFrame, radius: float, period: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(src, dst, d2)`` for each unordered pair with ``d2 <= radius^2`` and src < dst, by an equi-join on grid cells.
 
-    Only id and position are shuffled (and ``keep`` columns, returned as ``src_*`` and ``dst_*``). One side is
+    Only id and position are shuffled (and ``keep`` columns, returned as ``src_*`` and ``dst_*``), and neither side is broadcast. One side is
     copied to the forward half of the 27 cells, so that each pair of cells meets once. A dense cell is a
     skewed key, which adaptive execution splits; for clusters use ``fof``, which first contracts dense cells.
     """
@@ -56,7 +56,7 @@ def radius_pairs(points: DataFrame, radius: float, period: float = 0.0, keep: tu
     near = base.withColumn("to", _shifted(offsets, count)).select("id", *AXES, *keep, ((F.col("to.cx") == F.col("cx")) & (F.col("to.cy") == F.col("cy")) & (F.col("to.cz") == F.col("cz"))).alias("own"), "to.cx", "to.cy", "to.cz")
     d2 = periodic_dist2("a", "b", period)
     once = F.col("a.id") < F.col("b.id") if narrow else (~F.col("a.own") | (F.col("a.id") < F.col("b.id")))
-    pairs = near.alias("a").join(base.alias("b"), ["cx", "cy", "cz"]).where((F.col("a.id") != F.col("b.id")) & once & (d2 <= F.lit(radius * radius)))
+    pairs = near.alias("a").join(shuffled(base).alias("b"), ["cx", "cy", "cz"]).where((F.col("a.id") != F.col("b.id")) & once & (d2 <= F.lit(radius * radius)))
     flip = F.col("a.id") > F.col("b.id")
     ends = [F.when(flip, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(f"src_{c}") for c in keep] + [F.when(flip, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(f"dst_{c}") for c in keep]
     return pairs.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst"), d2.alias("d2"), *ends)
@@ -70,7 +70,7 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float) -> DataFra
     left = queries.select("id", *AXES, *named).withColumn("to", _shifted(ALL, 0)).select("id", *AXES, "to.cx", "to.cy", "to.cz")
     right = points.select("id", *AXES, *named)
     d2 = periodic_dist2("a", "b", 0.0)
-    return left.alias("a").join(right.alias("b"), ["cx", "cy", "cz"]).where((F.col("a.id") != F.col("b.id")) & (d2 <= F.lit(radius * radius))).select(F.col("a.id").alias("id"), F.col("b.id").alias("nbr"), d2.alias("d2"))
+    return left.alias("a").join(shuffled(right).alias("b"), ["cx", "cy", "cz"]).where((F.col("a.id") != F.col("b.id")) & (d2 <= F.lit(radius * radius))).select(F.col("a.id").alias("id"), F.col("b.id").alias("nbr"), d2.alias("d2"))
 
 
 def _least_ids(points: DataFrame, most: int, salts: int = 64) -> DataFrame:
