@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from astrolith.functions.geometry import AXES
 from astrolith.operators.components import connected_components
 from astrolith.operators.spatial_join import cells, radius_pairs
-from astrolith.session import cut
+from astrolith.session import cut, shuffled
 
 
 def label_by_edges(points: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, label)``: the least id of each point's component; points without an edge label themselves."""
     comp = connected_components(edges)
-    return points.select("id").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+    return points.select("id").join(shuffled(comp), "id", "left").select("id", F.coalesce("component", "id").alias("label"))
 
 
 def _dense_size(link: float, period: float) -> tuple[float, int]:

@@ -3,7 +3,6 @@
 import contextlib
 
 import numpy as np
-import pytest
 
 from astrolith.operators import fof, spatial_join
 from astrolith.plans import registry
@@ -32,3 +31,11 @@ def test_radius_joins_are_not_broadcast(spark):
         xyz = [(k, *map(float, p)) for k, p in enumerate(np.random.default_rng(1).random((40, 3)))]
         p = spark.createDataFrame(xyz, "id long, x double, y double, z double")
         assert "BroadcastHashJoin" not in plan(spatial_join.radius_join(p, p, 0.2))
+
+
+def test_clusters_of_orders_are_not_broadcast(spark, monkeypatch):
+    plans, real = [], fof.connected_components
+    monkeypatch.setattr(fof, "connected_components", lambda edges: plans.append(plan(edges)) or real(edges))
+    with threshold(spark, "10m"):
+        plans.append(plan(registry.queries()["fof_orders"](spark, SF)))
+    assert len(plans) == 2 and not any("BroadcastHashJoin" in p for p in plans)
