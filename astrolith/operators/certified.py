@@ -18,10 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from astrolith.functions.geometry import AXES, box_max2, box_min2, box_min2_periodic, may_certify, periodic_dist2
-from astrolith.functions.keys import parent
 from astrolith.operators import partition, tree, universe
 from astrolith.operators.traversal import JoinSpec, dual
-from astrolith.session import cut
+from astrolith.session import cut, shuffled
 
 
 def _label_payload() -> tree.Payload:
@@ -47,7 +46,7 @@ def label_edges(points: DataFrame, link: float, period: float = 0.0, leaf_size:
     """
     at_place = cut(points.groupBy(*AXES).agg(F.min("label").alias("label"), F.count("*").alias("_n"), F.max("label").alias("_most")))
     shared = at_place.where("label <> _most").select(*AXES, F.col("label").alias("lo"))
-    same = points.select(*AXES, "label").join(shared, [*AXES]).where("label <> lo").select("lo", F.col("label").alias("hi"))
+    same = points.select(*AXES, "label").join(shuffled(shared), [*AXES]).where("label <> lo").select("lo", F.col("label").alias("hi"))
     places = cut(universe.with_key(at_place.select(*AXES, "label")))
     leaf = partition.leaves(places, leaf_size)
     deepest = leaf.agg(F.max("depth")).first()[0]
@@ -58,35 +57,25 @@ def label_edges(points: DataFrame, link: float, period: float = 0.0, leaf_size:
     taken, near = dual(nodes, JoinSpec(_verdict(link, period), mirrored=False))
     taken = cut(taken.select("t.depth", "t.node", F.col("t.least").alias("least"), F.col("s.depth").alias("s_depth"), F.col("s.node").alias("s_node"), F.col("s.least").alias("s_least")))
     across = taken.where("least <> s_least").select(F.least("least", "s_least").alias("lo"), F.greatest("least", "s_least").alias("hi"))
-    # All labels below a node of a certain pair are one: each node's children are joined to it, level by level.
+    # All labels below a node of a certain pair are one.
     whole = taken.select("depth", "node").unionByName(taken.select(F.col("s_depth").alias("depth"), F.col("s_node").alias("node"))).distinct()
-    inside = _labels_below(nodes, placed, whole, deepest)
+    inside = _labels_below(nodes, placed, whole)
     near = cut(near.select(F.struct("t.depth", "t.node").alias("a"), F.struct("s.depth", "s.node").alias("b")))
     side = lambda c: placed.select(F.struct("depth", "node").alias(c), F.struct("label", *AXES).alias(f"{c}p"))
-    met = near.join(side("a"), "a").join(side("b"), "b").where("ap.label <> bp.label")
+    met = near.join(shuffled(side("a")), "a").join(shuffled(side("b")), "b").where("ap.label <> bp.label")
     if counts is not None:
         counts |= {"certain": taken.count(), "open_leaves": near.count(), "tested": met.count()}
     tested = met.where(periodic_dist2("ap", "bp", period) <= link * link).select(F.least("ap.label", "bp.label").alias("lo"), F.greatest("ap.label", "bp.label").alias("hi"))
     return same.unionByName(across).unionByName(inside).unionByName(tested).distinct()
 
 
-def _labels_below(nodes: DataFrame, placed: DataFrame, whole: DataFrame, deepest: int) -> DataFrame:
-    """Edges from the least label of each whole node to all labels below it: highest whole nodes pass their mark down."""
-    known = nodes.select("depth", "node", "leaf", "least", "most").join(whole.withColumn("marked", F.lit(True)), ["depth", "node"], "left").withColumn("up", parent(F.col("node")))
-    known = cut(known)
-    level, edges, leaves = None, None, None
-    for d in range(deepest + 1):
-        own = known.where(F.col("depth") == d)
-        if level is None:
-            now = own.withColumn("to", F.when(F.col("marked"), F.col("least")))
-        else:
-            now = own.join(level, "up", "left").withColumn("to", F.coalesce("to", F.when(F.col("marked"), F.col("least"))))
-        now = now.where("to is not null")
-        now = cut(now) if d % 4 == 3 else now  # plans stay short
-        ends = now.where("leaf").select("depth", "node", "to")
-        leaves = ends if leaves is None else leaves.unionByName(ends)
-        level = now.where("not leaf").select(F.col("node").alias("up"), "to")
-    return placed.select("depth", "node", "label").join(leaves, ["depth", "node"]).where("label <> to").select(F.least("label", "to").alias("lo"), F.greatest("label", "to").alias("hi"))
+def _labels_below(nodes: DataFrame, placed: DataFrame, whole: DataFrame) -> DataFrame:
+    """Edges from the least label of each whole node to all labels below it: a leaf takes that of the highest whole node above."""
+    marked = shuffled(nodes.join(whole, ["depth", "node"]).select(F.col("depth").alias("_up"), F.col("node").alias("_at"), F.col("least").alias("to")))
+    above = nodes.where("leaf").select("depth", "node", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("_up"))
+    above = above.withColumn("_at", F.call_function("shiftright", F.col("node"), (3 * (F.col("depth") - F.col("_up"))).cast("int")))
+    leaves = above.join(marked, ["_up", "_at"]).groupBy("depth", "node").agg(F.min_by("to", "_up").alias("to"))
+    return placed.select("depth", "node", "label").join(shuffled(leaves), ["depth", "node"]).where("label <> to").select(F.least("label", "to").alias("lo"), F.greatest("label", "to").alias("hi"))
 
 
 def friends_of_friends(points: DataFrame, link: float, period: float = 0.0, leaf_size: int = 16, counts: dict | None = None) -> DataFrame:

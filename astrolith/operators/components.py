@@ -5,21 +5,47 @@ vertex among itself and its neighbours, and replaces the edges by edges between
 vertices pointed at. Fresh ranks in each round make the expected number of vertices
 fall by a constant factor whatever the shape of the graph (long chains included), so
 there are O(log n) rounds and their total size is a small multiple of the input.
-All state is DataFrames; the driver sees one count per round.
+All state is DataFrames; the driver sees one count per round. Once no more than ``FEW``
+edges are left, one task joins their ends, which saves the many rounds with little in them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolith.session import cut
+from astrolith.session import cut, shuffled
+
+#: Edges that one task may hold.
+FEW = 1 << 16
 
 
 def _rank(col: str, seed: int):
     return F.struct(F.xxhash64(F.col(col), F.lit(seed)).alias("h"), F.col(col).alias("id"))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(id, to)`` of the ends of all edges: the root of each tree of a union-find forest."""
+    up: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while up[v] != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for v in (a, b):
+                up.setdefault(v, v)
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    ids = list(up)
+    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([root(v) for v in ids], pa.int64())], names=["id", "to"])
+
+
 def roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
     """``(id, root)`` for every vertex of ``edges``: vertices are connected if they share a root.
 
@@ -35,7 +61,11 @@ def roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int
     )
     maps: list[DataFrame] = []
     for k in range(max_rounds):
-        if live.isEmpty():
+        left = live.limit(FEW + 1).count()
+        if not left:
+            break
+        if left <= FEW:
+            maps.append(cut(live.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInArrow(_joined, "id long, to long")))
             break
         both = live.select(F.col("a").alias("id"), F.col("b").alias("nbr")).unionByName(
             live.select(F.col("b").alias("id"), F.col("a").alias("nbr"))
@@ -66,7 +96,7 @@ def roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int
     final = maps[-1].select("id", F.col("to").alias("root"))
     for step in reversed(maps[:-1]):
         later = final.select(F.col("id").alias("to"), F.col("root").alias("later"))
-        final = step.join(later, "to", "left").select("id", F.coalesce("later", "to").alias("root"))
+        final = step.join(shuffled(later), "to", "left").select("id", F.coalesce("later", "to").alias("root"))
     return cut(final)
 
 
